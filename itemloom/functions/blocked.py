@@ -51,13 +51,13 @@ def lag(
         F.max_by(F.struct("__v"), F.struct(*order)).alias("__last")
     )
     across = Window.partitionBy(*keys).orderBy(_BLOCK)
-    carry = last.select(*keys, _BLOCK, F.lag("__last").over(across).alias("__prev"))
+    carry = last.select(*keys, _BLOCK, F.lag("__last").over(across).alias("__carried"))
     inside = Window.partitionBy(*keys, _BLOCK).orderBy(*order)
     stepped = cut.withColumn("__in", F.lag(F.struct("__v")).over(inside))
     return (
         stepped.join(carry, [*keys, _BLOCK], "left")
-        .withColumn(out, F.coalesce(F.col("__in"), F.col("__prev"))["__v"])
-        .drop("__v", "__in", "__prev", _BLOCK)
+        .withColumn(out, F.coalesce(F.col("__in"), F.col("__carried"))["__v"])
+        .drop("__v", "__in", "__carried", _BLOCK)
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from itemloom.functions.text import content_hash
+
 ORIGINS = {
     "en": "vendor_dump",
     "fr": "official_sample",
@@ -83,6 +85,69 @@ class Bank:
             .select(F.col("lang").alias("id"), F.concat(F.lit("Language "), F.upper("lang")).alias("name"))
         )
 
+    # ---- nested records
+    @property
+    def citing_pages(self) -> DataFrame:
+        """(page_id, references): the page's own address and its absolute links."""
+        hrefs = F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))
+        return self.table("pages").select(
+            "page_id",
+            F.concat(
+                F.array("url"), F.transform(hrefs, lambda h: F.concat(F.lit("https://m.example.org/en"), h))
+            ).alias("references"),
+        )
+
+    @property
+    def record(self) -> DataFrame:
+        """Documents as canonical nested question records (schemas.QUESTION + order_key)."""
+        d = self.table("documents").join(self.table("labels"), "doc_id", "left")
+        d = d.join(self.citing_pages, F.col("doc_id") == F.col("page_id"), "left")
+        n = F.nullif(F.regexp_extract("source", r"(\d+)", 1), F.lit("")).cast("int")
+        parts = F.split("text", "\n")
+        rest = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+        options = F.transform(
+            rest,
+            lambda line, i: F.struct(
+                F.concat(F.lit("o"), (i + 1).cast("string")).alias("label"),
+                line.alias("text_md"),
+                (F.length(line) % 3 == 0).alias("correct"),
+                F.when(F.length(line) % 2 == 0, F.left(line, F.lit(20))).alias("explanation_md"),
+            ),
+        )
+        correct = F.transform(F.filter(options, lambda o: o["correct"]), lambda o: o["label"])
+        return d.select(
+            F.concat_ws("/", "lang", "source", F.concat(F.lit("q"), F.col("doc_id").cast("string"))).alias("id"),
+            content_hash(parts[0], rest).alias("content_hash"),
+            F.struct(
+                F.col("lang").alias("slug"),
+                F.concat(F.lit("Language "), F.upper("lang"), F.lit(" v"), (F.col("doc_id") % 3).cast("string")).alias("name"),
+                F.col("source").alias("vendor"),
+                F.when(F.col("quality") == 1, "associate").alias("level"),
+            ).alias("certification"),
+            F.struct(
+                F.when(F.col("n_chars") % 50 != 0, F.col("source")).alias("slug"),
+                F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Practice Exam "), F.col("source"))).alias("title"),
+                n.alias("number"),
+                F.when(n % 3 == 0, "hard").when(n % 3 == 1, "easy").alias("mode"),
+                F.col("doc_id").cast("int").alias("question_number"),
+            ).alias("exam"),
+            F.when(F.col("n_chars") % 41 != 0, domain_label(F.col("n_chars"))).alias("domain"),
+            F.when(F.size(correct) > 1, "multi_select").otherwise("single_select").alias("type"),
+            F.size(correct).alias("select_count"),
+            parts[0].alias("prompt_md"),
+            options.alias("options"),
+            correct.alias("correct_labels"),
+            F.when(F.col("quality").isNotNull(), F.left(F.col("text"), F.lit(60))).alias("overall_explanation_md"),
+            F.coalesce("references", F.array().cast("array<string>")).alias("references"),
+            F.struct(
+                F.col("lang").alias("provider"),
+                F.concat(F.lit("https://example.org/"), "lang").alias("course_url"),
+                F.concat(F.lit("pages/"), F.col("doc_id").cast("string")).alias("file"),
+            ).alias("source"),
+            F.when(F.col("quality") == 1, "curated").alias("origin"),
+            F.col("doc_id").alias("order_key"),
+        )
+
     # ---- journals
     @property
     def mark(self) -> DataFrame:
@@ -229,3 +294,58 @@ SCOPE = (
   LEFT JOIN certification c ON c.id = q.certification_id
   LEFT JOIN current_mark m ON m.question_id = q.id)"""
 )
+
+_PARTS = "string_split(d.text, chr(10))"
+_DOMAIN = """CASE WHEN d.n_chars < 500 THEN 'Short & sweet' WHEN d.n_chars < 2000 THEN 'Medium, plain'
+              WHEN d.n_chars < 8000 THEN 'Long-form' ELSE 'Very long' END"""
+_N = "TRY_CAST(regexp_extract(d.source, '(\\d+)', 1) AS INT)"
+
+CITED = """cite_raw AS (SELECT page_id, [url] || list_transform(list_distinct_ordered, lambda h: 'https://m.example.org/en' || h) AS refs FROM (
+    SELECT page_id, url, list_filter(hrefs, lambda h, i: list_position(hrefs, h) = i) AS list_distinct_ordered FROM (
+      SELECT page_id, url, regexp_extract_all(html, 'href="([^"]*)"', 1) AS hrefs FROM pages)))"""
+
+RECORD = CITED + f""", record AS (
+  SELECT d.doc_id AS n, d.lang || '/' || d.source || '/q' || d.doc_id AS id, d.lang AS cert,
+    'Language ' || upper(d.lang) || ' v' || (d.doc_id % 3) AS cert_name, d.source AS vendor,
+    CASE WHEN l.quality = 1 THEN 'associate' END AS level,
+    CASE WHEN d.n_chars % 50 <> 0 THEN d.source END AS exam_slug,
+    CASE WHEN d.doc_id % 2 = 0 THEN 'Practice Exam ' || d.source END AS exam_title,
+    {_N} AS exam_number, CASE {_N} % 3 WHEN 0 THEN 'hard' WHEN 1 THEN 'easy' END AS exam_mode,
+    d.doc_id::INT AS question_number,
+    CASE WHEN d.n_chars % 41 <> 0 THEN {_DOMAIN} END AS domain,
+    {_PARTS}[1] AS prompt_md, {_PARTS}[2:] AS texts,
+    CASE WHEN l.quality IS NOT NULL THEN left(d.text, 60) END AS overall_explanation_md,
+    coalesce(c.refs, []) AS refs, d.lang AS provider,
+    CASE WHEN l.quality = 1 THEN 'curated' END AS origin_given
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN cite_raw c ON c.page_id = d.doc_id),
+option_row AS (
+  SELECT id, n, unnest(texts) AS text_md, generate_subscripts(texts, 1) AS pos FROM record),
+options_of AS (
+  SELECT id AS oid, 'o' || pos AS label, (pos - 1)::INT AS position, text_md, length(text_md) % 3 = 0 AS is_correct,
+    CASE WHEN length(text_md) % 2 = 0 THEN left(text_md, 20) END AS explanation_md FROM option_row),
+key_of AS (
+  SELECT oid, list(label ORDER BY position) FILTER (is_correct) AS correct_labels, count(*) FILTER (is_correct) AS n_correct, count(*) AS n_options
+  FROM options_of GROUP BY oid),
+full_record AS (
+  SELECT r.*, coalesce(k.correct_labels, []) AS correct_labels, coalesce(n_correct, 0) AS n_correct, coalesce(n_options, 0) AS n_options,
+    CASE WHEN coalesce(n_correct, 0) > 1 THEN 'multi_select' ELSE 'single_select' END AS type,
+    left(sha256(prompt_md || ' ' || array_to_string(list_sort(texts), ' ')), 12) AS content_hash
+  FROM record r LEFT JOIN key_of k ON k.oid = r.id)"""
+
+
+def norm_ref(url: str) -> str:
+    """SQL twin of normalize_reference under the test mirror rules."""
+    bare = f"regexp_replace(regexp_replace({url}, '^https?://', ''), '/+$', '')"
+    path = f"CASE WHEN contains({bare}, '/') THEN regexp_replace({bare}, '^[^/]*/', '') ELSE '' END"
+    host = f"split_part({bare}, '/', 1)"
+    return (
+        f"CASE WHEN starts_with({host}, 'm.') THEN 'docs/' || regexp_replace({path}, '^(?:(?:en|docs)(?:/|$))+', '') "
+        f"WHEN starts_with({host}, 'blog.') THEN 'support/' || regexp_replace({path}, '^en/articles/', '') ELSE {bare} END"
+    )
+
+
+CITATION = RECORD + f""", citation AS (
+  SELECT question_id, position, raw_url, {norm_ref('raw_url')} AS reference_id, cert, domain FROM (
+    SELECT id AS question_id, cert, domain, unnest(refs) AS raw_url, (generate_subscripts(refs, 1) - 1)::INT AS position FROM record))"""
+
+SLUG = "trim(regexp_replace(replace(lower({x}), '&', ' and '), '[^a-z0-9]+', '-', 'g'), '-')"

@@ -248,12 +248,12 @@ def questions_blocked_by_open_attempt(bank):
 
 @query(
     "attempt_lifecycle",
-    """WITH closing AS (SELECT l_orderkey AS attempt_id, CASE WHEN l_returnflag = 'A' THEN 'abandon' ELSE 'submit' END AS action, l_shipdate AS at FROM lineitem WHERE l_linestatus = 'F'),
-    first AS (SELECT attempt_id, arg_min(action, row(at, action)) AS action, min(at) AS at, count(*) - 1 AS refused FROM closing GROUP BY attempt_id)
+    """WITH closing AS (SELECT l_orderkey AS attempt_id, CASE WHEN l_returnflag = 'A' THEN 'abandon' ELSE 'submit' END AS action, l_shipdate AS "at" FROM lineitem WHERE l_linestatus = 'F'),
+    firsts AS (SELECT attempt_id, arg_min(action, row("at", action)) AS action, min("at") AS "at", count(*) - 1 AS refused FROM closing GROUP BY attempt_id)
     SELECT o_orderkey AS attempt_id, CASE action WHEN 'submit' THEN 'submitted' WHEN 'abandon' THEN 'abandoned' ELSE 'open' END AS state,
-      CASE WHEN action = 'submit' THEN at END AS submitted_at, CASE WHEN action = 'abandon' THEN at END AS abandoned_at,
-      (epoch_us(at) - epoch_us(o_orderdate)) // 1000 AS elapsed_ms, coalesce(refused, 0) AS refused
-    FROM orders LEFT JOIN first ON attempt_id = o_orderkey""",
+      CASE WHEN action = 'submit' THEN "at" END AS submitted_at, CASE WHEN action = 'abandon' THEN "at" END AS abandoned_at,
+      (epoch_us("at") - epoch_us(o_orderdate)) // 1000 AS elapsed_ms, coalesce(refused, 0) AS refused
+    FROM orders LEFT JOIN firsts ON attempt_id = o_orderkey""",
 )
 def attempt_lifecycle(bank):
     closings = bank.table("lineitem").where(F.col("l_linestatus") == "F").select(
@@ -279,10 +279,10 @@ def remaining_seconds(bank):
 
 # ---------------------------------------------------------------- answer log
 
-_LOG = """log AS (SELECT user_id AS attempt_id, (event_id % 5)::INT AS position, ts AS at, event_id AS id,
+_LOG = """log AS (SELECT user_id AS attempt_id, (event_id % 5)::INT AS position, ts AS "at", event_id AS id,
       CASE WHEN event_type = 'view' THEN 'show' ELSE 'answer' END AS kind, event_type AS selection, (floor(value) - 20)::BIGINT AS time_ms FROM events),
     closed AS (SELECT c_custkey AS id, CASE WHEN c_acctbal > 5000 THEN TIMESTAMP '2024-01-20' END AS closed_at FROM customer),
-    kept AS (SELECT log.* FROM log JOIN closed ON closed.id = attempt_id WHERE closed_at IS NULL OR at <= closed_at)"""
+    kept AS (SELECT log.* FROM log JOIN closed ON closed.id = attempt_id WHERE closed_at IS NULL OR "at" <= closed_at)"""
 
 
 def _log(bank):
@@ -304,10 +304,10 @@ def _log(bank):
 
 @query(
     "answer_log_fold",
-    f"""WITH {_LOG}, answers AS (SELECT *, lag(selection) OVER (PARTITION BY attempt_id, position ORDER BY at, id) AS prev FROM kept WHERE kind = 'answer'),
-    folded AS (SELECT attempt_id, position, arg_max(selection, row(at, id)) AS selection, max(at) AS answered_at, sum(greatest(0, time_ms))::BIGINT AS time_ms,
+    f"""WITH {_LOG}, answers AS (SELECT *, lag(selection) OVER (PARTITION BY attempt_id, position ORDER BY "at", id) AS prev FROM kept WHERE kind = 'answer'),
+    folded AS (SELECT attempt_id, position, arg_max(selection, row("at", id)) AS selection, max("at") AS answered_at, sum(greatest(0, time_ms))::BIGINT AS time_ms,
       count(*) FILTER (prev IS NOT NULL AND prev <> selection) AS change_count FROM answers GROUP BY ALL),
-    shown AS (SELECT attempt_id, position, min(at) AS first_shown_at FROM kept GROUP BY ALL)
+    shown AS (SELECT attempt_id, position, min("at") AS first_shown_at FROM kept GROUP BY ALL)
     SELECT s.attempt_id, s.position, selection, answered_at, first_shown_at, coalesce(time_ms, 0) AS time_ms, coalesce(change_count, 0) AS change_count
     FROM shown s LEFT JOIN folded f ON f.attempt_id = s.attempt_id AND f.position = s.position""",
 )

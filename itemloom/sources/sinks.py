@@ -23,3 +23,149 @@ def search_export(records: DataFrame) -> DataFrame:
         "type",
         F.regexp_replace(F.lower(body), r"\s+", " ").alias("search"),
     )
+
+
+def study_index(records: DataFrame) -> DataFrame:
+    """Per certification: numbered domains with counts by type and their file names."""
+    from pyspark.sql import Window
+
+    per = records.groupBy("certification_id", "domain_label").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("type") == "single_select").alias("single"),
+    )
+    # One row per domain here, so the window holds a domain list, not questions.
+    w = Window.partitionBy("certification_id").orderBy("domain_label")
+    number = F.row_number().over(w)
+    return per.withColumn("position", number).select(
+        "certification_id",
+        "position",
+        "domain_label",
+        "n",
+        "single",
+        (F.col("n") - F.col("single")).alias("multi"),
+        F.concat(
+            F.when(F.col("position") < 10, F.lit("0")).otherwise(F.lit("")),
+            F.col("position").cast("string"),
+            F.lit("-"),
+            tx.slugify(F.col("domain_label")),
+            F.lit(".md"),
+        ).alias("filename"),
+    )
+
+
+def quote_block(text: Column, prefix: str = "> ") -> Column:
+    lines = F.transform(
+        F.split(text, "\n"),
+        lambda line: F.when(line == "", F.lit(prefix.rstrip())).otherwise(F.concat(F.lit(prefix), line)),
+    )
+    return F.array_join(lines, "\n")
+
+
+def render_question() -> Column:
+    """Self-quiz Markdown of one record."""
+    nl = F.lit("\n")
+    kind = F.when(F.col("type") == "multi_select", TYPE_PROMPTS["multi_select"]).otherwise(TYPE_PROMPTS["single_select"])
+    options = F.array_join(
+        F.transform("options", lambda o: F.concat(F.lit("- **"), o["label"], F.lit(".** "), F.coalesce(o["text_md"], F.lit("")))), "\n"
+    )
+    answers = F.array_join(
+        F.transform(
+            "options",
+            lambda o: F.concat(
+                F.lit("**"),
+                F.when(o["correct"], "✅").otherwise("❌"),
+                F.lit(" "),
+                o["label"],
+                F.lit(". "),
+                F.coalesce(o["text_md"], F.lit("")),
+                F.lit("**\n\n"),
+                quote_block(F.coalesce(o["explanation_md"], F.lit(""))),
+                nl,
+            ),
+        ),
+        "\n",
+    )
+    refs = F.when(
+        F.size("references") > 0,
+        F.concat(
+            F.lit("**References**\n\n"),
+            F.array_join(F.transform("references", lambda u: F.concat(F.lit("- <"), u, F.lit(">"))), "\n"),
+            nl,
+            nl,
+        ),
+    ).otherwise("")
+    return F.concat(
+        F.lit("### "), F.col("id"), F.lit("\n\n`"), kind, F.lit("` · "),
+        F.coalesce(F.col("exam.title"), F.lit("")), F.lit(" · question "),
+        F.coalesce(F.col("exam.question_number").cast("string"), F.lit("")), F.lit("\n\n"),
+        F.coalesce("prompt_md", F.lit("")), F.lit("\n\n"), options,
+        F.lit("\n\n<details>\n<summary>Answer: <b>"), F.array_join("correct_labels", ", "),
+        F.lit("</b></summary>\n\n"), answers, F.lit("\n**Overall explanation**\n\n"),
+        quote_block(F.coalesce("overall_explanation_md", F.lit(""))), F.lit("\n\n"), refs, F.lit("</details>\n"),
+    )
+
+
+def study_rows(records: DataFrame) -> DataFrame:
+    """Rendered questions with the keys that place them in their study document."""
+    return records.select(
+        F.col("certification.slug").alias("certification_id"),
+        F.col("domain").alias("domain_label"),
+        F.col("exam.number").alias("exam_number"),
+        F.col("exam.question_number").alias("question_number"),
+        "id",
+        render_question().alias("body"),
+    )
+
+
+def write_study(records: DataFrame, path: str) -> None:
+    """One text folder per (certification, domain), rows in reading order.
+
+    Range partitioning keeps a domain of any size in several ordered files.
+    """
+    order = ["certification_id", "domain_label", "exam_number", "question_number", "id"]
+    (
+        study_rows(records)
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .select("certification_id", "domain_label", "body")
+        .write.mode("overwrite")
+        .partitionBy("certification_id", "domain_label")
+        .text(path, lineSep="---\n\n")
+    )
+
+
+def write_records(records: DataFrame, path: str, order: str = "id", fmt: str = "json") -> None:
+    """Canonical JSON lines (or parquet), partitioned by certification, ordered by key."""
+    (
+        records.withColumn("cert", F.col("certification.slug"))
+        .repartitionByRange("cert", order)
+        .sortWithinPartitions("cert", order)
+        .write.mode("overwrite")
+        .partitionBy("cert")
+        .format(fmt)
+        .save(path)
+    )
+
+
+def publish_version(table: DataFrame, base: str, run_id: str) -> str:
+    """Write a version beside the old ones, then move the pointer: readers never see half."""
+    target = f"{base.rstrip('/')}/run_id={run_id}"
+    table.write.mode("overwrite").parquet(target)
+    pointer = table.sparkSession.createDataFrame([(run_id,)], "run_id string")
+    pointer.coalesce(1).write.mode("overwrite").json(f"{base.rstrip('/')}_current")
+    return target
+
+
+def read_current(spark, base: str) -> DataFrame:
+    """The published version of a table."""
+    run = spark.read.schema("run_id string").json(f"{base.rstrip('/')}_current").first()["run_id"]
+    return spark.read.parquet(f"{base.rstrip('/')}/run_id={run}")
+
+
+def manifest_totals(records: DataFrame) -> DataFrame:
+    """Totals block of the manifest, one row."""
+    return records.agg(
+        F.countDistinct("certification.slug", F.coalesce("exam.slug", F.lit(""))).alias("exams"),
+        F.count(F.lit(1)).alias("questions"),
+        F.sum(F.size("options").cast("bigint")).alias("options"),
+    )
