@@ -29,15 +29,15 @@ def row_number(
     """``row_number() over (partition by keys order by order)`` by blocks."""
     keys = list(keys)
     cut = df.withColumn(_BLOCK, block)
-    sizes = cut.groupBy(*keys, _BLOCK).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = cut.groupBy(*keys, _BLOCK).agg(F.count(F.lit(1)).alias("__blk_n"))
     before = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = sizes.select(*keys, _BLOCK, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    carry = sizes.select(*keys, _BLOCK, F.coalesce(F.sum("__blk_n").over(before), F.lit(0)).alias("__blk_base"))
     inside = Window.partitionBy(*keys, _BLOCK).orderBy(*order)
-    ranked = cut.withColumn("__rn", F.row_number().over(inside).cast("bigint"))
+    ranked = cut.withColumn("__blk_rn", F.row_number().over(inside).cast("bigint"))
     return (
         ranked.join(carry, [*keys, _BLOCK], "left")
-        .withColumn(out, F.col("__rn") + F.col("__base"))
-        .drop("__rn", "__base", _BLOCK)
+        .withColumn(out, F.col("__blk_rn") + F.col("__blk_base"))
+        .drop("__blk_rn", "__blk_base", _BLOCK)
     )
 
 
@@ -98,3 +98,28 @@ def last_known(
     return out.drop(
         _BLOCK, *[f"__{p}_{n}" for n in values for p in ("v", "i", "c")]
     )
+
+
+def running_sum(
+    df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], values: dict[str, Column]
+) -> DataFrame:
+    """``sum(value) over (... rows to current)`` for several integer columns at once."""
+    keys = list(keys)
+    cut = df.withColumn(_BLOCK, block)
+    for name, value in values.items():
+        cut = cut.withColumn(f"__v_{name}", value.cast("bigint"))
+    sums = cut.groupBy(*keys, _BLOCK).agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in values])
+    earlier = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
+    carry = sums.select(
+        *keys, _BLOCK, *[F.coalesce(F.sum(f"__t_{n}").over(earlier), zero).alias(f"__c_{n}") for n in values]
+    )
+    upto = (
+        Window.partitionBy(*keys, _BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    )
+    for name in values:
+        cut = cut.withColumn(f"__i_{name}", F.sum(f"__v_{name}").over(upto))
+    out = cut.join(carry, [*keys, _BLOCK], "left")
+    for name in values:
+        out = out.withColumn(name, F.coalesce(f"__i_{name}", zero) + F.col(f"__c_{name}"))
+    return out.drop(_BLOCK, *[f"__{p}_{n}" for n in values for p in ("v", "i", "c")])

@@ -92,17 +92,19 @@ def search_documents_from_tables(question: DataFrame, option: DataFrame) -> Data
 def postings(documents: DataFrame, fields: Sequence[str] = tuple(FIELD_WEIGHTS)) -> DataFrame:
     """(doc_id, doc_len, field, pos, token): a narrow expansion of each document."""
     split = documents.select("doc_id", *[tx.search_tokens(F.col(f)).alias(f) for f in fields])
-    length = reduce(lambda a, b: a + b, [F.size(f) for f in fields])
-
-    def tagged(field: str) -> Column:
-        return F.transform(
-            field, lambda t, i: F.struct(F.lit(field).alias("field"), i.alias("pos"), t.alias("token"))
-        )
-
-    every = F.concat(*[tagged(f) for f in fields])
-    return split.select("doc_id", length.alias("doc_len"), F.explode(every).alias("p")).select(
-        "doc_id", "doc_len", "p.*"
-    )
+    sized = split.select("doc_id", F.array(*[F.size(f) for f in fields]).alias("sizes"), F.concat(*fields).alias("all"))
+    flat = sized.select("doc_id", F.size("all").alias("doc_len"), "sizes", F.posexplode("all").alias("at", "token"))
+    # Position in the concatenation tells the field and the position inside it.
+    bases, total = [], F.lit(0)
+    for i in range(len(fields)):
+        bases.append(total)
+        total = total + F.col("sizes")[i]
+    field, pos = F.lit(fields[-1]), F.col("at") - bases[-1]
+    for i in range(len(fields) - 2, -1, -1):
+        inside = F.col("at") < bases[i + 1]
+        field = F.when(inside, F.lit(fields[i])).otherwise(field)
+        pos = F.when(inside, F.col("at") - bases[i]).otherwise(pos)
+    return flat.select("doc_id", "doc_len", field.alias("field"), pos.alias("pos"), "token")
 
 
 def corpus_size(documents: DataFrame, fields: Sequence[str] = tuple(FIELD_WEIGHTS)) -> DataFrame:

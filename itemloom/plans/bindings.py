@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemloom.functions.text import content_hash
+from itemloom.session import spread
 
 ORIGINS = {
     "en": "vendor_dump",
@@ -100,7 +101,7 @@ class Bank:
     @property
     def record(self) -> DataFrame:
         """Documents as canonical nested question records (schemas.QUESTION + order_key)."""
-        d = self.table("documents").join(self.table("labels"), "doc_id", "left")
+        d = spread(self.table("documents"), "doc_id").join(self.table("labels"), "doc_id", "left")
         d = d.join(self.citing_pages, F.col("doc_id") == F.col("page_id"), "left")
         n = F.nullif(F.regexp_extract("source", r"(\d+)", 1), F.lit("")).cast("int")
         parts = F.split("text", "\n")

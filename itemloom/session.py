@@ -41,3 +41,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             return df
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give CPU-heavy row work every core when a scan has fewer splits than cores.
+
+    Only a small or unsplittable input has so few splits, so the extra exchange is small
+    too; an input that already fills the cluster is returned untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
