@@ -59,67 +59,3 @@ def lag(
         .withColumn(out, F.coalesce(F.col("__in"), F.col("__carried"))["__v"])
         .drop("__v", "__in", "__carried", _BLOCK)
     )
-
-
-def last_known(
-    df: DataFrame,
-    keys: Sequence[str],
-    block: Column,
-    order: Sequence[Column],
-    values: dict[str, Column],
-) -> DataFrame:
-    """``last(value, ignoreNulls) over (... rows to current)`` for several columns at once."""
-    keys = list(keys)
-    cut = df.withColumn(_BLOCK, block)
-    for name, value in values.items():
-        cut = cut.withColumn(f"__v_{name}", value)
-    tail = cut.groupBy(*keys, _BLOCK).agg(
-        *[
-            F.max_by(
-                F.col(f"__v_{n}"), F.when(F.col(f"__v_{n}").isNotNull(), F.struct(*order))
-            ).alias(f"__t_{n}")
-            for n in values
-        ]
-    )
-    earlier = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = tail.select(
-        *keys,
-        _BLOCK,
-        *[F.last(f"__t_{n}", ignorenulls=True).over(earlier).alias(f"__c_{n}") for n in values],
-    )
-    upto = (
-        Window.partitionBy(*keys, _BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    for name in values:
-        cut = cut.withColumn(f"__i_{name}", F.last(f"__v_{name}", ignorenulls=True).over(upto))
-    out = cut.join(carry, [*keys, _BLOCK], "left")
-    for name in values:
-        out = out.withColumn(name, F.coalesce(f"__i_{name}", f"__c_{name}"))
-    return out.drop(
-        _BLOCK, *[f"__{p}_{n}" for n in values for p in ("v", "i", "c")]
-    )
-
-
-def running_sum(
-    df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], values: dict[str, Column]
-) -> DataFrame:
-    """``sum(value) over (... rows to current)`` for several integer columns at once."""
-    keys = list(keys)
-    cut = df.withColumn(_BLOCK, block)
-    for name, value in values.items():
-        cut = cut.withColumn(f"__v_{name}", value.cast("bigint"))
-    sums = cut.groupBy(*keys, _BLOCK).agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in values])
-    earlier = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("bigint")
-    carry = sums.select(
-        *keys, _BLOCK, *[F.coalesce(F.sum(f"__t_{n}").over(earlier), zero).alias(f"__c_{n}") for n in values]
-    )
-    upto = (
-        Window.partitionBy(*keys, _BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    for name in values:
-        cut = cut.withColumn(f"__i_{name}", F.sum(f"__v_{name}").over(upto))
-    out = cut.join(carry, [*keys, _BLOCK], "left")
-    for name in values:
-        out = out.withColumn(name, F.coalesce(f"__i_{name}", zero) + F.col(f"__c_{name}"))
-    return out.drop(_BLOCK, *[f"__{p}_{n}" for n in values for p in ("v", "i", "c")])

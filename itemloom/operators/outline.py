@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from itemloom.functions import blocked
@@ -35,23 +35,37 @@ def bullets(classified: DataFrame) -> DataFrame:
 
 def flatten(classified: DataFrame) -> DataFrame:
     """Bullets with depth, ordinal among siblings, dotted path, parent path and weights."""
-    rows = bullets(classified)
-    order = [F.col("line_no")]
+    rows = bullets(classified).withColumn("__block", _block())
     levels = range(1, MAX_DEPTH + 1)
-    counted = blocked.running_sum(
-        rows, ["file"], _block(), order, {f"c{d}": (F.col("depth") == d).cast("int") for d in levels}
+    keys = ["file", "__block"]
+    upto = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    # In a block: lines of depth d so far, and how many when a shallower line last came.
+    for d in levels:
+        rows = rows.withColumn(f"n{d}", F.count_if(F.col("depth") == d).over(upto))
+    for d in levels[1:]:
+        seen = F.when(F.col("depth") < d, F.col(f"n{d}"))
+        rows = rows.withColumn(f"s{d}", F.last(seen, ignorenulls=True).over(upto))
+    totals = rows.groupBy(*keys).agg(
+        *[F.max(f"n{d}").alias(f"t{d}") for d in levels],
+        *[F.max_by(f"s{d}", "line_no").alias(f"e{d}") for d in levels[1:]],
     )
-    # How many lines of depth d had been seen when a shallower line last appeared.
-    based = blocked.last_known(
-        counted,
-        ["file"],
-        _block(),
-        order,
-        {f"b{d}": F.when(F.col("depth") < d, F.col(f"c{d}")) for d in levels if d > 1},
+    earlier = Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
+    for d in levels:
+        totals = totals.withColumn(f"p{d}", F.coalesce(F.sum(f"t{d}").over(earlier), zero))
+    carried = totals.select(
+        *keys,
+        *[f"p{d}" for d in levels],
+        *[F.last(F.col(f"p{d}") + F.col(f"e{d}"), ignorenulls=True).over(earlier).alias(f"q{d}") for d in levels[1:]],
     )
+    based = rows.join(carried, keys, "left")
+    for d in levels:
+        based = based.withColumn(f"c{d}", F.col(f"p{d}") + F.col(f"n{d}"))
+    for d in levels[1:]:
+        based = based.withColumn(f"b{d}", F.coalesce(F.col(f"p{d}") + F.col(f"s{d}"), F.col(f"q{d}"), zero))
 
     def ordinal(d: int) -> Column:
-        return F.col("c1") if d == 1 else F.col(f"c{d}") - F.coalesce(f"b{d}", F.lit(0).cast("bigint"))
+        return F.col("c1") if d == 1 else F.col(f"c{d}") - F.col(f"b{d}")
 
     chain = F.array(*[ordinal(d).cast("string") for d in levels])
     path = F.array_join(F.slice(chain, F.lit(1), F.col("depth")), ".")

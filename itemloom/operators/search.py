@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from itemloom.functions import text as tx
 from itemloom.functions.stemming import stem
+from itemloom.session import cut_lineage
 
 # ---- fixed values: field weights, BM25 constants, snippet length ----
 FIELD_WEIGHTS = {"prompt": 10.0, "options": 3.0, "explanation": 1.0}
@@ -168,15 +169,14 @@ def expand_tokens(tokens: DataFrame, words: DataFrame, stemmed: bool = False) ->
 def occurrences(posted: DataFrame, expanded: DataFrame) -> DataFrame:
     """Where each whole term occurs: (query_id, doc_id, term_no, field, start, ...).
 
-    After the token join everything is keyed by (query, document), so phrase assembly,
-    counting and scoring share one shuffle; a document bounds the largest key.
+    A phrase starts wherever all its tokens line up; a document's tokens sit in one
+    task, so the count combines before the shuffle.
     """
-    hits = posted.join(expanded, "token").repartition("query_id", "doc_id")
-    start = (F.col("pos") - F.col("offset")).alias("start")
+    hits = posted.join(expanded, "token")
     return (
-        hits.groupBy("query_id", "doc_id", "term_no", "field", start)
+        hits.groupBy("query_id", "doc_id", "term_no", "field", (F.col("pos") - F.col("offset")).alias("start"))
         .agg(
-            F.countDistinct("offset").alias("found"),
+            F.count(F.lit(1)).alias("found"),
             F.max("n_tokens").alias("n_tokens"),
             F.max("n_terms").alias("n_terms"),
             F.max("doc_len").alias("doc_len"),
@@ -186,11 +186,30 @@ def occurrences(posted: DataFrame, expanded: DataFrame) -> DataFrame:
     )
 
 
-def term_frequencies(found: DataFrame, weights: Mapping[str, float] = FIELD_WEIGHTS) -> DataFrame:
-    """Weighted frequency per (query, document, term)."""
-    table = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
-    return found.groupBy("query_id", "doc_id", "term_no").agg(
-        F.sum(table[F.col("field")]).alias("f"),
+def term_frequencies(
+    posted: DataFrame, expanded: DataFrame, weights: Mapping[str, float] = FIELD_WEIGHTS
+) -> DataFrame:
+    """Weighted frequency per (query, document, term).
+
+    Single-token terms collapse to one row per document before the shuffle; only phrase
+    candidates keep their start position until they are checked.
+    """
+    weight = reduce(
+        lambda acc, kv: acc.when(F.col("field") == kv[0], F.lit(kv[1])),
+        list(weights.items())[1:],
+        F.when(F.col("field") == next(iter(weights)), F.lit(next(iter(weights.values())))),
+    )
+    phrase = F.col("n_tokens") > 1
+    hits = posted.join(expanded, "token").select(
+        "query_id", "doc_id", "term_no", "n_tokens", "n_terms", "doc_len", weight.alias("w"),
+        F.when(phrase, F.col("field")).alias("at_field"), F.when(phrase, F.col("pos") - F.col("offset")).alias("start"),
+    )
+    placed = hits.groupBy("query_id", "doc_id", "term_no", "n_tokens", "n_terms", "doc_len", "at_field", "start").agg(
+        F.sum("w").alias("w"), F.count(F.lit(1)).alias("found")
+    )
+    whole = placed.where((F.col("n_tokens") == 1) | (F.col("found") == F.col("n_tokens")))
+    return whole.groupBy("query_id", "doc_id", "term_no").agg(
+        F.sum(F.col("w") / F.col("n_tokens")).alias("f"),
         F.max("n_terms").alias("n_terms"),
         F.max("doc_len").alias("doc_len"),
     )
@@ -233,9 +252,15 @@ def search(
     """Score every matching (query, document); ``posted`` is a stored index, if any."""
     index = postings(documents) if posted is None else posted
     expanded = expand_tokens(query_tokens(parse_queries(queries)), vocabulary(index, stemmed), stemmed)
-    size = corpus_size(documents)
-    frequencies = term_frequencies(occurrences(index, expanded), weights)
-    return bm25(frequencies, size.select("n_docs").scalar(), size.select("n_tokens").scalar())
+    # Both the document counts and the scores read the frequencies.
+    frequencies = cut_lineage(term_frequencies(index, expanded, weights))
+    return bm25(frequencies, *size_columns(documents))
+
+
+def size_columns(documents: DataFrame) -> tuple[Column, Column]:
+    """(number of documents, number of tokens) as one scalar subquery."""
+    size = corpus_size(documents).select(F.struct("n_docs", "n_tokens")).scalar()
+    return size["n_docs"], size["n_tokens"]
 
 
 def top_hits(scored: DataFrame, k: int = 20) -> DataFrame:
@@ -340,11 +365,10 @@ def search_results(
     queries = documents.sparkSession.createDataFrame([(0, raw)], "query_id int, raw string")
     index = postings(documents)
     expanded = expand_tokens(query_tokens(parse_queries(queries)), vocabulary(index, stemmed), stemmed)
-    found = occurrences(index, expanded)
-    size = corpus_size(documents)
-    scored = bm25(term_frequencies(found), size.select("n_docs").scalar(), size.select("n_tokens").scalar())
+    expanded = cut_lineage(expanded)
+    frequencies = cut_lineage(term_frequencies(index, expanded))
     page = (
-        scored.join(scope, scored["doc_id"] == scope["id"])
+        bm25(frequencies, *size_columns(documents)).alias("s").join(scope, F.col("s.doc_id") == F.col("id"))
         .orderBy("score", "id")
         .offset(max(0, offset))
         .limit(max(0, limit))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from itemloom.functions import blocked
@@ -54,16 +54,50 @@ def append_marks(mark: DataFrame, new: DataFrame, values: Sequence[str] = (*MARK
 def fold_toggles(events: DataFrame) -> DataFrame:
     """State after each toggle: within a run of equal toggles, odd sets and even clears.
 
-    Columns: question_id, value, created_at, id.  Adds ``state`` (NULL = cleared).
+    Columns: question_id, value, created_at, id.  Adds ``state`` (NULL = cleared).  Days
+    cut a long log into blocks; each block hands on its last value and the length of its
+    trailing run, so a run may span any number of blocks.
     """
-    keys, block = ["question_id"], _day("created_at")
-    order = [F.col("created_at"), F.col("id")]
-    stepped = blocked.lag(events, keys, block, order, F.col("value"), "__prev")
-    placed = blocked.row_number(stepped, keys, block, order, "__idx")
-    starts = F.when(F.col("__prev").isNull() | (F.col("__prev") != F.col("value")), F.col("__idx"))
-    runs = blocked.last_known(placed, keys, block, order, {"__start": starts})
-    odd = (F.col("__idx") - F.col("__start")) % 2 == 0
-    return runs.withColumn("state", F.when(odd, F.col("value"))).drop("__prev", "__idx", "__start")
+    keys = ["question_id", "__day"]
+    inside = Window.partitionBy(*keys).orderBy("created_at", "id")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*keys).orderBy("created_at", "id").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
+    )
+    before = F.lag("value").over(inside)
+    placed = (
+        events.withColumn("__day", _day("created_at"))
+        .withColumn("__rn", F.row_number().over(inside))
+        .withColumn("__turn", F.when(before.isNull() | (before != F.col("value")), F.col("__rn")))
+        .withColumn("__start", F.last("__turn", ignorenulls=True).over(upto))
+        .withColumn("__head", F.first("value").over(whole))
+        .withColumn("__n", F.count(F.lit(1)).over(whole))
+    )
+    tails = placed.where(F.col("__rn") == F.col("__n")).select(
+        *keys,
+        "__head",
+        F.col("value").alias("__tail"),
+        F.col("__n"),
+        (F.col("__n") - F.col("__start") + 1).alias("__trail"),
+        (F.col("__start") == 1).alias("__uniform"),
+    )
+    days = Window.partitionBy("question_id").orderBy("__day")
+    handed = (
+        tails.withColumn("__prior", F.lag("__tail").over(days))
+        .withColumn("__fresh", ~(F.col("__uniform") & F.coalesce(F.col("__prior") == F.col("__head"), F.lit(False))))
+        .withColumn("__group", F.sum(F.col("__fresh").cast("int")).over(days))
+        .withColumn(
+            "__length",
+            F.sum(F.when(F.col("__fresh"), F.col("__trail")).otherwise(F.col("__n"))).over(
+                Window.partitionBy("question_id", "__group").orderBy("__day")
+            ),
+        )
+        .select(*keys, F.col("__prior"), F.lag("__length").over(days).alias("__carried"))
+    )
+    joined = placed.join(handed, keys, "left")
+    continues = (F.col("__start") == 1) & F.coalesce(F.col("__prior") == F.col("value"), F.lit(False))
+    place = F.col("__rn") - F.col("__start") + 1 + F.when(continues, F.col("__carried")).otherwise(0)
+    return joined.select(*events.columns, F.when(place % 2 == 1, F.col("value")).alias("state"))
 
 
 def classify_import(

@@ -255,11 +255,13 @@ def domain_tokens(
     records: DataFrame, domain: Column, text: Column, stop_words: Iterable[str] = ()
 ) -> DataFrame:
     """(domain, term, n): combined before the shuffle."""
-    return (
-        records.select(domain.alias("domain"), F.explode(tx.term_tokens(text, stop_words)).alias("term"))
-        .groupBy("domain", "term")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    word = F.rtrim(F.col("raw"), F.lit(".-_"))
+    rows = records.select(domain.alias("domain"), F.explode(tx.raw_terms(text)).alias("raw"))
+    kept = rows.select("domain", word.alias("term")).where(F.length("term") > 2)
+    stop = sorted(set(stop_words))
+    if stop:
+        kept = kept.where(~F.col("term").isin(*stop))
+    return kept.groupBy("domain", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def distinctive_terms(counts: DataFrame, limit: int = 12, min_count: int = 3) -> DataFrame:

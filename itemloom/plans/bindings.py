@@ -172,7 +172,11 @@ class Bank:
 
     @property
     def item(self) -> DataFrame:
-        raw = self.table("lineitem").select(
+        return self._items(self.table("lineitem"))
+
+    @staticmethod
+    def _items(lineitem: DataFrame) -> DataFrame:
+        raw = lineitem.select(
             "*",
             F.col("l_quantity").cast("bigint").alias("qty"),
             F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
@@ -197,7 +201,7 @@ class Bank:
     def graded_item(self) -> DataFrame:
         """Items with the snapshot they were asked with: options, key and selection."""
         labels = F.array(*[F.lit(x) for x in "ABCDE"])
-        item = self.item.join(
+        item = self._items(spread(self.table("lineitem"), "l_orderkey")).join(
             self.table("part").select(F.col("p_partkey").alias("question_id"), "p_size", "p_brand"), "question_id"
         )
         options = F.slice(labels, F.lit(1), F.lit(3) + F.col("position") % 3)

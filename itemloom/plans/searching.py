@@ -9,6 +9,7 @@ from itemloom.operators import search as X
 from itemloom.operators import state
 from itemloom.plans import bindings as B
 from itemloom.plans.registry import query
+from itemloom.session import cut_lineage
 
 
 def queries(bank):
@@ -101,20 +102,20 @@ def search_reindex(bank):
     return X.reindex(X.postings(docs), left, touched).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("doc_len").alias("doc_len"))
 
 
-def _found(bank, stemmed=False):
+def _index(bank, stemmed=False):
     posted = X.postings(X.search_documents(bank.record))
-    expanded = X.expand_tokens(X.query_tokens(X.parse_queries(queries(bank))), X.vocabulary(posted, stemmed), stemmed)
-    return X.occurrences(posted, expanded)
+    return posted, X.expand_tokens(X.query_tokens(X.parse_queries(queries(bank))), X.vocabulary(posted, stemmed), stemmed)
 
 
 @query("search_matches", f"WITH {FOUND} SELECT query_id, doc_id FROM freq GROUP BY 1, 2 HAVING count(*) = max(n_terms)")
 def search_matches(bank):
-    return X.matches(X.term_frequencies(_found(bank)))
+    return X.matches(X.term_frequencies(*_index(bank)))
 
 
 @query("search_phrase_occurrences", f"WITH {FOUND} SELECT query_id, doc_id, term_no, field, start FROM found WHERE n_tokens > 1")
 def search_phrase_occurrences(bank):
-    return _found(bank).where(F.col("n_tokens") > 1).select("query_id", "doc_id", "term_no", "field", "start")
+    posted, expanded = _index(bank)
+    return X.occurrences(posted, expanded.where(F.col("n_tokens") > 1)).select("query_id", "doc_id", "term_no", "field", "start")
 
 
 @query(
@@ -161,8 +162,10 @@ def search_bm25_stemmed(bank):
     SELECT query_id, doc_id, field, (CASE WHEN start > 0 THEN '…' ELSE '' END) || replace(replace(replace(s, '\x02\x01', ''), '\x01', '['), '\x02', ']') || (CASE WHEN last < n - 1 THEN '…' ELSE '' END) AS snippet FROM marked""",
 )
 def search_snippets(bank):
-    found = _found(bank)
-    hits = X.matches(X.term_frequencies(found))
+    posted, expanded = _index(bank)
+    expanded = cut_lineage(expanded)
+    hits = X.matches(X.term_frequencies(posted, expanded))
+    found = X.occurrences(posted, expanded)
     shown = X.best_windows(found.join(hits, ["query_id", "doc_id"], "left_semi"))
     cut = X.snippets(shown, X.search_documents(bank.record))
     return cut.select("query_id", "doc_id", "field", X.snippet_text(F.col("parts")).alias("snippet"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 RECOMMENDED = {
@@ -31,12 +33,17 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names, when there is one."""
-    context = df.sparkSession.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get(
-        "spark.checkpoint.dir", None
-    )
+    """Materialise a frame several branches read, in reliable storage.
+
+    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Where it is
+    unset, local mode uses a folder of its own and a cluster keeps the lineage.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
     if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder and context.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         if not folder:
             return df
         context.setCheckpointDir(folder)
