@@ -367,13 +367,14 @@ def search_results(
     expanded = expand_tokens(query_tokens(parse_queries(queries)), vocabulary(index, stemmed), stemmed)
     expanded = cut_lineage(expanded)
     frequencies = cut_lineage(term_frequencies(index, expanded))
-    page = (
-        bm25(frequencies, *size_columns(documents)).alias("s").join(scope, F.col("s.doc_id") == F.col("id"))
+    scored = bm25(frequencies, *size_columns(documents))
+    page = cut_lineage(
+        scored.join(scope, scored["doc_id"] == scope["id"])
         .orderBy("score", "id")
         .offset(max(0, offset))
         .limit(max(0, limit))
     )
-    shown = found.join(page.select("doc_id"), "doc_id", "left_semi")
     wanted = documents.join(page.select("doc_id"), "doc_id", "left_semi")
+    shown = occurrences(postings(wanted), expanded)
     parts = snippets(best_windows(shown), wanted).select("doc_id", "parts")
     return page.join(parts, "doc_id", "left").drop("query_id", "doc_id")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from itemloom.functions import text as tx
+from itemloom.session import cut_lineage
 
 # ---- fixed values: histogram edges in characters, last bin open ----
 LENGTH_BINS = {
@@ -269,6 +270,7 @@ def distinctive_terms(counts: DataFrame, limit: int = 12, min_count: int = 3) ->
 
     The fold is a single step: ``xss`` becomes ``xs`` at most.
     """
+    counts = cut_lineage(counts)  # read by the vocabulary, the fold and the domain count
     vocabulary = counts.select(F.col("term").alias("singular")).distinct()
     stem = F.when(F.col("term").endswith("s"), F.regexp_replace("term", "s$", ""))
     folded = (

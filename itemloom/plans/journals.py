@@ -327,3 +327,25 @@ def answer_normalisation(bank):
     return bank.graded_item.select(
         "id", state.normalise_answer(F.col("option_labels"), chosen).alias("n")
     ).select("id", F.array_join("n.kept", ",").alias("kept"), F.array_join("n.unknown", ",").alias("unknown"))
+
+
+@query(
+    "stream_current_mark",
+    f"WITH {B.CURRENT_MARK} SELECT question_id, value, marked_at FROM current_mark",
+)
+def stream_current_mark(bank):
+    """The events table read as a stream of files and folded batch by batch."""
+    import uuid
+
+    from itemloom.session import work_folder
+    from itemloom.streaming import journal
+
+    base = f"{work_folder(bank.spark)}/{uuid.uuid4().hex}"
+    schema = bank.table("events").schema
+    events = journal.read_events(bank.spark, f"{bank.sf_dir}/events.parquet", schema)
+    marks = events.select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("question_id"), F.col("event_type").alias("value"), F.col("ts").alias("created_at")
+    )
+    running = journal.maintain_current_marks(marks, f"{base}/state", f"{base}/checkpoint")
+    running.awaitTermination()
+    return journal.read_state(bank.spark, f"{base}/state", running).select("question_id", "value", F.col("created_at").alias("marked_at"))

@@ -23,12 +23,6 @@ nodes ARRAY<STRUCT<path: STRING, depth: INT, ordinal: INT, kind: STRING, label:
   weight_pct: DOUBLE, weight_min: DOUBLE, weight_max: DOUBLE>>
 """
 
-PAGE_QUESTION = """
-page_id BIGINT, ok BOOLEAN, problem STRING, title STRING, domain STRING, prompt_md STRING,
-options ARRAY<STRUCT<label: STRING, text_md: STRING, correct: BOOLEAN, explanation_md: STRING>>,
-correct_labels ARRAY<STRING>, `references` ARRAY<STRING>
-"""
-
 # ---- fixed values: accepted vocabularies ----
 QUESTION_TYPES = ("single_select", "multi_select")
 MARK_VALUES = ("known", "unsure", "flagged", "cleared")

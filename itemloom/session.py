@@ -32,18 +32,23 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise a frame several branches read, in reliable storage.
+def work_folder(spark: SparkSession) -> str | None:
+    """Shared folder for intermediate tables: ``spark.checkpoint.dir`` as the cluster names it.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Where it is
-    unset, local mode uses a folder of its own and a cluster keeps the lineage.
+    Where it is unset, local mode makes a folder of its own; a cluster gets None.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder and context.master.startswith("local"):
+        folder = context.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise a frame several branches read, in reliable storage, where there is any."""
+    context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not folder and context.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        folder = work_folder(df.sparkSession)
         if not folder:
             return df
         context.setCheckpointDir(folder)
