@@ -342,7 +342,7 @@ def stream_current_mark(bank):
 
     base = f"{work_folder(bank.spark)}/{uuid.uuid4().hex}"
     schema = bank.table("events").schema
-    events = journal.read_events(bank.spark, f"{bank.sf_dir}/events.parquet", schema)
+    events = journal.read_events(bank.spark, f"{bank.sf_dir}/event[s].parquet", schema)
     marks = events.select(
         F.col("event_id").alias("id"), F.col("user_id").alias("question_id"), F.col("event_type").alias("value"), F.col("ts").alias("created_at")
     )

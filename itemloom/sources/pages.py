@@ -335,7 +335,9 @@ PANE_QUESTION = (
 
 def extract_questions(pages: DataFrame, layout: PaneLayout = PaneLayout()) -> DataFrame:
     """(page_id, html) -> one row per question pane, or one row naming the page's problem."""
-    names = [f.strip().split(" ")[0].strip("`") for f in re.sub(r"<.*>", "", PANE_QUESTION).split(",")]
+    names = (
+        "page_id problem title question_number pane_index type domain prompt_md options overall_explanation_md references"
+    ).split()
 
     def one_page(page_id: int, html: str | None) -> list[dict]:
         try:
