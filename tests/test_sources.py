@@ -160,3 +160,21 @@ def test_blueprint_json(spark, tmp_path):
     assert nodes == {"v/c/1#1": None, "v/c/1#1.2": "v/c/1#1"}
     none = spark.createDataFrame([], "id string, name string, vendor string, level string, question_count bigint")
     assert projection.with_blueprint_certifications(none, b).first()["id"] == "c"
+
+
+def test_plain_pages_round_trip(spark):
+    good = '<html><script>var t="</p>";</script><article><h1>Ti_tle</h1><p><b>Bo*ld</b> a&amp;b<br><a href="/x">link</a> x[1] <code>c*d</code></p></article></html>'
+    df = spark.createDataFrame(
+        [(1, "u1", good), (2, "u2", "<p>no article</p>"), (3, "u3", "<article><video>v</video></article>")],
+        "page_id bigint, url string, html string",
+    )
+    out = pages.extract_pages(df)
+    rows = {r["page_id"]: r for r in out.collect()}
+    assert rows[1]["title"] == "Ti_tle" and rows[1]["links"] == ["/x"]
+    assert rows[1]["body_md"] == "Ti_tle\n\n**Bo\\*ld** a&b\n[link](/x) x\\[1\\] `c*d`"
+    assert {r["page_id"]: r["problem"] for r in pages.quarantine(out).withColumnRenamed("url", "u").collect()} == {
+        2: "expected 1 <article>, found 0", 3: "unexpected tag <video> in rich text",
+    }
+    linked = out.where("page_id = 1").withColumn("body_md", F.replace("body_md", F.lit("(/x)"), F.lit("(https://e.org/x)")))
+    check = pages.lossless_check(linked, tx.strip_markdown(F.col("body_md"))).first()
+    assert (check["compared"], check["mismatches"]) == (1, 0)
