@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from itemloom.llm import encoding
-from itemloom.llm.shared import table
+from itemloom.llm import encoding, tokenfiles
+from itemloom.llm.shared import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,3 +31,11 @@ def query(name: str, sql: str | None = None):
 def bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded: token count and digests of ids and text."""
     return encoding.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), digests=True)
+
+
+@query("op8_token_files")
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written to flat files in doc_id order, and what the files say of it."""
+    folder = scratch(spark, "token-files")
+    tokenfiles.write(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), folder)
+    return tokenfiles.read(spark, folder)
