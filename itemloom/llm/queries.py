@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from itemloom.llm import encoding, tokenfiles
+from itemloom.llm import encoding, tokenfiles, toxicity
 from itemloom.llm.shared import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,10 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "token-files")
     tokenfiles.write(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), folder)
     return tokenfiles.read(spark, folder)
+
+
+@query("op7_toxicity")
+def toxic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score, learnt from the labels outside the held-out fold."""
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.toxicity(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
