@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from itemloom.llm import encoding, tokenfiles, toxicity
+from itemloom.llm import encoding, mixing, tokenfiles, toxicity
 from itemloom.llm.shared import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,9 @@ def toxic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity score, learnt from the labels outside the held-out fold."""
     documents = table(spark, sf_dir, "documents")
     return toxicity.toxicity(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
+
+
+@query("op2_source_mixing")
+def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix of all sources takes."""
+    return mixing.taken_words(table(spark, sf_dir, "documents"))
