@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from itemloom.llm import encoding, mixing, tokenfiles, toxicity
+from itemloom.llm import encoding, mixing, secrets, tokenfiles, toxicity
 from itemloom.llm.shared import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,9 @@ def toxic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix of all sources takes."""
     return mixing.taken_words(table(spark, sf_dir, "documents"))
+
+
+@query("op4_secret_scan", secrets.ORACLE)
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, each distinct text scanned once, through a ledger of its own."""
+    return secrets.scan(table(spark, sf_dir, "documents"), scratch(spark, "secret-ledger"))
