@@ -7,8 +7,8 @@ piece.  An automaton over the vocabulary reports the tokens that end at each pos
 the last token already stored for the shorter prefix, and the candidate would stay apart
 under the merges.  Back-pointers then give the ids.  The cost is linear in the text.
 
-Pieces are the vocabulary's own split of the text.  They repeat, so each worker keeps the
-ids of pieces it has met, up to a fixed number.
+Pieces are the vocabulary's own split of the text.  Words repeat, so each worker keeps the
+ids of those it has met, up to a fixed number (``words``).
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemloom.llm.shared import bounded_batches, whole_text, worker_state
+from itemloom.llm.words import WordIds
 
-#: Words (and pairs) a worker remembers; beyond it they are computed each time they are met.
+#: Pairs of tokens a worker remembers; beyond it they are tested each time they are met.
 REMEMBERED = 300_000
 
 #: The vocabulary's split for texts of Latin letters (fixed values: its alternatives, up to U+024F).
@@ -48,7 +49,10 @@ def byte_letters() -> list[str]:
 
 
 class Encoder:
-    """Exact ids of a byte-level BPE vocabulary file, and their text."""
+    """Exact ids of a byte-level BPE vocabulary file, and their text.
+
+    ``ids(text)`` gives native unsigned 32-bit integers, ``text(ids)`` the text again.
+    """
 
     def __init__(self, path: str):
         import ahocorasick
@@ -79,7 +83,7 @@ class Encoder:
         self._split = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
         self._apart: dict[int, bool] = {}
         self._edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        self._words: dict[str, bytes] = {}  # ids of a word and the blank before it
+        self.ids = WordIds(lambda texts: [self._split_ids(t) for t in texts], {t: array("I", [i]).tobytes() for t, i in self.special.items()}).ids
 
     # -- pairs ---------------------------------------------------------------------------------
 
@@ -158,38 +162,6 @@ class Encoder:
             out.extend(self.piece_ids(piece))
         return out.tobytes()
 
-    def _plain_ids(self, text: str) -> bytes:
-        """Ids of a text without special tokens.
-
-        A blank before a visible character always begins a piece, and a line end between two
-        visible ones is a piece of its own, so the text is cut there and whole words are
-        looked up.  Any other white space sends the text through the full split.
-        """
-        if " \n" in text:
-            return self._split_ids(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        known = self._words
-        found = [known.get(w) for w in rest]
-        if None in found:
-            for at, ids in enumerate(found):
-                if ids is None:
-                    word = rest[at]
-                    inner = word[1:] if word[:1] == "\n" else word
-                    if not inner or inner[0].isspace():
-                        return self._split_ids(text)
-                    found[at] = ids = known[word] if word in known else self._split_ids(word if inner is not word else " " + word)
-                    if len(known) < REMEMBERED:
-                        known[word] = ids
-        return (self._split_ids(first) if first else b"") + b"".join(found)
-
-    def ids(self, text: str) -> bytes:
-        """Ids of a whole text as native unsigned 32-bit integers."""
-        for special, token in self.special.items():
-            if special in text:
-                between = array("I", [token]).tobytes()
-                return between.join(self.ids(part) for part in text.split(special))
-        return self._plain_ids(text) if text else b""
-
     def text(self, ids: bytes | np.ndarray) -> str:
         """Text of ids: bytes that are no UTF-8 become replacement characters."""
         table = self.token_bytes

@@ -28,17 +28,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from itemloom.llm.shared import bounded_batches, whole_text, worker_state
+from itemloom.llm.words import WordIds
 
 #: Characters handed to the tokenizers library at once; bounds what its results take in memory.
 CALL_CHARS = 400_000
 #: Where a long text may be cut: before a blank between two ASCII letters a piece always begins.
 CUT = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
+#: A blank and a word; how many of them go to the library at once.
+VISIBLE, CALL_WORDS = re.compile(r" \S+"), 20_000
 
 MANIFEST = "part bigint, file string, n_docs bigint, n_tokens bigint"
 ROWS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
-def _tokenizer(path: str):
+def _tokenizer(path: str) -> WordIds:
+    """The tokenizers library's ids of whole texts; it encodes each word a worker has not met."""
     state = worker_state()
     key = ("tokenizer", path)
     if key not in state:
@@ -48,7 +52,8 @@ def _tokenizer(path: str):
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        state[key] = tokenizer
+        specials = {t.content: np.uint32(i).tobytes() for i, t in tokenizer.get_added_tokens_decoder().items()}
+        state[key] = WordIds(lambda texts: _encoded_words(tokenizer, texts), specials)
     return state[key]
 
 
@@ -88,6 +93,27 @@ def _encoded(tokenizer, texts: Iterable[str]) -> Iterator[np.ndarray]:
         yield np.concatenate(parts) if len(parts) != 1 else parts[0]
 
 
+def _encoded_words(tokenizer, texts: list[str]) -> list[bytes]:
+    """As ``_encoded``, but visible words go to the library as the lines of one text.
+
+    A line end before a blank and a visible character is a piece of its own, so its id
+    parts the words' ids again.
+    """
+    visible = [VISIBLE.fullmatch(t) is not None for t in texts]
+    lines = [t for t, plain in zip(texts, visible) if plain]
+    others = _encoded(tokenizer, [t for t, plain in zip(texts, visible) if not plain])
+    words: list[bytes] = []
+    for begin in range(0, len(lines), CALL_WORDS):
+        encoding = tokenizer.encode_batch_fast(["\n".join(lines[begin : begin + CALL_WORDS])], add_special_tokens=False)[0]
+        ids = np.asarray(encoding.ids, np.uint32)
+        end_of_line = tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        ends = np.flatnonzero(ids == end_of_line).tolist()
+        data = ids.tobytes()
+        words += [data[4 * a : 4 * b] for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)])]
+    parted = iter(words)
+    return [next(parted) if plain else next(others).tobytes() for plain in visible]
+
+
 def _file_system(folder: str):
     """Reader and writer of any shared store, and the folder's path in it."""
     from pyarrow import fs
@@ -110,7 +136,8 @@ def _write_part(vocabulary: str, folder: str, end_id: int, dtype: str, batches:
     known: list[int] = []
     with store.open_output_stream(own + ".bin") as out:
         for batch in batches:
-            for ids in _encoded(tokenizer, batch["text"]):
+            for text in batch["text"]:
+                ids = np.frombuffer(tokenizer.ids(text), np.uint32)
                 out.write(np.append(ids, np.uint32(end_id)).astype(dtype).tobytes())
                 sizes.append(len(ids) + 1)
             present = batch["doc_id"].notna()
