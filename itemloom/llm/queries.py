@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from itemloom.llm import encoding, mixing, secrets, tokenfiles, toxicity
+from itemloom.llm import encoding, kdtree, mixing, secrets, tokenfiles, toxicity
 from itemloom.llm.shared import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,9 @@ def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document, each distinct text scanned once, through a ledger of its own."""
     return secrets.scan(table(spark, sf_dir, "documents"), scratch(spark, "secret-ledger"))
+
+
+@query("op9_exact_top_k", kdtree.ORACLE)
+def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best rows by integer inner product of every hundredth vector."""
+    return kdtree.top_k(table(spark, sf_dir, "embeddings"))
