@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from itemloom.llm import encoding, kdtree, mixing, secrets, tokenfiles, toxicity
+from itemloom.llm import encoding, kdtree, mixing, rabit, secrets, tokenfiles, toxicity
 from itemloom.llm.shared import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,9 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best rows by integer inner product of every hundredth vector."""
     return kdtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query("op10_embedding_near_dedup", rabit.ORACLE)
+def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors with a cosine of 0.9 or more."""
+    return rabit.near_duplicates(table(spark, sf_dir, "embeddings"))
