@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from itemloom.llm import encoding, kdtree, mixing, rabit, secrets, tokenfiles, toxicity
+from itemloom.llm import encoding, jaccard, kdtree, mixing, rabit, secrets, tokenfiles, toxicity
 from itemloom.llm.shared import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,9 @@ def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors with a cosine of 0.9 or more."""
     return rabit.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op5_ngram_jaccard")
+def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose three-word shingles have a Jaccard similarity of 0.9."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), 3, 90)
