@@ -21,13 +21,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from itemloom.llm.shared import materialised
+
 #: A word; words of a block; slots of an output shard; buckets that a source's running sums go by.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 BLOCK, SHARD, BUCKETS = 64, 4096, 1024
 #: Weights in turn, share of all words the mix has, and how often a source may be used.
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2
-SEED, TURNS = 20240607, 16
+SEED = 20240607
+#: Multipliers of the permutations.
+PRIMES = (1048583, 1299709, 1600033, 1750009, 1900009, 2000003)
 
 
 def word_count(text: Column) -> Column:
@@ -152,31 +156,37 @@ def slots(drawn: DataFrame, most: int = MOST) -> DataFrame:
     numbered = (
         drawn.withColumn("first", F.coalesce(F.sum("count").over(earlier), F.lit(0)))
         .withColumn("place", F.coalesce(F.sum("count").over(within), F.lit(0)))
-        .select("shard", "rank", "blocks", "first", "place", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("count") - 1)).alias("k"))
+        # Primes that do not divide the number of blocks: at least three of six, as any four exceed 64 bits.
+        .withColumn("multipliers", F.filter(F.array(*[F.lit(p).cast("bigint") for p in PRIMES]), lambda p: F.col("blocks") % p != 0))
+        .select("shard", "rank", "blocks", "multipliers", "first", "place", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("count") - 1)).alias("k"))
         .withColumn("slot", F.col("place") + F.col("k"))
         .withColumn("j", F.col("first") + F.col("k"))
         .filter(F.col("j") < F.lit(most) * F.col("blocks"))
         .withColumn("round", F.floor(F.col("j") / F.col("blocks")).cast("int"))
     )
-    # A swap-or-not shuffle: each turn pairs x with a keyed reflection of it and moves both
-    # or neither, which permutes any range without leaving it.
+    # Each turn is a bijection of the block numbers: a multiplication and a shift, then a
+    # swap-or-not step, which pairs x with a keyed reflection of it and moves both or neither.
+    n = F.col("blocks")
+
     def turned(x: Column, turn: Column) -> Column:
         key = F.xxhash64(F.lit(SEED), turn, "rank", "round")
-        other = F.pmod(F.pmod(key, F.col("blocks")) - x, F.col("blocks"))
-        swap = F.xxhash64(F.lit(SEED), turn, key, F.greatest(x, other)) % 2 == 0
-        return F.when(swap, other).otherwise(x)
+        x = F.pmod(x * F.element_at("multipliers", turn) + F.pmod(key, n), n)
+        mirror = F.pmod(F.pmod(F.xxhash64(key), n) - x, n)
+        return F.when(F.xxhash64(key, F.greatest(x, mirror)) % 2 == 0, mirror).otherwise(x)
 
-    numbered = numbered.withColumn("block", F.aggregate(F.array(*map(F.lit, range(TURNS))), F.col("j") % F.col("blocks"), turned))
+    numbered = numbered.withColumn("block", F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), F.col("j") % n, turned))
     return numbered.select("shard", "slot", "rank", "round", "block")
 
 
 def sized_documents(documents: DataFrame) -> DataFrame:
-    return documents.select(
+    """doc_id, source, size and text_hash, written down once: every step reads these, none the texts."""
+    rows = documents.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         word_count(F.col("text")).alias("size"),
         F.xxhash64("text").alias("text_hash"),
     )
+    return materialised(rows, "sized-documents")
 
 
 def _pieces(located: DataFrame, block: int) -> DataFrame:
@@ -202,7 +212,7 @@ def mixed_spans(documents: DataFrame, block: int = BLOCK, shard: int = SHARD) ->
     sized = sized_documents(documents)
     plan = targets(sized)
     located = placed(sized).join(plan.select(F.col("source").alias("plan_source"), "rank"), F.col("source").eqNullSafe(F.col("plan_source")))
-    taken = slots(draws(plan, block, shard))
+    taken = slots(draws(plan, block, shard)).hint("merge")
     return _pieces(located, block).join(taken, ["rank", "block"]).select("shard", "slot", "source", "round", "doc_id", "text_hash", "from", "words")
 
 
@@ -218,7 +228,8 @@ def taken_words(documents: DataFrame, block: int = BLOCK, shard: int = SHARD) ->
     plan = targets(sized)
     source = plan.select(F.col("source").alias("plan_source"), "source_size", "target", "rank")
     located = placed(sized).join(source, F.col("source").eqNullSafe(F.col("plan_source")))
-    times = slots(draws(plan, block, shard)).groupBy("rank", "block").agg(F.count("*").alias("times"))
+    # Merged, not broadcast: slots are made after the last exchange whose size is known.
+    times = slots(draws(plan, block, shard)).groupBy("rank", "block").agg(F.count("*").alias("times")).hint("merge")
     pieces = _pieces(located, block).join(times, ["rank", "block"], "left")
     with_words = pieces.groupBy("rank", "start", "doc_id", "size", "source_size", "target").agg(
         F.sum(F.coalesce(F.col("times"), F.lit(0)) * F.col("words")).alias("taken")
