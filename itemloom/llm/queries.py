@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from itemloom.llm import encoding, jaccard, kdtree, mixing, rabit, secrets, tokenfiles, toxicity
+from itemloom.llm import encoding, jaccard, kdtree, mixing, rabit, secrets, suffixes, tokenfiles, toxicity
 from itemloom.llm.shared import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,9 @@ def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents whose three-word shingles have a Jaccard similarity of 0.9."""
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), 3, 90)
+
+
+@query("op6_suffix_dedup")
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 200-byte strings that start anywhere else too."""
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"))
