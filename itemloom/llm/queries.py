@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from itemloom.llm import encoding, jaccard, kdtree, mixing, rabit, secrets, suffixes, tokenfiles, toxicity
+from itemloom.llm import encoding, jaccard, kdtree, mixing, rabit, secrets, suffixes, tokenfiles, toxicity, urls
 from itemloom.llm.shared import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,4 +85,11 @@ def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_repeats(table(spark, sf_dir, "documents"))
 
 
+@query("op3_url_filters", urls.ORACLE)
+def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by the dated list entries active on the day it was fetched."""
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(urls.page_captures(pages), urls.page_list(pages))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
