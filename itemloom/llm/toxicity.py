@@ -136,6 +136,8 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tupl
     rows = training_rows(documents, labels, sample).repartition(1)
     fitted = rows.mapInPandas(task, "at binary, weights binary, intercept double").first()
     weights = np.zeros(BUCKETS, np.float32)
+    if fitted is None:  # Spark plans no task for what it knows to be empty
+        return fit([], [])
     weights[np.frombuffer(bytes(fitted["at"]), np.int32)] = np.frombuffer(bytes(fitted["weights"]), np.float32)
     return weights, fitted["intercept"]
 
