@@ -359,6 +359,7 @@ def search_results(
     """
     if not has_terms(raw):
         page = scope.orderBy("id").offset(max(0, offset)).limit(max(0, limit))
+        page = page.withColumn("rank", F.row_number().over(Window.orderBy("id")) + max(0, offset))
         return page.withColumn("score", F.lit(0.0)).withColumn(
             "parts", F.lit(None).cast("array<struct<text:string,matched:boolean>>")
         )
@@ -368,13 +369,15 @@ def search_results(
     expanded = cut_lineage(expanded)
     frequencies = cut_lineage(term_frequencies(index, expanded))
     scored = bm25(frequencies, *size_columns(documents))
-    page = cut_lineage(
+    top = (
         scored.join(scope, scored["doc_id"] == scope["id"])
         .orderBy("score", "id")
         .offset(max(0, offset))
         .limit(max(0, limit))
     )
+    # A page is bounded by its limit; its rank survives the join with the snippets.
+    page = cut_lineage(top.withColumn("rank", F.row_number().over(Window.orderBy("score", "id")) + max(0, offset)))
     wanted = documents.join(page.select("doc_id"), "doc_id", "left_semi")
     shown = occurrences(postings(wanted), expanded)
     parts = snippets(best_windows(shown), wanted).select("doc_id", "parts")
-    return page.join(parts, "doc_id", "left").drop("query_id", "doc_id")
+    return page.join(parts, "doc_id", "left").drop("query_id", "doc_id").orderBy("rank")

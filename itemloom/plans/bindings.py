@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemloom.functions.text import content_hash
-from itemloom.session import spread
 
 ORIGINS = {
     "en": "vendor_dump",
@@ -101,7 +100,7 @@ class Bank:
     @property
     def record(self) -> DataFrame:
         """Documents as canonical nested question records (schemas.QUESTION + order_key)."""
-        d = spread(self.table("documents"), "doc_id").join(self.table("labels"), "doc_id", "left")
+        d = self.table("documents").join(self.table("labels"), "doc_id", "left")
         d = d.join(self.citing_pages, F.col("doc_id") == F.col("page_id"), "left")
         n = F.nullif(F.regexp_extract("source", r"(\d+)", 1), F.lit("")).cast("int")
         parts = F.split("text", "\n")
@@ -112,7 +111,7 @@ class Bank:
                 F.concat(F.lit("o"), (i + 1).cast("string")).alias("label"),
                 line.alias("text_md"),
                 (F.length(line) % 3 == 0).alias("correct"),
-                F.when(F.length(line) % 2 == 0, F.left(line, F.lit(20))).alias("explanation_md"),
+                F.when(F.length(line) % 2 == 0, line).alias("explanation_md"),
             ),
         )
         correct = F.transform(F.filter(options, lambda o: o["correct"]), lambda o: o["label"])
@@ -138,7 +137,7 @@ class Bank:
             parts[0].alias("prompt_md"),
             options.alias("options"),
             correct.alias("correct_labels"),
-            F.when(F.col("quality").isNotNull(), F.left(F.col("text"), F.lit(60))).alias("overall_explanation_md"),
+            F.when(F.col("quality").isNotNull(), F.col("text")).alias("overall_explanation_md"),
             F.coalesce("references", F.array().cast("array<string>")).alias("references"),
             F.struct(
                 F.col("lang").alias("provider"),
@@ -201,7 +200,7 @@ class Bank:
     def graded_item(self) -> DataFrame:
         """Items with the snapshot they were asked with: options, key and selection."""
         labels = F.array(*[F.lit(x) for x in "ABCDE"])
-        item = self._items(spread(self.table("lineitem"), "l_orderkey")).join(
+        item = self._items(self.table("lineitem")).join(
             self.table("part").select(F.col("p_partkey").alias("question_id"), "p_size", "p_brand"), "question_id"
         )
         options = F.slice(labels, F.lit(1), F.lit(3) + F.col("position") % 3)
@@ -319,7 +318,7 @@ RECORD = CITED + f""", record AS (
     d.doc_id::INT AS question_number,
     CASE WHEN d.n_chars % 41 <> 0 THEN {_DOMAIN} END AS domain,
     {_PARTS}[1] AS prompt_md, {_PARTS}[2:] AS texts,
-    CASE WHEN l.quality IS NOT NULL THEN left(d.text, 60) END AS overall_explanation_md,
+    CASE WHEN l.quality IS NOT NULL THEN d.text END AS overall_explanation_md,
     coalesce(c.refs, []) AS refs, d.lang AS provider,
     CASE WHEN l.quality = 1 THEN 'curated' END AS origin_given
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN cite_raw c ON c.page_id = d.doc_id),
@@ -327,7 +326,7 @@ option_row AS (
   SELECT id, n, unnest(texts) AS text_md, generate_subscripts(texts, 1) AS pos FROM record),
 options_of AS (
   SELECT id AS oid, 'o' || pos AS label, (pos - 1)::INT AS position, text_md, length(text_md) % 3 = 0 AS is_correct,
-    CASE WHEN length(text_md) % 2 = 0 THEN left(text_md, 20) END AS explanation_md FROM option_row),
+    CASE WHEN length(text_md) % 2 = 0 THEN text_md END AS explanation_md FROM option_row),
 key_of AS (
   SELECT oid, list(label ORDER BY position) FILTER (is_correct) AS correct_labels, count(*) FILTER (is_correct) AS n_correct, count(*) AS n_options
   FROM options_of GROUP BY oid),

@@ -167,9 +167,9 @@ _DRAW = f"WITH RECURSIVE {_POOL}, {_GRANT}, {_PICK}"
 
 def pool(bank):
     kind = F.col("event_type")
-    event = bank.table("events").where(F.col("value") > 30).select(
+    event = bank.table("events").select(
         F.col("user_id").alias("question_id"),
-        F.when(kind == "error", "known_bad").when(kind == "purchase", "human_reviewed").when(kind == "view", "ai_reviewed").otherwise("noted").alias("level"),
+        F.when(F.col("value") <= 30, "noted").when(kind == "error", "known_bad").when(kind == "purchase", "human_reviewed").when(kind == "view", "ai_reviewed").otherwise("noted").alias("level"),
     )
     dispute = bank.table("events").where(kind == "signup").select(
         F.col("user_id").alias("question_id"), F.when(F.col("value") < 3, "open").otherwise("resolved").alias("state")

@@ -8,7 +8,6 @@ from itemloom.functions import text as tx
 from itemloom.operators import outline as O
 from itemloom.plans import bindings as B
 from itemloom.plans.registry import query
-from itemloom.session import spread
 from itemloom.sources import outlines, pages
 
 # One outline file per nation: headers, then up to three lines per customer.
@@ -147,7 +146,7 @@ def outline_source_drift(bank):
 
 
 def extracted(bank):
-    return pages.extract_pages(spread(bank.table("pages"), "page_id"))
+    return pages.extract_pages(bank.table("pages"))
 
 
 @query("page_extraction")
@@ -182,24 +181,24 @@ def exam_title_fields(bank):
 # ------------------------------------------------------------ text functions
 
 
-@query("slugs", f"SELECT doc_id, {B.SLUG.format(x='left(text, 80)')} AS slug FROM documents")
+@query("slugs", f"SELECT doc_id, {B.SLUG.format(x='text')} AS slug FROM documents")
 def slugs(bank):
-    return bank.table("documents").select("doc_id", tx.slugify(F.left("text", F.lit(80))).alias("slug"))
+    return bank.table("documents").select("doc_id", tx.slugify(F.col("text")).alias("slug"))
 
 
 @query("normalised_text", "SELECT doc_id, sha256(trim(regexp_replace(replace(text, chr(160), ' '), '\\s+', ' ', 'g'))) AS digest FROM documents")
 def normalised_text(bank):
-    return spread(bank.table("documents"), "doc_id").select("doc_id", F.sha2(tx.norm(F.col("text")), 256).alias("digest"))
+    return bank.table("documents").select("doc_id", F.sha2(tx.norm(F.col("text")), 256).alias("digest"))
 
 
 @query(
     "stripped_markdown",
-    """WITH t AS (SELECT doc_id, '**' || left(x, 10) || '** [' || replace(replace(left(x, 5), '[', ''), ']', '') || '](https://e.org/' || doc_id || ') a\\*b' AS md, x FROM (SELECT doc_id, regexp_replace(text, '[^a-zA-Z \\n]', '', 'g') AS x FROM documents))
-    SELECT doc_id, trim(regexp_replace(left(x, 10) || ' ' || left(x, 5) || ' a*b', '\\s+', ' ', 'g')) AS plain FROM t""",
+    """WITH t AS (SELECT doc_id, trim(regexp_replace(text, '[^a-zA-Z]+', ' ', 'g')) AS x FROM documents)
+    SELECT doc_id, trim(regexp_replace(x || ' ' || x || ' a*b', '\\s+', ' ', 'g')) AS plain FROM t""",
 )
 def stripped_markdown(bank):
-    x = F.regexp_replace("text", r"[^a-zA-Z \n]", "")
-    md = F.concat(F.lit("**"), F.left(x, F.lit(10)), F.lit("** ["), F.left(x, F.lit(5)), F.lit("](https://e.org/"), F.col("doc_id").cast("string"), F.lit(") a\\*b"))
+    x = F.trim(F.regexp_replace("text", "[^a-zA-Z]+", " "))
+    md = F.concat(F.lit("**"), x, F.lit("** ["), x, F.lit("](https://e.org/"), F.col("doc_id").cast("string"), F.lit(") a\\*b"))
     return bank.table("documents").select("doc_id", tx.strip_markdown(md).alias("plain"))
 
 
@@ -220,7 +219,7 @@ def _violation_sql() -> str:
 @query("markdown_violations", _violation_sql())
 def markdown_violations(bank):
     joiner = F.get(F.array(*[F.lit(".\n" + m) for m in ("# ", "- ", "1. ", "> ", "| a |\n", "<b>")], F.lit(" ![x](y) ")), F.col("doc_id") % 7)
-    d = spread(bank.table("documents"), "doc_id").withColumn("text", F.replace("text", F.lit(". "), joiner))
+    d = bank.table("documents").withColumn("text", F.replace("text", F.lit(". "), joiner))
     return d.select("doc_id", F.explode(tx.markdown_violations(F.col("text"))).alias("v")).select("doc_id", "v.*")
 
 

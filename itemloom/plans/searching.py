@@ -179,7 +179,7 @@ def _results(bank, raw, filters, limit=20, offset=0):
 
 @query(
     "search_results_page",
-    f"""WITH {SCORED.replace(Q, 'query AS (SELECT 0 AS query_id)', 1).replace('round(-sum(', '(-sum(').replace('(nt / nd)))), 6)', '(nt / nd)))))')}, {B.SCOPE} SELECT s.certification_name, s.exam_title, s.domain_label, x.doc_id AS id, round(x.score, 6) AS score FROM scored x
+    f"""WITH {SCORED.replace(Q, 'query AS (SELECT 0 AS query_id)', 1).replace('round(-sum(', '(-sum(').replace('(nt / nd)))), 6)', '(nt / nd)))))')}, {B.SCOPE} SELECT s.certification_name, s.exam_title, s.domain_label, x.doc_id AS id, round(x.score, 6) AS score, (row_number() OVER (ORDER BY x.score, x.doc_id))::INT AS rank FROM scored x
     JOIN scope s ON s.certification_id || '/' || s.exam_slug || '/q' || s.id = x.doc_id WHERE s.certification_id = 'en' ORDER BY x.score, x.doc_id LIMIT 20 OFFSET 5""".replace(
         "query AS (SELECT 0 AS query_id)",
         "qt AS (SELECT 0 AS query_id, i::INT AS term_no, 2::BIGINT AS n_terms, 1 AS n_tokens, 0 AS off, tkn AS token, i = 1 AS is_prefix FROM (VALUES (0, 'ouen'), (1, 'tha')) v(i, tkn))",
@@ -187,7 +187,7 @@ def _results(bank, raw, filters, limit=20, offset=0):
 )
 def search_results_page(bank):
     page = _results(bank, "Ouen tha*", S.SearchFilters(certification_id="en"), 20, 5)
-    return page.select("certification_name", "exam_title", "domain_label", "id", F.round("score", 6).alias("score"))
+    return page.select("certification_name", "exam_title", "domain_label", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("search_results_with_snippets")

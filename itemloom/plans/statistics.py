@@ -9,7 +9,6 @@ from itemloom.functions import text as tx
 from itemloom.operators import exams, projection as P, stats
 from itemloom.plans import bindings as B
 from itemloom.plans.registry import query
-from itemloom.session import spread
 
 M = f"""WITH {B.RECORD}, sums AS (SELECT oid, sum(length(text_md)) AS oc, sum(length(coalesce(explanation_md, ''))) AS xc FROM options_of GROUP BY oid),
   m AS (SELECT f.*, f.cert AS certification_id, f.domain AS domain_label, length(prompt_md) AS pc, length(coalesce(overall_explanation_md, '')) AS ec, coalesce(oc, 0) AS oc, coalesce(xc, 0) AS xc, len(refs)::INT AS n_references
@@ -204,7 +203,7 @@ _TOKENS = """tok AS (SELECT lang || ' / ' || source AS domain, unnest(list_filte
 
 
 def _term_counts(bank):
-    return stats.domain_tokens(spread(bank.table("documents"), "doc_id"), F.concat_ws(" / ", "lang", "source"), F.col("text"), _STOP)
+    return stats.domain_tokens(bank.table("documents"), F.concat_ws(" / ", "lang", "source"), F.col("text"), _STOP)
 
 
 @query("domain_term_counts", f"WITH {_TOKENS} SELECT domain, term, n FROM counts")
@@ -267,10 +266,10 @@ def counts_by_origin(bank):
 
 @query(
     "certification_question_counts",
-    "SELECT n_name AS certification_id, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9900 GROUP BY 1",
+    "SELECT n_name AS certification_id, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1",
 )
 def certification_question_counts(bank):
-    rich = bank.table("customer").where(F.col("c_acctbal") > 9900).groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("k"))
+    rich = bank.table("customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("k"))
     return bank.table("nation").join(rich, F.col("n_nationkey") == F.col("c_nationkey"), "left").select(
         F.col("n_name").alias("certification_id"), F.coalesce("k", F.lit(0).cast("bigint")).alias("n")
     )

@@ -201,7 +201,7 @@ def certifications_from_blueprints(bank):
 
 @query(
     "domain_map_rows",
-    f"""WITH dom AS (SELECT r_name AS cert, n_name AS label, count(*) AS c FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE c_acctbal > 9000 GROUP BY ALL), {_TREE}
+    f"""WITH dom AS (SELECT r_name AS cert, n_name AS label, count(*) AS c FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ALL), {_TREE}
     SELECT dom.cert || '/' || {_slug('dom.label')} AS domain_id, blueprint_id || '#' || path AS node_id, 'exact' AS join_method FROM dom JOIN node ON node.cert = dom.cert AND node.label = dom.label AND depth = 1""",
 )
 def domain_map_rows(bank):
@@ -209,7 +209,7 @@ def domain_map_rows(bank):
 
     nation = bank.table("nation").join(bank.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     dom = (
-        bank.table("customer").where(F.col("c_acctbal") > 9000).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        bank.table("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .select(F.col("r_name").alias("certification_id"), F.col("n_name").alias("label")).distinct()
         .withColumn("id", F.concat_ws("/", "certification_id", slugify(F.col("label"))))
     )
@@ -472,9 +472,8 @@ def shard_index_freshness(bank):
 
 
 _FINGERPRINT = """files AS (SELECT 0 AS kind, source || '/' || doc_id AS path, sha256(text) AS sha FROM documents UNION ALL SELECT 1, 'item/' || item_id, sha256(text) FROM benchmark),
-    b AS (SELECT *, CASE WHEN (SELECT count(*) FROM files) > 1000 THEN (('0x' || left(md5(path), 7))::BIGINT) % ceil((SELECT count(*) FROM files) / 1000.0)::BIGINT ELSE 0 END AS bucket FROM files),
-    d AS (SELECT bucket, sha256(string_agg(path || ':' || sha || chr(10), '' ORDER BY kind, path)) AS d FROM b GROUP BY bucket),
-    fp AS (SELECT CASE WHEN count(*) = 1 THEN min(d) ELSE sha256(string_agg(d || chr(10), '' ORDER BY bucket)) END AS fingerprint FROM d)"""
+    d AS (SELECT left(md5(path), 3) AS bucket, sha256(string_agg(path || ':' || sha || chr(10), '' ORDER BY kind, path)) AS d FROM files GROUP BY 1),
+    fp AS (SELECT sha256(string_agg(bucket || ':' || d || chr(10), '' ORDER BY bucket)) AS fingerprint FROM d)"""
 
 
 def _fingerprint(bank):

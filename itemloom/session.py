@@ -45,21 +45,11 @@ def work_folder(spark: SparkSession) -> str | None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise a frame several branches read, in reliable storage, where there is any."""
+    """Materialise a frame several branches read, in reliable storage that all executors see."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         folder = work_folder(df.sparkSession)
         if not folder:
-            return df
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder)
     return df.checkpoint()
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give CPU-heavy row work every core when a scan has fewer splits than cores.
-
-    Only a small or unsplittable input has so few splits, so the extra exchange is small
-    too; an input that already fills the cluster is returned untouched.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

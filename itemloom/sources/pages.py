@@ -185,225 +185,3 @@ def lossless_check(extracted: DataFrame, stripped, by: str = "url") -> DataFrame
         .groupBy(by)
         .agg(F.count(F.lit(1)).alias("compared"), F.count_if(~F.col("__same")).alias("mismatches"))
     )
-
-
-# ----------------------------------------------------------- question panes
-
-
-@dataclass(frozen=True)
-class PaneLayout:
-    """Where a results page keeps its questions: class fragments, ids and data-purpose values."""
-
-    # ---- fixed values: the markers of a saved results page ----
-    header: str = "results-header--title"
-    pane: str = "question-result-pane-wrapper"
-    pane_title: str = "pane-title"
-    prompt: str = "question-prompt"
-    answer_pane: str = "result-pane--answer-result-pane"
-    answer: str = "answer"
-    answer_text: str = "answer-text"
-    explanation: str = "question-explanation"
-    overall: str = "overall-explanation"
-    domain: str = "domain-pane"
-    domain_header: str = "domain-pane-header"
-    icon: str = "answer-result-body-selection-icon"
-    correct: str = "answer-correct"
-
-
-class Element:
-    """A parsed element: tag, attributes and children (elements or text)."""
-
-    __slots__ = ("tag", "attrs", "children")
-
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
-
-    def walk(self) -> Iterator[Element]:
-        for child in self.children:
-            if isinstance(child, Element):
-                yield child
-                yield from child.walk()
-
-    def by_class(self, fragment: str) -> list[Element]:
-        return [e for e in self.walk() if fragment in e.attrs.get("class", "")]
-
-    def by(self, name: str, value: str) -> list[Element]:
-        return [e for e in self.walk() if e.attrs.get(name) == value]
-
-    def words(self) -> str:
-        pieces = [c if isinstance(c, str) else c.words() for c in self.children]
-        return " ".join(p.strip() for p in pieces if p.strip())
-
-
-class _TreeBuilder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = Element("", {})
-        self.open = [self.root]
-
-    def handle_starttag(self, tag, attrs):
-        element = Element(tag, {k: v or "" for k, v in attrs})
-        if tag == "p" and self.open[-1].tag == "p":
-            self.open.pop()
-        self.open[-1].children.append(element)
-        if tag not in VOID_TAGS:
-            self.open.append(element)
-
-    def handle_startendtag(self, tag, attrs):
-        self.open[-1].children.append(Element(tag, {k: v or "" for k, v in attrs}))
-
-    def handle_endtag(self, tag):
-        at = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i].tag == tag), None)
-        if at is not None:
-            del self.open[at:]
-
-    def handle_data(self, data):
-        self.open[-1].children.append(data)
-
-
-def rich_markdown(element: Element) -> str:
-    """Rich text to Markdown; a tag outside the known set is an error."""
-
-    def render(node, in_code: bool) -> str:
-        if isinstance(node, str):
-            return node if in_code else ESCAPED.sub(r"\\\g<0>", node)
-        if node.tag == "br":
-            return "\n"
-        if node.tag not in RICH_TAGS:
-            raise ValueError(f"unexpected tag <{node.tag}> in rich text")
-        body = "".join(render(c, in_code or node.tag == "code") for c in node.children)
-        inner = body.strip()
-        if node.tag == "p":
-            return inner + "\n\n"
-        if node.tag == "a":
-            href = node.attrs.get("href", "").strip()
-            return f"[{inner}]({href})" if href else inner
-        mark = WRAP[node.tag]
-        return f"{mark}{inner}{mark}" if inner else ""
-
-    return tidy("".join(render(c, False) for c in element.children))
-
-
-def _only(found: list[Element], what: str) -> Element:
-    if len(found) != 1:
-        raise ValueError(f"expected 1 {what}, found {len(found)}")
-    return found[0]
-
-
-def _pane_question(pane: Element, index: int, at: PaneLayout) -> dict:
-    titles = pane.by_class(at.pane_title)
-    numbered = re.search(r"Question\s+(\d+)", titles[0].words()) if titles else None
-    icons = [u for icon in pane.by("data-purpose", at.icon) for u in icon.walk() if u.tag == "use"]
-    href = (icons[0].attrs.get("xlink:href") or icons[0].attrs.get("href", "")) if icons else ""
-    options = []
-    for i, box in enumerate(pane.by_class(at.answer_pane)):
-        answers = box.by("data-purpose", at.answer)
-        if answers:
-            options.append(
-                {
-                    "label": chr(ord("A") + i),
-                    "text_md": rich_markdown(_only(answers[0].by("id", at.answer_text), "answer text")),
-                    "correct": at.correct in answers[0].attrs.get("class", ""),
-                    "explanation_md": rich_markdown(_only(box.by("id", at.explanation), "explanation")),
-                }
-            )
-    domain = _only(pane.by("data-purpose", at.domain), "domain pane")
-    for holder in [domain, *domain.walk()]:
-        holder.children = [
-            c for c in holder.children if isinstance(c, str) or at.domain_header not in c.attrs.get("class", "")
-        ]
-    boxes = [e for e in pane.walk() if e.attrs.get("id") in (at.explanation, at.overall)]
-    hrefs = [a.attrs.get("href", "").strip() for b in boxes for a in b.walk() if a.tag == "a"]
-    return {
-        "question_number": int(numbered.group(1)) if numbered else index,
-        "pane_index": index,
-        "type": "multi_select" if "checkbox" in href else "single_select",
-        "domain": domain.words(),
-        "prompt_md": rich_markdown(_only(pane.by("id", at.prompt), "prompt")),
-        "options": options,
-        "overall_explanation_md": rich_markdown(_only(pane.by("id", at.overall), "overall explanation")),
-        "references": list(dict.fromkeys(h for h in hrefs if h)),
-    }
-
-
-PANE_QUESTION = (
-    "page_id BIGINT, problem STRING, title STRING, question_number INT, pane_index INT, type STRING, domain STRING, "
-    "prompt_md STRING, options ARRAY<STRUCT<label: STRING, text_md: STRING, correct: BOOLEAN, explanation_md: STRING>>, "
-    "overall_explanation_md STRING, `references` ARRAY<STRING>"
-)
-
-
-def extract_questions(pages: DataFrame, layout: PaneLayout = PaneLayout()) -> DataFrame:
-    """(page_id, html) -> one row per question pane, or one row naming the page's problem."""
-    names = (
-        "page_id problem title question_number pane_index type domain prompt_md options overall_explanation_md references"
-    ).split()
-
-    def one_page(page_id: int, html: str | None) -> list[dict]:
-        try:
-            builder = _TreeBuilder()
-            builder.feed(html or "")
-            builder.close()
-            headers = builder.root.by_class(layout.header)
-            if not headers:
-                raise ValueError("no results header")
-            panes = builder.root.by_class(layout.pane)
-            if not panes:
-                raise ValueError("no question panes")
-            title = headers[0].words()
-            rows = [_pane_question(p, i, layout) for i, p in enumerate(panes, start=1)]
-            return [{"page_id": page_id, "title": title, **r} for r in rows]
-        except Exception as error:  # noqa: BLE001 - quarantined, not raised
-            return [{"page_id": page_id, "problem": str(error)}]
-
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [r for pid, html in zip(frame["page_id"], frame["html"]) for r in one_page(pid, html)]
-            out = pd.DataFrame([{n: r.get(n) for n in names} for r in rows], columns=names)
-            yield out.astype({"question_number": "Int32", "pane_index": "Int32"})
-
-    return pages.select("page_id", "html").mapInPandas(batches, PANE_QUESTION)
-
-
-def question_records(questions: DataFrame, certifications: DataFrame, title_fields) -> DataFrame:
-    """Extracted panes -> canonical records; ``certifications``: code, slug, name, vendor, level.
-
-    ``title_fields`` is the struct column of functions.text.exam_title_fields(title).
-    """
-    from itemloom.functions.text import content_hash
-
-    good = questions.where(F.col("problem").isNull()).withColumn("t", title_fields)
-    known = certifications.select("code", F.struct("slug", "name", "vendor", "level").alias("certification"))
-    q = good.join(known, F.col("t.code") == F.col("code"))
-    correct = F.transform(F.filter("options", lambda o: o["correct"]), lambda o: o["label"])
-    number = F.col("question_number").cast("string")
-    padded = F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)
-    return q.select(
-        F.concat_ws("/", "certification.slug", "t.slug", F.concat(F.lit("q"), padded)).alias("id"),
-        content_hash(F.col("prompt_md"), F.transform("options", lambda o: o["text_md"])).alias("content_hash"),
-        "certification",
-        F.struct("t.slug", "t.title", "t.number", "t.mode", "question_number").alias("exam"),
-        "domain",
-        "type",
-        F.size(correct).alias("select_count"),
-        "prompt_md",
-        "options",
-        correct.alias("correct_labels"),
-        "overall_explanation_md",
-        "references",
-        F.col("page_id").alias("source_page"),
-    )
-
-
-def pane_warnings(questions: DataFrame) -> DataFrame:
-    """Panes whose printed number is not their place, or whose icon disagrees with the key."""
-    n = F.size(F.filter("options", lambda o: o["correct"]))
-    tests = F.array_compact(
-        F.array(
-            F.when(F.col("question_number") != F.col("pane_index"), "number is not the position"),
-            F.when((F.col("type") == "single_select") & (n != 1), "radio icon without one correct option"),
-            F.when((F.col("type") == "multi_select") & (n < 2), "checkbox icon without two correct options"),
-        )
-    )
-    good = questions.where(F.col("problem").isNull())
-    return good.select("page_id", "pane_index", F.explode(tests).alias("warning"))

@@ -8,12 +8,19 @@ from pyspark.sql import functions as F
 from itemloom import schemas
 
 SHARD_GLOB = "{questions.jsonl,questions/*.jsonl}"
-FINGERPRINT_BLOCK = 1000
+#: Hex digits of a path's hash that name its bucket of the fingerprint; part of the format.
+FINGERPRINT_DIGITS = 3
 
 
 def _relative(path: Column, kb: str) -> Column:
-    tail = kb.rstrip("/").rsplit("/", 1)[-1]
-    return F.regexp_replace(path, rf"^.*?/{tail}/", "")
+    """The part of a file's path below the root, in plain letters.
+
+    The last occurrence of the root's own path is cut, as text: what stands before it is
+    the store's scheme and authority.
+    """
+    root = F.lit("/" + kb.split("://", 1)[-1].removeprefix("file:").strip("/") + "/")
+    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.substring_index(plain, root, -1)
 
 
 def discover_shards(spark: SparkSession, kb: str) -> DataFrame:
@@ -22,7 +29,7 @@ def discover_shards(spark: SparkSession, kb: str) -> DataFrame:
     File listing only; the content column is pruned, so no bytes are read.
     """
     files = spark.read.format("binaryFile").load(f"{kb}/{SHARD_GLOB}")
-    rel = _relative(F.col("path"), kb)
+    rel = _relative(F.col("_metadata.file_path"), kb)
     return files.select(rel.alias("path"), F.col("length"), (rel != "questions.jsonl").cast("int").alias("rank"))
 
 
@@ -50,7 +57,7 @@ def file_digests(spark: SparkSession, pattern: str) -> DataFrame:
     return (
         spark.read.format("binaryFile")
         .load(pattern)
-        .select("path", "length", F.sha2("content", 256).alias("sha256"))
+        .select(F.col("_metadata.file_path").alias("path"), "length", F.sha2("content", 256).alias("sha256"))
     )
 
 
@@ -109,35 +116,25 @@ def index_changes(current: DataFrame, recomputed: DataFrame) -> DataFrame:
     )
 
 
-def fingerprint(files: DataFrame, block: int = FINGERPRINT_BLOCK) -> DataFrame:
-    """One-row sha256 identity of (kind, path, sha256) rows.
+def fingerprint(files: DataFrame) -> DataFrame:
+    """One-row sha256 identity of (kind, path, sha256) rows, by one definition at every size.
 
-    Up to ``block`` files this is the digest of ``path:sha256`` lines in (kind, path)
-    order.  Beyond that, files fall into about n / block hashed buckets, each digested in
-    order, and the root digests the bucket digests: no task holds every line.
+    A file's bucket is the first FINGERPRINT_DIGITS hex digits of its path's md5.  A bucket's
+    digest is that of its ``path:sha256`` lines in (kind, path) order, the root's that of the
+    ``bucket:digest`` lines of all buckets that hold a file.
     """
-    total = files.agg(F.count(F.lit(1))).scalar()
-    buckets = F.ceil(total / F.lit(block)).cast("int")
-    spread = F.when(
-        buckets > 1,
-        F.pmod(F.conv(F.left(F.md5("path"), F.lit(7)), 16, 10).cast("int"), buckets),
-    ).otherwise(0)
     line = F.concat(F.col("path"), F.lit(":"), F.col("sha256"), F.lit("\n"))
 
     def digest(rows: Column) -> Column:
         return F.sha2(F.array_join(F.transform(F.array_sort(rows), lambda r: r["line"]), ""), 256)
 
-    per = (
-        files.select(spread.alias("bucket"), F.struct("kind", "path", line.alias("line")).alias("r"))
+    buckets = (
+        files.select(F.left(F.md5("path"), F.lit(FINGERPRINT_DIGITS)).alias("bucket"), F.struct("kind", "path", line.alias("line")).alias("r"))
         .groupBy("bucket")
         .agg(digest(F.collect_list("r")).alias("d"))
     )
-    root = F.sort_array(F.collect_list(F.struct("bucket", "d")))
-    return per.agg(root.alias("all")).select(
-        F.when(F.size("all") == 1, F.col("all")[0]["d"])
-        .otherwise(F.sha2(F.array_join(F.transform("all", lambda x: F.concat(x["d"], F.lit("\n"))), ""), 256))
-        .alias("fingerprint")
-    )
+    lines = F.collect_list(F.struct("bucket", F.concat("bucket", F.lit(":"), "d", F.lit("\n")).alias("line")))
+    return buckets.agg(digest(lines).alias("fingerprint"))
 
 
 def scan_blueprints(spark: SparkSession, kb: str) -> DataFrame:

@@ -125,30 +125,6 @@ def test_flatten_across_blocks(spark, monkeypatch):
     assert whole[:4] == ["1", "1.1", "1.1.1", "2"] and whole[-1] == "20.1.1"
 
 
-PANE = """<div class="x question-result-pane-wrapper--1"><span class="pane-title">Question 1</span>
-<div id="question-prompt"><p>Pick <b>one</b>:<br>a_b <code>x*y</code></p></div>
-<span data-purpose="answer-result-body-selection-icon"><svg><use xlink:href="#icon-radio"></use></svg></span>
-<div class="result-pane--answer-result-pane"><div data-purpose="answer" class="answer-skipped"><div id="answer-text"><p>No</p></div></div><div id="question-explanation"><p>See <a href="https://a.org/1">this</a></p></div></div>
-<div class="result-pane--answer-result-pane"><div data-purpose="answer" class="answer-correct"><div id="answer-text"><p>Yes [ok]</p></div></div><div id="question-explanation"><p>Right</p></div></div>
-<div id="overall-explanation"><p>All <i>good</i> <a href="https://a.org/1">again</a> <a href="https://a.org/2">x</a></p></div>
-<div data-purpose="domain-pane"><div class="domain-pane-header">Domain</div><div>Prompt design</div></div></div>"""
-
-
-def test_question_panes(spark):
-    good = f'<html><h2 class="results-header--title">CERT-F Full Practice Exam 4: Hard Mode - Results</h2>{PANE}</html>'
-    bad = good.replace("<i>good</i>", "<table>t</table>")
-    df = spark.createDataFrame([(1, good), (2, bad), (3, "<p>nothing</p>")], "page_id bigint, html string")
-    rows = {r["page_id"]: r for r in pages.extract_questions(df).collect()}
-    assert rows[2]["problem"] == "unexpected tag <table> in rich text" and rows[3]["problem"] == "no results header"
-    r = rows[1]
-    assert r["prompt_md"] == "Pick **one**:\na_b `x*y`" and r["domain"] == "Prompt design" and r["type"] == "single_select"
-    assert [(o["label"], o["text_md"], o["correct"]) for o in r["options"]] == [("A", "No", False), ("B", "Yes \\[ok\\]", True)]
-    assert r["references"] == ["https://a.org/1", "https://a.org/2"]
-    certs = spark.createDataFrame([("CERT-F", "cert-f", "Cert", "v", None)], "code string, slug string, name string, vendor string, level string")
-    q = pages.question_records(pages.extract_questions(df), certs, tx.exam_title_fields(F.col("title"))).first()
-    assert q["id"] == "cert-f/exam-04/q001" and q["correct_labels"] == ["B"] and q["exam"]["mode"] == "hard"
-    assert pages.pane_warnings(pages.extract_questions(df)).isEmpty()
-
 
 def test_blueprint_json(spark, tmp_path):
     folder = tmp_path / "blueprints" / "v"
