@@ -256,7 +256,12 @@ def mix(documents: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFra
         F.col("source").cast("string").eqNullSafe(F.col("__source")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("__doc_id")) & (F.xxhash64("text") == F.col("__text_hash")),
     )
     words = F.split(F.regexp_replace("text", rf"^{GAP}", ""), GAP)
-    part = F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice(words, (s["from"] + 1).cast("int"), s["words"].cast("int")))), " ")
+
+    def taken(own: Column) -> Column:
+        return F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice(own, (s["from"] + 1).cast("int"), s["words"].cast("int")))), " ")
+
+    # The words are an element that the outer transform binds, so a text is split once, not once a span.
+    part = F.element_at(F.transform(F.array(words), taken), 1)
     text = F.when(F.col("__words") >= word_count(F.col("text")), F.col("text")).otherwise(part)
     rows = matched.withColumn("__text", text)
     new = {"text": F.col("__text"), "n_chars": F.length("__text").cast("bigint")}
