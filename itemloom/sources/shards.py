@@ -18,7 +18,7 @@ def _relative(path: Column, kb: str) -> Column:
     The last occurrence of the root's own path is cut, as text: what stands before it is
     the store's scheme and authority.
     """
-    root = F.lit("/" + kb.split("://", 1)[-1].removeprefix("file:").strip("/") + "/")
+    root = "/" + kb.split("://", 1)[-1].removeprefix("file:").strip("/") + "/"
     plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
     return F.substring_index(plain, root, -1)
 

@@ -56,17 +56,6 @@ def test_projection_of_a_scan(spark, kb):
     assert quality.corpus_problems(rows).isEmpty()
 
 
-def test_fingerprint_is_the_plain_digest_and_scales_out(spark):
-    files = [(0, f"q/{i}", hashlib.sha256(str(i).encode()).hexdigest()) for i in range(50)] + [(1, "b/x", "ab")]
-    df = spark.createDataFrame(files, "kind int, path string, sha256 string").repartition(4)
-    lines = "".join(f"{p}:{s}\n" for _, p, s in sorted(files))
-    assert shards.fingerprint(df).first()["fingerprint"] == hashlib.sha256(lines.encode()).hexdigest()
-    split = shards.fingerprint(df, block=10).first()["fingerprint"]
-    assert split == shards.fingerprint(df.repartition(7), block=10).first()["fingerprint"]
-    changed = df.withColumn("sha256", F.when(F.col("path") == "q/7", "zz").otherwise(F.col("sha256")))
-    assert split != shards.fingerprint(changed, block=10).first()["fingerprint"]
-
-
 def test_sinks(spark, kb, tmp_path):
     rows = shards.scan_questions(spark, str(kb)).drop("order_key", "shard_path")
     sinks.write_records(rows, str(tmp_path / "out"))
@@ -154,3 +143,28 @@ def test_plain_pages_round_trip(spark):
     linked = out.where("page_id = 1").withColumn("body_md", F.replace("body_md", F.lit("(/x)"), F.lit("(https://e.org/x)")))
     check = pages.lossless_check(linked, tx.strip_markdown(F.col("body_md"))).first()
     assert (check["compared"], check["mismatches"]) == (1, 0)
+
+
+def test_shard_paths_with_blanks_and_nested_roots(spark, tmp_path):
+    root = tmp_path / "kb" / "x" / "kb"
+    (root / "questions").mkdir(parents=True)
+    line = '{"id": "a/b/q1", "content_hash": "0", "source": {"provider": "udemy"}}\n'
+    (root / "questions.jsonl").write_text(line)
+    (root / "questions" / "a b+c.jsonl").write_text(line * 2)
+    found = {r["path"]: r["rank"] for r in shards.discover_shards(spark, str(root)).collect()}
+    assert found == {"questions.jsonl": 0, "questions/a b+c.jsonl": 1}
+    rows = {r["path"]: (r["provider"], r["line_count"]) for r in shards.build_index(spark, str(root)).collect()}
+    assert rows == {"questions.jsonl": ("udemy", 1), "questions/a b+c.jsonl": ("udemy", 2)}
+
+
+def test_fingerprint_has_one_definition(spark):
+    for n in (1, 999, 1001):
+        files = [(i % 2, f"p/{i}", f"{i:064x}") for i in range(n)]
+        buckets = {}
+        for kind, path, sha in sorted(files):
+            buckets.setdefault(hashlib.md5(path.encode()).hexdigest()[:3], []).append(f"{path}:{sha}\n")
+        lines = "".join(f"{b}:{hashlib.sha256(''.join(rows).encode()).hexdigest()}\n" for b, rows in sorted(buckets.items()))
+        got = shards.fingerprint(spark.createDataFrame(files, "kind int, path string, sha256 string")).first()["fingerprint"]
+        assert got == hashlib.sha256(lines.encode()).hexdigest()
+    changed = files[:7] + [(1, files[7][1], "zz")] + files[8:]
+    assert shards.fingerprint(spark.createDataFrame(changed, "kind int, path string, sha256 string")).first()["fingerprint"] != got
