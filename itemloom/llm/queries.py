@@ -73,7 +73,7 @@ def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rabit.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-@query("op5_ngram_jaccard")
+@query("op5_ngram_jaccard", jaccard.ORACLE)
 def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents whose three-word shingles have a Jaccard similarity of 0.9."""
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), 3, 90)
