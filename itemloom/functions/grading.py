@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 # ---- fixed values: the published scale and exam lengths ----
 SCALE_MIN, SCALE_MAX, CUT_SCORE = 100, 1000, 720
 DEFAULT_LENGTH = 60
-DEFAULT_TIME_LIMIT_SECONDS = 7200
 
 
 def key_labels(option_labels: Column, correct: Column) -> Column:
@@ -78,10 +77,6 @@ def scaled_score(
     return F.bround(low + clamped * (high - low), 0).cast("int")
 
 
-def cut_proportion(scale_min: Column, scale_max: Column, cut: Column) -> Column:
-    return F.coalesce(F.try_divide(cut - scale_min, scale_max - scale_min), F.lit(0.0))
-
-
 def remaining_seconds(limit: Column, started: Column, now: Column) -> Column:
     elapsed = (F.unix_micros(now) - F.unix_micros(started)) / F.lit(1e6)
     return F.greatest(F.lit(0).cast("bigint"), F.ceil(limit - elapsed).cast("bigint"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from itemloom.functions import grading as g
@@ -119,6 +119,7 @@ def domain_results(item: DataFrame) -> DataFrame:
             percent(F.col("correct"), F.col("asked")).alias("percent"),
             share_text(F.col("correct"), F.col("asked")).alias("share"),
         )
+        .withColumn("worst_rank", F.row_number().over(Window.partitionBy("attempt_id").orderBy("percent", "label")))
     )
 
 

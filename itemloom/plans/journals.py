@@ -338,7 +338,10 @@ def stream_current_mark(bank):
     from itemloom.session import work_folder
     from itemloom.streaming import journal
 
-    base = f"{work_folder(bank.spark)}/{uuid.uuid4().hex}"
+    folder = work_folder(bank.spark)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = f"{folder}/{uuid.uuid4().hex}"
     schema = bank.table("events").schema
     events = journal.read_events(bank.spark, f"{bank.sf_dir}/event[s].parquet", schema)
     marks = events.select(
@@ -346,4 +349,4 @@ def stream_current_mark(bank):
     )
     running = journal.maintain_current_marks(marks, f"{base}/state", f"{base}/checkpoint")
     running.awaitTermination()
-    return journal.read_state(bank.spark, f"{base}/state", running).select("question_id", "value", F.col("created_at").alias("marked_at"))
+    return journal.read_state(bank.spark, f"{base}/state").select("question_id", "value", F.col("created_at").alias("marked_at"))

@@ -356,7 +356,8 @@ def graded_attempts_with_profiles(bank):
 @query(
     "domain_results",
     f"""WITH {B.GRADED_ITEM}, d AS (SELECT attempt_id, coalesce(CASE WHEN qty > 45 THEN NULL ELSE p_brand END, 'unspecified') AS label, count(*) AS asked, count(*) FILTER (is_correct) AS correct FROM graded_item GROUP BY 1, 2)
-    SELECT *, round(100.0 * correct / asked, 6) AS percent, correct || ' of ' || asked AS share FROM d""",
+    SELECT *, round(100.0 * correct / asked, 6) AS percent, correct || ' of ' || asked AS share,
+      (row_number() OVER (PARTITION BY attempt_id ORDER BY CASE WHEN asked = 0 THEN 0 ELSE correct * 100.0::DOUBLE / asked END, label))::INT AS worst_rank FROM d""",
 )
 def domain_results(bank):
     rows = bank.graded_item.withColumn("domain_label", F.when(F.col("qty") <= 45, F.col("p_brand")))

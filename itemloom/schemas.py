@@ -12,8 +12,6 @@ correct_labels ARRAY<STRING>, overall_explanation_md STRING, `references` ARRAY<
 source STRUCT<provider: STRING, course_url: STRING, file: STRING>, origin STRING
 """
 
-SHARD_INDEX = "path STRING, provider STRING, line_count BIGINT, sha256 STRING"
-
 BLUEPRINT = """
 id STRING, certification STRING, name STRING, vendor STRING, version_label STRING,
 effective_from STRING, weight_regime STRING, weights_sum DOUBLE, weights_sum_max DOUBLE,
@@ -24,9 +22,7 @@ nodes ARRAY<STRUCT<path: STRING, depth: INT, ordinal: INT, kind: STRING, label:
 """
 
 # ---- fixed values: accepted vocabularies ----
-QUESTION_TYPES = ("single_select", "multi_select")
 MARK_VALUES = ("known", "unsure", "flagged", "cleared")
-VERIFICATION_LEVELS = ("known_bad", "human_reviewed", "ai_reviewed", "unverified")
 WEIGHT_REGIMES = ("exact", "range", "absent", "unpublished")
 ORIGINS = ("vendor_dump", "official_sample", "local_generation", "hand_written")
 

@@ -11,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-
-from itemloom.operators import state
+from pyspark.sql.utils import AnalysisException
 
 MARK_STATE = "question_id BIGINT, value STRING, created_at TIMESTAMP_NTZ, id BIGINT"
 
@@ -33,21 +32,38 @@ def latest_marks(mark: DataFrame) -> DataFrame:
     )
 
 
+COMMITS = "batch BIGINT"
+
+
 def _version(path: str, batch: int) -> str:
     return f"{path.rstrip('/')}/version={batch}"
 
 
+def _newest(spark: SparkSession, state_path: str, before: int | None = None) -> int | None:
+    """The newest version committed, or the newest one older than ``before``."""
+    commits = spark.read.schema(COMMITS).parquet(f"{state_path.rstrip('/')}/commits")
+    if before is not None:
+        commits = commits.where(F.col("batch") < before)
+    return commits.agg(F.max("batch")).first()[0]
+
+
 def maintain_current_marks(
     marks: DataFrame, state_path: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Keep the current-mark table up to date; start with ``availableNow`` to catch up and stop."""
+    """Keep the current-mark table up to date; start with ``availableNow`` to catch up and stop.
+
+    A version is committed by a row written after it is complete, so a batch that is run
+    again starts from the version before it and leaves the same one.
+    """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        fresh = latest_marks(batch)
-        if batch_id > 0:
-            stored = batch.sparkSession.read.schema(MARK_STATE).parquet(_version(state_path, batch_id - 1))
+        spark, fresh = batch.sparkSession, latest_marks(batch)
+        earlier = _newest(spark, state_path, batch_id) if batch_id else None
+        if earlier is not None:
+            stored = spark.read.schema(MARK_STATE).parquet(_version(state_path, earlier))
             fresh = latest_marks(stored.unionByName(fresh))
         fresh.write.mode("overwrite").parquet(_version(state_path, batch_id))
+        spark.createDataFrame([(batch_id,)], COMMITS).coalesce(1).write.mode("append").parquet(f"{state_path.rstrip('/')}/commits")
 
     return (
         marks.writeStream.foreachBatch(merge)
@@ -57,17 +73,14 @@ def maintain_current_marks(
     )
 
 
-def read_state(spark: SparkSession, state_path: str, query: StreamingQuery) -> DataFrame:
-    """The table as of the query's last finished batch."""
-    done = max(p["batchId"] for p in query.recentProgress)
-    return spark.read.schema(MARK_STATE).parquet(_version(state_path, done))
-
-
-def deduplicated(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Drop repeated deliveries of an event id within the watermark."""
-    return events.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["id"])
-
-
-def mark_counts_stream(current: DataFrame, values=state.MARK_VALUES) -> DataFrame:
-    """Zero-filled counts over a maintained current-mark table."""
-    return state.mark_counts(current, values)
+def read_state(spark: SparkSession, state_path: str) -> DataFrame:
+    """The table as of the newest committed version, whichever run wrote it; empty before the first."""
+    try:
+        newest = _newest(spark, state_path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        newest = None
+    if newest is None:
+        return spark.createDataFrame([], MARK_STATE)
+    return spark.read.schema(MARK_STATE).parquet(_version(state_path, newest))

@@ -79,5 +79,14 @@ def test_stream_equals_batch_over_many_micro_batches(spark, tmp_path):
     q = journal.maintain_current_marks(stream, str(tmp_path / "state"), str(tmp_path / "ckpt"))
     q.awaitTermination()
     assert len(q.recentProgress) >= 4
-    got = {r["question_id"]: r["value"] for r in journal.read_state(spark, str(tmp_path / "state"), q).collect()}
+    got = {r["question_id"]: r["value"] for r in journal.read_state(spark, str(tmp_path / "state")).collect()}
     assert got == {r["question_id"]: r["value"] for r in state.current_mark(batch).collect()}
+    # A restart without new files leaves the state; one with a file goes on from it.
+    again = lambda: journal.maintain_current_marks(journal.read_events(spark, str(tmp_path / "in"), batch.schema), str(tmp_path / "state"), str(tmp_path / "ckpt"))
+    again().awaitTermination()
+    assert {r["question_id"]: r["value"] for r in journal.read_state(spark, str(tmp_path / "state")).collect()} == got
+    late = spark.createDataFrame([(99, 0, "flagged", T0 + timedelta(days=9))], "id bigint, question_id bigint, value string, created_at timestamp_ntz")
+    late.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    again().awaitTermination()
+    assert {r["question_id"]: r["value"] for r in journal.read_state(spark, str(tmp_path / "state")).collect()} == got | {0: "flagged"}
+    assert journal.read_state(spark, str(tmp_path / "nothing")).isEmpty()
