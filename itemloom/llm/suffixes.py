@@ -10,9 +10,9 @@ of a corpus would move many times its size, so suffixes meet by content first:
    hash.  Equal windows pick equal anchors at equal places, so windows whose anchor occurs
    nowhere else are not repeated.  Runs of windows with one anchor are a row: its hash, and
    the hash of all bytes the run covers.
-3. An anchor whose occurrences all cover the same bytes settles its runs: repeated.  For
-   anchors with differing surroundings the suffixes that start at their windows are sorted,
-   in batches of texts: a mergesort whose comparisons find the common extension of two
+3. Runs that cover the same bytes around the same anchor settle one another: repeated.
+   Where an anchor has differing surroundings, one run of each has the suffixes that start
+   at its windows sorted, in batches of texts: a mergesort whose comparisons find the common extension of two
    suffixes by binary search over prefix polynomial hashes; equal neighbours are verified
    byte for byte.  Each batch's distinct windows are then counted over all batches.
 4. The repeated windows go back to their texts.
@@ -34,13 +34,13 @@ from pyspark.sql import functions as F
 from itemloom.llm.shared import bounded_batches, materialised, whole_text
 
 WIDTH, GRAM = 200, 48
-#: Windows sorted at once.
-SORTED = 60_000
+#: Windows sorted at once, and windows of a pack.
+SORTED, PACK = 60_000, 8
 BASE = 0x9E3779B97F4A7C15 | 1
-MASK = (1 << 64) - 1
+LOW = (1 << 16) - 1
 
-ANCHORS = "text_key binary, first int, last int, gram bigint, context bigint, runs bigint"
-WINDOWS = "text_key binary, at int, window binary, times bigint"
+ANCHORS = "text_key binary, place bigint, gram bigint, context bigint"
+PACKS = "text_key binary, at bigint, core bigint, windows array<bigint>"
 REMOVED = "text_key binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
 
 
@@ -154,10 +154,10 @@ def suffix_ranks(data: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.n
 
 
 def anchors_of(data: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """For each run of windows with one anchor: first and last start, the anchor's hash, the hash of what the run covers."""
+    """For each run of windows with one anchor: first and last start, the anchor's place and hash, the hash of what the run covers."""
     n = len(data) - width + 1
     if n <= 0:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     hashes = Prefixes(data)
     grams = scattered(hashes.of(np.arange(len(data) - gram + 1), gram))
     # The leftmost least of each window's grams: by doubling, smaller value first, then the left one.
@@ -170,76 +170,89 @@ def anchors_of(data: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[
         best = np.where(grams[right] < grams[left], right, left)
         done += step
     change = np.flatnonzero(np.concatenate([[True], best[1:] != best[:-1]]))
-    first, last = change, np.append(change[1:], n) - 1
+    first, last, anchor = change, np.append(change[1:], n) - 1, best[change]
     context = scattered(hashes.of(first, last - first + width) + (last - first + 1).astype(np.uint64) * np.uint64(BASE))
     # The anchor's place in its run is part of what equal runs have in common.
-    context = scattered(context ^ (best[change] - first).astype(np.uint64))
-    return first, last, grams[best[change]], context
+    context = scattered(context ^ (anchor - first).astype(np.uint64))
+    return first, last, anchor, grams[anchor], context
 
 
 def _anchor_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each run; ``place`` has its first window, its length less one and its anchor's distance from the first."""
     for batch in batches:
-        parts = []
-        for key, text, copies in zip(batch["text_key"], batch["text"], batch["copies"]):
-            first, last, gram, context = anchors_of(np.frombuffer(text.encode(), np.uint8))
-            if len(first):
-                # Copies count: runs of a text with two or more are repeated as they stand.
-                parts.append(pd.DataFrame({"text_key": [key] * len(first), "first": first, "last": last, "gram": gram.view(np.int64), "context": context.view(np.int64), "runs": copies}))
-        if parts:
-            yield pd.concat(parts)
+        found = [anchors_of(np.frombuffer(t.encode(), np.uint8)) for t in batch["text"]]
+        first, last, anchor, gram, context = (np.concatenate([f[k] for f in found]) for k in range(5))
+        keys = [key for key, f in zip(batch["text_key"], found) for _ in range(len(f[0]))]
+        yield pd.DataFrame({"text_key": keys, "place": first << 32 | (last - first) << 16 | (anchor - first), "gram": gram.view(np.int64), "context": context.view(np.int64)})
 
 
-def _sorted_windows(held: list[tuple[bytes, np.ndarray, int, np.ndarray]]) -> pd.DataFrame:
-    """Sort the suffixes at some windows; a row for each window, with how often these have it.
+def _packed_windows(held: list[tuple[bytes, np.ndarray, int, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    """Sort the suffixes at some windows; a row for each pack, up to PACK windows in a row at one distance from their anchor.
 
     ``held`` has stretches of texts: the text's key, the bytes, where they begin, and the
-    windows' places in the text.
+    windows' places and their anchors' in the text.  A pack has its windows' digests, equal
+    for equal strings, and the hash of the bytes that any window of the pack would hold.
     """
-    keys = [key for key, _, _, _ in held]
-    begins = np.array([low for _, _, low, _ in held])
-    bases = np.cumsum([0, *(len(d) for _, d, _, _ in held)])
-    data = np.concatenate([d for _, d, _, _ in held])
-    order, new = suffix_ranks(data, np.concatenate([at - low + base for (_, _, low, at), base in zip(held, bases)]), WIDTH)
-    heads = np.flatnonzero(new)
-    sizes = np.diff(np.append(heads, len(order)))
-    digests = [hashlib.blake2b(data[s : s + WIDTH].tobytes(), digest_size=16).digest() for s in order[heads].tolist()]
-    group = np.cumsum(new) - 1
-    owners = np.searchsorted(bases, order, "right") - 1
-    # The size of a group of equal windows stands on its first row only, so sums over rows are right.
-    times = np.where(new, sizes[group], 0)
-    return pd.DataFrame({"text_key": [keys[k] for k in owners.tolist()], "at": order - bases[owners] + begins[owners], "window": [digests[g] for g in group.tolist()], "times": times})
-
-
-def _window_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    keys = [key for key, *_ in held]
+    begins = np.array([low for _, _, low, _, _ in held])
+    bases = np.cumsum([0, *(len(d) for _, d, *_ in held)])
+    data = np.concatenate([d for _, d, *_ in held])
+    owner = np.repeat(np.arange(len(held)), [len(h[3]) for h in held])
+    shift = bases[owner] - begins[owner]
+    at, anchor = np.concatenate([h[3] for h in held]), np.concatenate([h[4] for h in held])
+    starts = at + shift
+    order, new = suffix_ranks(data, starts, WIDTH)
+    heads = order[new]
+    digests = np.array([int.from_bytes(hashlib.blake2b(data[s : s + WIDTH].tobytes(), digest_size=8).digest(), "little") for s in heads.tolist()], np.uint64)
+    by_start = np.empty(len(data), np.int64)
+    by_start[order] = np.cumsum(new) - 1
+    window = digests[by_start[starts]].view(np.int64)
+    number = (anchor - at + WIDTH) // PACK
+    # Windows of a run stand in order, so a pack's are neighbours.
+    change = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])]))
+    end = (anchor + shift)[change] - (number[change] * PACK - WIDTH)
+    core = scattered(Prefixes(data).of(end, WIDTH - PACK + 1) ^ (number[change].astype(np.uint64) << np.uint64(48)))
+    return pd.DataFrame(
+        {"text_key": [keys[k] for k in owner[change].tolist()], "at": at[change], "core": core.view(np.int64), "windows": np.split(window, change[1:])}
+    )
+
+
+def _window_packs(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The open windows of all texts, sorted a bounded number at a time; a long text's in several parts."""
     for batch in batches:
         held, size = [], 0
-        for key, text, firsts, lasts in zip(batch["text_key"], batch["text"], batch["firsts"], batch["lasts"]):
+        for key, text, places in zip(batch["text_key"], batch["text"], batch["places"]):
             data = np.frombuffer(text.encode(), np.uint8)
-            at = np.concatenate([np.arange(first, last + 1) for first, last in zip(firsts, lasts)])
-            for begin in range(0, len(at), SORTED):
-                part = at[begin : begin + SORTED]
-                low = int(part.min())
-                held.append((key, data[low : int(part.max()) + WIDTH], low, part))
-                size += len(part)
+            places = np.sort(places)
+            first, more, away = places >> 32, (places >> 16) & LOW, places & LOW
+            ends = np.cumsum(more + 1)
+            begin = 0
+            while begin < len(places):
+                stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + SORTED, "right")))
+                at = np.concatenate([np.arange(f, f + m + 1) for f, m in zip(first[begin:stop], more[begin:stop])])
+                anchor = np.repeat((first + away)[begin:stop], more[begin:stop] + 1)
+                low = int(at[0])
+                held.append((key, data[low : int(at[-1]) + WIDTH], low, at, anchor))
+                size += len(at)
+                begin = stop
                 if size >= SORTED:
-                    yield _sorted_windows(held)
+                    yield _packed_windows(held)
                     held, size = [], 0
         if size:
-            yield _sorted_windows(held)
+            yield _packed_windows(held)
 
 
 def _removed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
-        for key, text, copies, firsts, lasts in zip(batch["text_key"], batch["text"], batch["copies"], batch["firsts"], batch["lasts"]):
+        for key, text, copies, places in zip(batch["text_key"], batch["text"], batch["copies"], batch["places"]):
             data = np.frombuffer(text.encode(), np.uint8)
             step = np.zeros(len(data) + 1, np.int64)
             if copies > 1 and len(data) >= WIDTH:
                 step[0], step[-1] = 1, -1
-            if firsts is not None:
-                np.add.at(step, np.asarray(firsts), 1)
-                np.add.at(step, np.asarray(lasts) + WIDTH, -1)
+            if places is not None:
+                np.add.at(step, places >> 32, 1)
+                np.add.at(step, (places >> 32) + ((places >> 16) & LOW) + WIDTH, -1)
             gone = np.cumsum(step[:-1]) > 0
             spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
             kept = data[~gone].tobytes()
@@ -255,18 +268,31 @@ def without_repeats(documents: DataFrame, with_bytes: bool = False) -> DataFrame
     all; an empty table gives no rows; other columns are not read.
     """
     bounded_batches(documents.sparkSession)
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text")).withColumn("text_key", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
+    rows = rows.withColumn("text_key", F.substring(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), 1, 16))
+    # Anchors are made twice, once to count and once to look up, rather than written down.
+    anchors = rows.filter(F.octet_length("text") >= WIDTH).select("text_key", "text").mapInPandas(_anchor_rows, ANCHORS)
+    grams = anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    met = anchors.join(grams, "gram").groupBy("text_key", "place", "gram", "context").agg(F.count("*").alias("runs"))
+    met = materialised(met, "met")
+    contexts = met.groupBy("gram", "context").agg(F.sum("runs").alias("runs"), F.min(F.struct("text_key", "place")).alias("one"))
+    kinds = contexts.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("gram")
+    settled = met.join(contexts.filter("runs > 1").select("gram", "context"), ["gram", "context"]).select("text_key", "place")
+    # One run of each context stands for all that cover the same bytes.
+    open_runs = contexts.join(kinds, "gram", "left_semi").groupBy("one.text_key").agg(F.collect_list("one.place").alias("places"))
     texts = rows.groupBy("text_key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    anchors = materialised(texts.mapInPandas(_anchor_rows, ANCHORS), "anchors")
-    grams = anchors.groupBy("gram").agg(F.sum("runs").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).filter("n > 1")
-    met = anchors.join(grams.select("gram", (F.col("low") == F.col("high")).alias("settled")), "gram")
-    met = materialised(met.select("text_key", "first", "last", "settled"), "met")
-    open_runs = met.filter("NOT settled").groupBy("text_key").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
-    windows = materialised(texts.select("text_key", "text").join(open_runs, "text_key").mapInPandas(_window_rows, WINDOWS), "windows")
-    counted = windows.groupBy("window").agg(F.sum("times").alias("n")).filter("n > 1").select("window")
-    repeated = windows.join(counted, "window").select("text_key", F.col("at").alias("first"), F.col("at").alias("last"))
-    marks = met.filter("settled").select("text_key", "first", "last").unionByName(repeated)
-    marked = marks.groupBy("text_key").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
-    removed = texts.join(marked, "text_key", "left").select("text_key", "text", "copies", "firsts", "lasts").mapInPandas(_removed, REMOVED)
+    packs = texts.select("text_key", "text").join(open_runs, "text_key").mapInPandas(_window_packs, PACKS)
+    packs = materialised(packs.withColumn("all", F.xxhash64("windows")), "packs")
+    # As with runs: packs alike settle one another, and windows are compared where packs agree in part.
+    cores = packs.groupBy("core").agg(F.count("*").alias("n"), F.min("all").alias("low"), F.max("all").alias("high")).filter("n > 1")
+    near = packs.join(cores.select("core", (F.col("low") == F.col("high")).alias("alike")), "core")
+    whole = F.shiftleft("at", 32).bitwiseOR(F.shiftleft(F.size("windows").cast("bigint") - 1, 16))
+    alike = near.filter("alike").select("text_key", whole.alias("place"))
+    parts = near.filter("NOT alike").select("text_key", "at", "core", F.posexplode("windows").alias("k", "window"))
+    counted = parts.groupBy("core", "window").agg(F.count("*").alias("n")).filter("n > 1").select("core", "window")
+    single = parts.join(counted, ["core", "window"]).select("text_key", F.shiftleft(F.col("at") + F.col("k"), 32).alias("place"))
+    repeated = alike.unionByName(single)
+    marked = settled.unionByName(repeated).groupBy("text_key").agg(F.collect_list("place").alias("places"))
+    removed = texts.join(marked, "text_key", "left").select("text_key", "text", "copies", "places").mapInPandas(_removed, REMOVED)
     kept = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_bytes else [])]
     return rows.select("doc_id", "text_key").join(removed.select("text_key", *kept), "text_key").select("doc_id", *kept)
