@@ -72,10 +72,15 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     keyed = own.withColumn("salt", F.pmod(F.xxhash64("url", "capture_id"), F.lit(SALTS)).cast("int")).select(
         "capture_id", "url", "fetched", "salt", F.explode_outer(keys_of(F.col("url"))).alias("pattern")
     )
+    # Periods after the last capture meet none; merged, not broadcast, as the rows are made after the last known size.
+    ended = F.least("to_day", F.lit(own.agg(F.max("fetched")).first()[0]).cast("date") + F.expr("interval 1 day"))
     spread = (
         intervals(entries)
+        .withColumn("to_day", ended.cast("date"))
+        .filter("to_day > from_day")
         .withColumn("period", F.explode(F.sequence(_period(F.col("from_day")), _period(F.date_sub("to_day", 1)))))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        .hint("merge")
     )
     active = keyed.withColumn("period", _period(F.col("fetched"))).join(spread, ["pattern", "period", "salt"], "left")
     holds = (F.col("fetched") >= F.col("from_day")) & (F.col("fetched") < F.col("to_day"))
