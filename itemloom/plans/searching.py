@@ -25,6 +25,24 @@ def queries(bank):
     return bank.table("benchmark").withColumn("w", w).select(F.col("item_id").alias("query_id"), raw.alias("raw"))
 
 
+def whole_queries(bank):
+    """All words of every text: nine in turn make two words, a phrase of two, a prefix and a word, a word and a phrase."""
+    w = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    numbered = bank.table("benchmark").select("item_id", w.alias("w")).where(F.size("w") > 0)
+    at = numbered.select("item_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
+    starts = at.where((F.col("i") % 9).isin(0, 2, 4, 6)).withColumn("g", F.slice("w", F.col("i") + 1, F.when(F.col("i") % 9 == 6, 3).otherwise(2)))
+    words, q = F.array_join("g", " "), F.lit('"')
+    rest = F.array_join(F.slice("g", 2, 2), " ")
+    more = lambda c: F.when(F.size("g") > 1, c).otherwise("")
+    raw = (
+        F.when(F.col("i") % 9 == 0, words)
+        .when(F.col("i") % 9 == 2, F.concat(q, words, q))
+        .when(F.col("i") % 9 == 4, F.concat(F.left(F.get("g", 0), F.lit(3)), F.lit("*"), more(F.concat(F.lit(" - "), rest))))
+        .otherwise(F.concat(F.get("g", 0), more(F.concat(F.lit(' "'), rest, q))))
+    )
+    return starts.select((F.col("item_id") * 1000000 + F.col("i")).alias("query_id"), raw.alias("raw"))
+
+
 Q = """words AS (SELECT item_id, regexp_extract_all(text, '[\\p{L}\\p{N}]+') AS w FROM benchmark),
   query AS (SELECT item_id AS query_id, CASE item_id % 4 WHEN 0 THEN w[1] || ' ' || w[2] WHEN 1 THEN '"' || w[1] || ' ' || w[2] || '"'
     WHEN 2 THEN left(w[3], 3) || '* - ' || w[1] ELSE w[4] || ' "' || w[5] || ' ' || w[6] END AS raw FROM words),
@@ -58,6 +76,22 @@ SCORED = f"""{FOUND}, size AS (SELECT count(*) AS nd, sum(len(a) + len(b) + len(
   scored AS (SELECT query_id, doc_id, round(-sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * doc_len / (nt / nd)))), 6) AS score FROM freq JOIN idf USING (query_id, term_no), size GROUP BY 1, 2 HAVING count(*) = max(n_terms))"""
 
 
+#: The same over all words; a prefix meets the distinct tokens.
+WHOLE_Q = """every AS (SELECT item_id, regexp_extract_all(text, '[\\p{L}\\p{N}]+') AS w FROM benchmark),
+  placed AS (SELECT item_id, w, unnest(range(len(w)))::BIGINT AS i FROM every),
+  query AS (SELECT item_id * 1000000 + i AS query_id, CASE i % 9 WHEN 0 THEN concat_ws(' ', w[i + 1], w[i + 2]) WHEN 2 THEN '"' || concat_ws(' ', w[i + 1], w[i + 2]) || '"'
+    WHEN 4 THEN left(w[i + 1], 3) || '*' || coalesce(' - ' || w[i + 2], '') ELSE w[i + 1] || coalesce(' "' || w[i + 2] || coalesce(' ' || w[i + 3], '') || '"', '') END AS raw FROM placed WHERE i % 9 IN (0, 2, 4, 6)),
+  """ + Q[Q.index("piece AS"):]
+
+WHOLE_FOUND = FOUND.replace(Q, WHOLE_Q).replace(
+    "SELECT * FROM posting p JOIN qt ON CASE WHEN is_prefix THEN starts_with(p.token, qt.token) ELSE p.token = qt.token END",
+    """SELECT qt.* EXCLUDE token, p.* FROM posting p JOIN qt ON p.token = qt.token WHERE NOT is_prefix
+    UNION ALL SELECT x.* EXCLUDE (token, full_token), p.* FROM posting p JOIN (SELECT qt.*, v.token AS full_token FROM qt JOIN (SELECT DISTINCT token FROM posting) v ON starts_with(v.token, qt.token) WHERE is_prefix) x ON p.token = x.full_token""",
+)
+
+WHOLE_SCORED = SCORED.replace(FOUND, WHOLE_FOUND)
+
+
 @query("search_terms", f"WITH {Q} SELECT * FROM term_row")
 def search_terms(bank):
     return X.parse_queries(queries(bank))
@@ -102,9 +136,9 @@ def search_reindex(bank):
     return X.reindex(X.postings(docs), left, touched).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("doc_len").alias("doc_len"))
 
 
-def _index(bank, stemmed=False):
+def _index(bank, stemmed=False, asked=queries):
     posted = X.postings(X.search_documents(bank.record))
-    return posted, X.expand_tokens(X.query_tokens(X.parse_queries(queries(bank))), X.vocabulary(posted, stemmed), stemmed)
+    return posted, X.expand_tokens(X.query_tokens(X.parse_queries(asked(bank))), X.vocabulary(posted, stemmed), stemmed)
 
 
 @query("search_matches", f"WITH {FOUND} SELECT query_id, doc_id FROM freq GROUP BY 1, 2 HAVING count(*) = max(n_terms)")
@@ -146,6 +180,47 @@ def search_bm25_stemmed(bank):
     return X.search(queries(bank), X.search_documents(bank.record), stemmed=True)
 
 
+@query("search_whole_terms", f"WITH {WHOLE_Q} SELECT * FROM term_row")
+def search_whole_terms(bank):
+    return X.parse_queries(whole_queries(bank))
+
+
+@query("search_whole_query_tokens", f'WITH {WHOLE_Q} SELECT query_id, term_no, off AS "offset", token, is_prefix FROM qt')
+def search_whole_query_tokens(bank):
+    return X.query_tokens(X.parse_queries(whole_queries(bank))).select("query_id", "term_no", "offset", "token", "is_prefix")
+
+
+@query("search_whole_matches", f"WITH {WHOLE_FOUND} SELECT query_id, doc_id FROM freq GROUP BY 1, 2 HAVING count(*) = max(n_terms)")
+def search_whole_matches(bank):
+    return X.matches(X.term_frequencies(*_index(bank, asked=whole_queries)))
+
+
+@query("search_whole_phrase_occurrences", f"WITH {WHOLE_FOUND} SELECT query_id, doc_id, term_no, field, start FROM found WHERE n_tokens > 1")
+def search_whole_phrase_occurrences(bank):
+    posted, expanded = _index(bank, asked=whole_queries)
+    return X.occurrences(posted, expanded.where(F.col("n_tokens") > 1)).select("query_id", "doc_id", "term_no", "field", "start")
+
+
+@query(
+    "search_whole_prefix_expansion",
+    f"""WITH {WHOLE_Q}, {POSTED}, v AS (SELECT DISTINCT token FROM posting) SELECT query_id, term_no, v.token FROM qt JOIN v ON starts_with(v.token, qt.token) WHERE is_prefix""",
+)
+def search_whole_prefix_expansion(bank):
+    posted = X.postings(X.search_documents(bank.record))
+    asked = X.query_tokens(X.parse_queries(whole_queries(bank))).where("is_prefix")
+    return X.expand_tokens(asked, X.vocabulary(posted)).select("query_id", "term_no", "token")
+
+
+@query("search_whole_bm25", f"WITH {WHOLE_SCORED} SELECT query_id, doc_id, score FROM scored")
+def search_whole_bm25(bank):
+    return X.search(whole_queries(bank), X.search_documents(bank.record)).withColumn("score", F.round("score", 6))
+
+
+@query("search_whole_bm25_stemmed")
+def search_whole_bm25_stemmed(bank):
+    return X.search(whole_queries(bank), X.search_documents(bank.record), stemmed=True)
+
+
 @query(
     "search_snippets",
     f"""WITH {FOUND}, ok AS (SELECT query_id, doc_id FROM freq GROUP BY 1, 2 HAVING count(*) = max(n_terms)), f AS (SELECT found.* FROM found JOIN ok USING (query_id, doc_id)),
