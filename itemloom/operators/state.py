@@ -333,17 +333,29 @@ def normalise_answer(offered: Column, chosen: Column) -> Column:
     )
 
 
+def _judged(events: DataFrame, attempt: DataFrame) -> DataFrame:
+    """All events with why they are refused; null where they are not."""
+    closed = attempt.select(F.col("id").alias("__attempt"), F.col("closed_at").alias("__closed"))
+    late = (F.col("kind") == "answer") & (F.col("at") > F.col("__closed"))
+    reason = F.when(F.col("__attempt").isNull(), "unknown attempt").when(late, "closed")
+    joined = events.join(closed, F.col("attempt_id") == F.col("__attempt"), "left")
+    return joined.withColumn("reason", reason).drop("__attempt", "__closed")
+
+
+def refused_answers(events: DataFrame, attempt: DataFrame) -> DataFrame:
+    """The events that ``fold_answers`` leaves out, each with its reason: unknown attempt | closed."""
+    return _judged(events, attempt).where(F.col("reason").isNotNull())
+
+
 def fold_answers(events: DataFrame, attempt: DataFrame | None = None) -> DataFrame:
     """Answer log -> item state.
 
     Events: attempt_id, position, at, id, kind (show | answer), selection (string),
-    time_ms.  With ``attempt`` (id, closed_at) events after the close are rejected.
+    time_ms.  With ``attempt`` (id, closed_at) answers after the close and events of
+    unknown attempts are left to ``refused_answers``; items may be shown after the close.
     """
     if attempt is not None:
-        closed = attempt.select(F.col("id").alias("attempt_id"), "closed_at")
-        events = events.join(closed, "attempt_id").where(
-            F.col("closed_at").isNull() | (F.col("at") <= F.col("closed_at"))
-        )
+        events = _judged(events, attempt).where(F.col("reason").isNull()).drop("reason")
     keys, answer = ["attempt_id", "position"], F.col("kind") == "answer"
     order = [F.col("at"), F.col("id")]
     answers = blocked.lag(
