@@ -442,7 +442,9 @@ def table_file_index(bank):
     """Per table file: rows (scan metadata) and content digest."""
     rows = bank.table("documents").select("*", F.col("_metadata.file_path").alias("shard_path"))
     index = shards.index_rows(rows, "shard_path", F.col("lang"))
-    files = shards.file_digests(bank.spark, f"{bank.sf_dir}/documents.parquet")
+    listed = bank.spark.read.format("binaryFile").load(f"{bank.sf_dir}/documents.parquet")
+    lengths = listed.select(F.col("_metadata.file_path").alias("path"), "length")
+    files = lengths.join(shards.row_digests(bank.table("documents"), F.col("_metadata.file_path")), "path")
     name = lambda c: F.substring_index(c, "/", -1)
     return files.withColumn("path", name(F.col("path"))).join(index.withColumn("path", name(F.col("path"))), "path")
 

@@ -10,6 +10,8 @@ from itemloom import schemas
 SHARD_GLOB = "{questions.jsonl,questions/*.jsonl}"
 #: Hex digits of a path's hash that name its bucket of the fingerprint; part of the format.
 FINGERPRINT_DIGITS = 3
+#: Digests that are hashed to one; part of the format of row_digests.
+FANOUT = 1000
 
 
 def _relative(path: Column, kb: str) -> Column:
@@ -61,6 +63,25 @@ def file_digests(spark: SparkSession, pattern: str) -> DataFrame:
     )
 
 
+def row_digests(rows: DataFrame, path: Column) -> DataFrame:
+    """(path, sha256) of Parquet files by content: the digests of a file's rows, hashed in their order.
+
+    FANOUT neighbours are hashed to one digest, twice, and what is left of a file then to
+    one; a task holds a row or FANOUT digests, not a file, up to FANOUT ** 3 rows a file.
+    """
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"})
+    at = F.col("_metadata.row_index")
+    digests = rows.select(path.alias("path"), at.alias("at"), F.sha2(whole, 256).alias("sha256"))
+    for _ in range(2):
+        digests = _folded(digests, F.floor(F.col("at") / F.lit(FANOUT)))
+    return _folded(digests, F.lit(0)).select("path", "sha256")
+
+
+def _folded(digests: DataFrame, block: Column) -> DataFrame:
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "sha256"))), lambda r: r["sha256"])
+    return digests.groupBy("path", block.alias("block")).agg(F.sha2(F.array_join(ordered, ""), 256).alias("sha256")).withColumnRenamed("block", "at")
+
+
 def index_rows(records: DataFrame, path: str = "shard_path", provider: Column | None = None) -> DataFrame:
     """Per shard: line count and its provider, ``mixed`` when there are several."""
     who = F.col("source.provider") if provider is None else provider
