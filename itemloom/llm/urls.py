@@ -48,8 +48,11 @@ def intervals(entries: DataFrame) -> DataFrame:
 
     Of several entries of one day for one pattern the greatest action in code-point order
     counts: "drop" over "block" over "allow".  Entries without pattern, action or day are ignored.
+    A pattern's host is read in lower case, its folders as they are.
     """
-    known = entries.select(F.lower("pattern").alias("pattern"), "action", F.col("day").cast("date").alias("from_day"))
+    host = F.substring_index("pattern", "/", 1)
+    pattern = F.concat(F.lower(host), F.substring(F.col("pattern"), F.length(host) + 1, F.length("pattern")))
+    known = entries.select(pattern.alias("pattern"), "action", F.col("day").cast("date").alias("from_day"))
     known = known.filter(F.col("pattern").isNotNull() & F.col("action").isin("allow", "block", "drop") & F.col("from_day").isNotNull())
     daily = known.groupBy("pattern", "from_day").agg(F.max("action").alias("action"))
     following = F.lead("from_day").over(Window.partitionBy("pattern").orderBy("from_day"))
