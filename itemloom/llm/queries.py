@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from itemloom.llm import encoding, jaccard, kdtree, mixing, rabit, secrets, suffixes, tokenfiles, toxicity, urls
+from itemloom.llm import encoding, identifiers, jaccard, kdtree, mixing, rabit, secrets, suffixes, tokenfiles, toxicity, urls
 from itemloom.llm.shared import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,4 +92,10 @@ def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(urls.page_captures(pages), urls.page_list(pages))
 
 
+@query("op11_pii")
+def pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal identifiers in every document, plain and disguised, as spans of its own characters."""
+    return identifiers.report(identifiers.identifiers(table(spark, sf_dir, "documents")))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
