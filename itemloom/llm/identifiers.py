@@ -1,15 +1,16 @@
 """Personal identifiers in plain and disguised form, with spans in the source's own characters.
 
-Three transducers read a text one after the other.  Each copies what none of its rules
+Transducers of three sorts read a text one after the other.  Each copies what none of its rules
 takes, writes a rule's output for what it takes, and records where output and input part:
 
 * characters: homoglyphs, other scripts' digits, dashes and blanks become ASCII, invisible
   characters nothing;
-* digits: runs of digit words become digits, ``plus`` before a digit becomes ``+``;
+* digits: runs of digit words become digits, letters that stand for one between two digits
+  too, ``plus`` before a digit becomes ``+``;
 * signs: ``(at)``, ``[dot]``, ``at`` and ``dot`` between names become ``@`` and ``.``.
 
 The same detectors run over the source, whose map is the identity, and over the last
-output; spans of the output go back through the three records to source characters.
+output; spans of the output go back through their records to source characters.
 Every step takes time in proportion to the text, so texts may have any length.
 """
 
@@ -48,7 +49,7 @@ DIGIT_WORDS = {
         "cero uno dos tres cuatro cinco seis siete ocho nueve",
     )
     for digit, word in enumerate(line.split())
-}
+} | {"oh": "0"}
 #: Words for ``@``, for ``.`` and for ``+``.
 AT_WORDS, DOT_WORDS, PLUS_WORDS = ("at", "arobase", "arroba"), ("dot", "punkt", "point", "punto"), ("plus", "más")
 
@@ -116,7 +117,10 @@ _WORD = re.compile(r"[^\W\d_]+")
 _DIGIT_WORD, _DOT_WORD = _any(DIGIT_WORDS), _any(DOT_WORDS)
 #: What joins digit words: a blank, a hyphen, or a dot in any form.
 _JOINS = rf"(?:[ -]|[ ]?(?:\.|[\[({{<]{_DOT_WORD}[\])}}>])[ ]?|[ ]{_DOT_WORD}[ ])"
-_JOINED = re.compile(rf"(?i)(?<![^\W_]){_DIGIT_WORD}(?:{_JOINS}{_DIGIT_WORD})+(?![^\W_])")
+_JOINED = re.compile(rf"(?i)(?<![^\W_])(?:{_DIGIT_WORD}|[0-9]+)(?:{_JOINS}(?:{_DIGIT_WORD}|[0-9]+))+(?![^\W_])")
+#: Letters that look like a digit, where they stand between two.
+LETTER_DIGITS = {"O": "0", "o": "0", "l": "1", "I": "1"}
+_LETTER_DIGIT = re.compile(r"[OolI](?<=[0-9].)(?=[0-9])")
 _PLUS = re.compile(rf"(?i)(?<![^\W_]){_any(PLUS_WORDS)}[ ]?(?=[0-9])")
 
 
@@ -130,6 +134,9 @@ def _digit_pairs() -> ahocorasick.Automaton:
         for mark in " -.":
             for other in DIGIT_WORDS:
                 automaton.add_word(word + mark + other)
+            for digit in "0123456789":
+                automaton.add_word(word + mark + digit)
+                automaton.add_word(digit + mark + word)
         for mark in (*"[({<", " [", " (", " {", " <", " .", ". ", *(f" {dot}" for dot in DOT_WORDS)):
             automaton.add_word(word + mark)
     automaton.make_automaton()
@@ -137,7 +144,7 @@ def _digit_pairs() -> ahocorasick.Automaton:
 
 
 def digits(text: str) -> Iterator[Edit]:
-    """Two and more digit words in a row: each a digit, the blanks or hyphens between them gone; dots stay for ``signs``."""
+    """Digit words beside others or beside digits: each a digit, the blanks or hyphens between them gone; dots stay for ``signs``."""
     if next(_digit_pairs().iter(text.lower()), None) is None:
         return
     for run in _JOINED.finditer(text):
@@ -153,6 +160,11 @@ def digits(text: str) -> Iterator[Edit]:
             at = word.end()
 
 
+def letters(text: str) -> Iterator[Edit]:
+    for m in _LETTER_DIGIT.finditer(text):
+        yield m.start(), m.end(), LETTER_DIGITS[m[0]]
+
+
 def pluses(text: str) -> Iterator[Edit]:
     lower = text.lower()
     if any(word in lower for word in PLUS_WORDS):
@@ -168,9 +180,9 @@ def _framed(words: Iterable[str]) -> str:
 _SPELLED_DOT = rf"(?:[ ]{{0,2}}[\[({{<][ ]?{_DOT_WORD}[ ]?[\])}}>][ ]{{0,2}}|[ _]{_DOT_WORD}[ _])"
 #: The last part of a name in a wholly bare disguise: two letters, or one of these fixed values.
 _LAST = r"(?:[A-Z]{2}|com|net|org|edu|gov|mil|int|info|biz|name|dev|app)(?![A-Z0-9-])"
-#: A bare ``at`` counts only before a name whose spelled dots lead to such a last part, as prose is full of it.
+#: An ``@`` with blanks around it counts before a name with a last part in letters.  A bare ``at`` counts only before a name whose spelled dots lead to such a last part, as prose is full of it.
 _SIGN = re.compile(
-    rf"(?i)(?:(?P<at>{_framed((*AT_WORDS, '@'))}|[ _](?<=[A-Z0-9].){_any(AT_WORDS)}[ _](?=[A-Z0-9-]{{1,63}}(?:{_SPELLED_DOT}[A-Z0-9-]{{1,63}}){{0,3}}{_SPELLED_DOT}{_LAST}))"
+    rf"(?i)(?:(?P<at>{_framed((*AT_WORDS, '@'))}|[ ](?<=[A-Z0-9].)@[ ]?(?=[A-Z0-9-]{{1,63}}[.][A-Z])|[ _](?<=[A-Z0-9].){_any(AT_WORDS)}[ _](?=[A-Z0-9-]{{1,63}}(?:{_SPELLED_DOT}[A-Z0-9-]{{1,63}}){{0,3}}{_SPELLED_DOT}{_LAST}))"
     rf"|(?:{_framed((*DOT_WORDS, '[.]'))}|[ _](?<=[A-Z0-9].){_DOT_WORD}[ _]))(?=[A-Z0-9])"
 )
 _FRAME = re.compile(rf"(?i)[\[({{<][ ]?(?:{_any(AT_WORDS)}|[@.])[ ]?[\])}}>]")
@@ -178,13 +190,13 @@ _FRAME = re.compile(rf"(?i)[\[({{<][ ]?(?:{_any(AT_WORDS)}|[@.])[ ]?[\])}}>]")
 
 def signs(text: str) -> Iterator[Edit]:
     lower = text.lower()
-    if any(word in lower for word in DOT_WORDS) or _FRAME.search(text):
+    if any(word in lower for word in (*DOT_WORDS, " @")) or _FRAME.search(text):
         for m in _SIGN.finditer(text):
             yield m.start(), m.end(), "@" if m["at"] else "."
 
 
 #: Read in this order.
-TRANSDUCERS: tuple[Callable[[str], Iterator[Edit]], ...] = (characters, digits, signs, pluses)
+TRANSDUCERS: tuple[Callable[[str], Iterator[Edit]], ...] = (characters, letters, digits, signs, pluses)
 
 #: The identifiers' patterns.  Each is written so that a place is read once or
 #: twice: an e-mail's name is found backwards from its sign, an address begins a run of digits.

@@ -27,9 +27,13 @@ DISGUISED = {
     "four one" + " one" * 14: ("card", "four one" + " one" * 14, "4111111111111111"),
     "4041 8949 7460 8795": ("card", "4041 8949 7460 8795", "4041 8949 7460 8795"),
     "call plus one five-five-five one two three four five six seven": ("phone", "plus one five-five-five one two three four five six seven", "+15551234567"),
+    "pay 4041 eight nine four nine 7460 8795 now": ("card", "4041 eight nine four nine 7460 8795", "4041 8949 7460 8795"),
+    "4O41 8949 7460 8795": ("card", "4O41 8949 7460 8795", "4041 8949 7460 8795"),
+    "hi j.doe @ mail.example.com": ("email", "j.doe @ mail.example.com", "j.doe@mail.example.com"),
+    "J.DOE AT MAIL DOT EXAMPLE DOT COM": ("email", "J.DOE AT MAIL DOT EXAMPLE DOT COM", "J.DOE@MAIL.EXAMPLE.COM"),
     "+٤٩ ١٢٣ ٤٥٦٧": ("phone", "+٤٩ ١٢٣ ٤٥٦٧", "+49 123 4567"),
 }
-CLEAN = ["", "look at the dot here", "it is at home. One, two, three.", "the dot product at one point two", "wir sind at work punkt", "half past one dot two", "Élan ﬁn ½ … «là»"]
+CLEAN = ["", "look at the dot here", "it is at home. One, two, three.", "the dot product at one point two", "wir sind at work punkt", "half past one dot two", "6 @ 3.50 each, un sept", "Élan ﬁn ½ … «là»"]
 
 
 def direct(text):
