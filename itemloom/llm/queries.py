@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from itemloom.llm import encoding, identifiers, jaccard, kdtree, mixing, rabit, secrets, suffixes, tokenfiles, toxicity, urls
+from itemloom.llm import encoding, identifiers, jaccard, kdtree, merkle, mixing, rabit, secrets, suffixes, tokenfiles, toxicity, urls
 from itemloom.llm.shared import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,4 +98,10 @@ def pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identifiers.report(identifiers.identifiers(table(spark, sf_dir, "documents")))
 
 
+@query("op12_merkle_manifest", merkle.ORACLE)
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a leaf of the manifest, its proof, and whether its row, tampered or not, leads to the root."""
+    return merkle.tampered_audit(table(spark, sf_dir, "documents"), scratch(spark, "merkle"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
