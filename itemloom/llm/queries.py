@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from itemloom.llm import encoding, identifiers, jaccard, kdtree, merkle, mixing, rabit, secrets, suffixes, tokenfiles, toxicity, urls
+from itemloom.llm import conversations, encoding, identifiers, jaccard, kdtree, merkle, mixing, rabit, secrets, suffixes, tokenfiles, toxicity, urls
 from itemloom.llm.shared import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,4 +104,10 @@ def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tampered_audit(table(spark, sf_dir, "documents"), scratch(spark, "merkle"))
 
 
+@query("op13_conversation_repair", conversations.ORACLE)
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by rule: its faults and the cheapest edits that repair it."""
+    return conversations.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
