@@ -22,7 +22,7 @@ from itertools import groupby
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from itemloom.llm.shared import bounded_batches, crc32_sql
@@ -185,20 +185,19 @@ def faults(rows: DataFrame) -> DataFrame:
     """conv_id, turn, role, text, copies, seen (earlier in the conversation), blank and truncated of each distinct row.
 
     Equal rows of a turn are one row with a count, so a row that is repeated without end is
-    summed before it moves; whether a role and text came in an earlier turn is a minimum by
-    key.  A null role or text counts as a blank; null turns come first.
+    summed before it moves.  A conversation's rows come to one partition, where a number in
+    order of turn tells whether a role and text came earlier.  A null role or text counts as
+    a blank; null turns come first.
     """
     blank = F.lit(" ")
     plain = rows.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text"))
     once = plain.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("copies"))
-    once = once.withColumn("same", F.sha2(F.concat_ws(":", F.length("role"), "role", "text").cast("binary"), 256))
-    order = F.struct(F.col("turn").isNotNull().alias("later"), "turn")
-    firsts = once.groupBy("conv_id", "same").agg(F.min(order).alias("first"))
-    keyed = once.join(firsts.withColumnRenamed("conv_id", "id"), F.col("conv_id").eqNullSafe(F.col("id")) & (once["same"] == firsts["same"]))
+    same = F.sha2(F.concat_ws(":", F.length("role"), "role", "text").cast("binary"), 256)
+    placed = once.repartition("conv_id").withColumn("same", same)
     ending = F.regexp_extract("text", rf"({VISIBLE})[\x20\x09-\x0D]*\z", 1)
-    return keyed.select(
+    return placed.select(
         "conv_id", "turn", "role", "text", "copies",
-        (~F.col("first").eqNullSafe(order)).alias("seen"),
+        (F.row_number().over(Window.partitionBy("conv_id", "same").orderBy("turn")) > 1).alias("seen"),
         (~F.col("text").rlike(VISIBLE)).alias("blank"), (~ending.isin(".", "!", "?")).alias("truncated"),
     )
 
@@ -276,7 +275,7 @@ def _summaries(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _in_order(rows: DataFrame) -> DataFrame:
     """Rows with faults, a conversation in one partition, in order of turn, then role and text."""
     bounded_batches(rows.sparkSession)
-    return faults(rows).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return faults(rows).sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
 def repaired(rows: DataFrame) -> DataFrame:

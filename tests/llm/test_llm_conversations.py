@@ -77,7 +77,7 @@ def test_a_long_undecided_conversation_ends():
     rows = [Row("tool", "x", "")] * 30_001
     search = Search()
     nodes = [n for row in rows for n in search.add(row)] + list(search.end())
-    assert (search.cost, shown(nodes)[0]) == (30_000 * 3 + 3, "I" + "R" * 30_001)
+    assert (search.cost, shown(nodes)[0]) == (4 + 30_000 * 3, "D" + "R" * 30_000)
 
 
 def plain(rows):
