@@ -1,13 +1,14 @@
-"""Text search as joins and aggregations over a token-postings table.
+"""What a text search is made of: query terms, searchable documents, postings, vocabulary, windows.
 
 The postings hold surface tokens.  Stems and prefixes are resolved against the distinct
 vocabulary, so a query term expands to surface tokens and always meets the postings in
-one equi-join; running text is never stemmed row by row.
+one equi-join; running text is never stemmed row by row.  ``search_index`` stores postings
+and searches them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +16,6 @@ from pyspark.sql import functions as F
 
 from itemloom.functions import text as tx
 from itemloom.functions.stemming import stem
-from itemloom.session import cut_lineage
 
 # ---- fixed values: field weights, BM25 constants, snippet length ----
 FIELD_WEIGHTS = {"prompt": 10.0, "options": 3.0, "explanation": 1.0}
@@ -114,16 +114,6 @@ def corpus_size(documents: DataFrame, fields: Sequence[str] = tuple(FIELD_WEIGHT
     return documents.agg(F.count(F.lit(1)).alias("n_docs"), F.sum(length.cast("bigint")).alias("n_tokens"))
 
 
-def write_postings(posted: DataFrame, path: str) -> None:
-    """Clustered by token; a hot token spreads over files by document."""
-    (
-        posted.repartitionByRange("token", "doc_id")
-        .sortWithinPartitions("token", "doc_id", "field", "pos")
-        .write.mode("overwrite")
-        .parquet(path)
-    )
-
-
 def reindex(posted: DataFrame, documents: DataFrame, affected: DataFrame) -> DataFrame:
     """Replace the postings of affected documents; vanished ones leave no orphan."""
     ids = affected.select(F.col("question_id").alias("doc_id"))
@@ -159,108 +149,11 @@ def expand_tokens(tokens: DataFrame, words: DataFrame, stemmed: bool = False) ->
         .select("token", F.left("whole", F.col("k")).alias("form"))
     )
     prefixed = starts.join(leads, "form")
-    columns = ["query_id", "term_no", "n_terms", "offset", "n_tokens", "token"]
+    columns = [*[c for c in tokens.columns if c not in ("token", "is_prefix")], "token"]
     return exact.select(*columns).unionByName(prefixed.select(*columns))
 
 
-# ---------------------------------------------------------------- matching
-
-
-def occurrences(posted: DataFrame, expanded: DataFrame) -> DataFrame:
-    """Where each whole term occurs: (query_id, doc_id, term_no, field, start, ...).
-
-    A phrase starts wherever all its tokens line up; a document's tokens sit in one
-    task, so the count combines before the shuffle.
-    """
-    hits = posted.join(expanded, "token")
-    return (
-        hits.groupBy("query_id", "doc_id", "term_no", "field", (F.col("pos") - F.col("offset")).alias("start"))
-        .agg(
-            F.count(F.lit(1)).alias("found"),
-            F.max("n_tokens").alias("n_tokens"),
-            F.max("n_terms").alias("n_terms"),
-            F.max("doc_len").alias("doc_len"),
-        )
-        .where(F.col("found") == F.col("n_tokens"))
-        .drop("found")
-    )
-
-
-def term_frequencies(
-    posted: DataFrame, expanded: DataFrame, weights: Mapping[str, float] = FIELD_WEIGHTS
-) -> DataFrame:
-    """Weighted frequency per (query, document, term).
-
-    Single-token terms collapse to one row per document before the shuffle; only phrase
-    candidates keep their start position until they are checked.
-    """
-    weight = reduce(
-        lambda acc, kv: acc.when(F.col("field") == kv[0], F.lit(kv[1])),
-        list(weights.items())[1:],
-        F.when(F.col("field") == next(iter(weights)), F.lit(next(iter(weights.values())))),
-    )
-    phrase = F.col("n_tokens") > 1
-    hits = posted.join(expanded, "token").select(
-        "query_id", "doc_id", "term_no", "n_tokens", "n_terms", "doc_len", weight.alias("w"),
-        F.when(phrase, F.col("field")).alias("at_field"), F.when(phrase, F.col("pos") - F.col("offset")).alias("start"),
-    )
-    placed = hits.groupBy("query_id", "doc_id", "term_no", "n_tokens", "n_terms", "doc_len", "at_field", "start").agg(
-        F.sum("w").alias("w"), F.count(F.lit(1)).alias("found")
-    )
-    whole = placed.where((F.col("n_tokens") == 1) | (F.col("found") == F.col("n_tokens")))
-    return whole.groupBy("query_id", "doc_id", "term_no").agg(
-        F.sum(F.col("w") / F.col("n_tokens")).alias("f"),
-        F.max("n_terms").alias("n_terms"),
-        F.max("doc_len").alias("doc_len"),
-    )
-
-
-def matches(frequencies: DataFrame) -> DataFrame:
-    """Documents that hold every term of the query."""
-    return (
-        frequencies.groupBy("query_id", "doc_id")
-        .agg(F.count(F.lit(1)).alias("terms"), F.max("n_terms").alias("n_terms"))
-        .where(F.col("terms") == F.col("n_terms"))
-        .select("query_id", "doc_id")
-    )
-
-
-def bm25(frequencies: DataFrame, n_docs: Column, n_tokens: Column) -> DataFrame:
-    """(query_id, doc_id, score): smaller is better, as every term must be present."""
-    spread = frequencies.groupBy("query_id", "term_no").agg(F.count(F.lit(1)).alias("n"))
-    raw = F.log((n_docs - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    idf = spread.select("query_id", "term_no", F.when(raw > 0, raw).otherwise(1e-6).alias("idf"))
-    norm = K1 * (1 - B + B * F.col("doc_len") / (n_tokens / n_docs))
-    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + norm)
-    return (
-        frequencies.join(idf, ["query_id", "term_no"])
-        .groupBy("query_id", "doc_id")
-        .agg(F.count(F.lit(1)).alias("terms"), F.max("n_terms").alias("n_terms"), (-F.sum(part)).alias("score"))
-        .where(F.col("terms") == F.col("n_terms"))
-        .select("query_id", "doc_id", "score")
-    )
-
-
-def search(
-    queries: DataFrame,
-    documents: DataFrame,
-    *,
-    posted: DataFrame | None = None,
-    stemmed: bool = False,
-    weights: Mapping[str, float] = FIELD_WEIGHTS,
-) -> DataFrame:
-    """Score every matching (query, document); ``posted`` is a stored index, if any."""
-    index = postings(documents) if posted is None else posted
-    expanded = expand_tokens(query_tokens(parse_queries(queries)), vocabulary(index, stemmed), stemmed)
-    # Both the document counts and the scores read the frequencies.
-    frequencies = cut_lineage(term_frequencies(index, expanded, weights))
-    return bm25(frequencies, *size_columns(documents))
-
-
-def size_columns(documents: DataFrame) -> tuple[Column, Column]:
-    """(number of documents, number of tokens) as one scalar subquery."""
-    size = corpus_size(documents).select(F.struct("n_docs", "n_tokens")).scalar()
-    return size["n_docs"], size["n_tokens"]
+# ---------------------------------------------------------------- hits
 
 
 def top_hits(scored: DataFrame, k: int = 20) -> DataFrame:
@@ -293,18 +186,11 @@ def best_windows(found: DataFrame, size: int = SNIPPET_TOKENS) -> DataFrame:
     )
 
 
-def snippets(windows: DataFrame, documents: DataFrame, size: int = SNIPPET_TOKENS) -> DataFrame:
-    """Windows -> ``parts array<struct<text, matched>>`` cut from the original text."""
-    body = reduce(
-        lambda acc, f: acc.when(F.col("field") == f, F.col(f)), list(FIELD_WEIGHTS)[1:],
-        F.when(F.col("field") == list(FIELD_WEIGHTS)[0], F.col(list(FIELD_WEIGHTS)[0])),
-    )
-    text = windows.join(documents, "doc_id").select("query_id", "doc_id", "field", "start", "spans", body.alias("body"))
-    cut = text.select(
-        "*",
-        F.regexp_extract_all("body", F.lit(tx.TOKEN), F.lit(0)).alias("tokens"),
-        F.split("body", tx.TOKEN, -1).alias("gaps"),
-    ).withColumn("last", F.least(F.col("start") + size, F.size("tokens")) - 1)
+def marked(cut: DataFrame) -> DataFrame:
+    """Words of a window and what stands before each -> ``parts array<struct<text, matched>>``.
+
+    ``cut`` has query_id, doc_id, field, start, last, n (tokens of the field), spans, words and before.
+    """
 
     def covered(i: Column) -> Column:
         return F.exists("spans", lambda s: (s["start"] <= i) & (i < s["start"] + s["n_tokens"]))
@@ -313,17 +199,17 @@ def snippets(windows: DataFrame, documents: DataFrame, size: int = SNIPPET_TOKEN
         return F.exists("spans", lambda s: (s["start"] < i) & (i < s["start"] + s["n_tokens"]))
 
     def pieces(i: Column) -> Column:
-        gap = F.when(i > F.col("start"), F.get("gaps", i)).otherwise(F.lit(""))
+        k = i - F.col("start")
         return F.array(
-            F.struct(gap.alias("text"), bridged(i).alias("matched")),
-            F.struct(F.get("tokens", i).alias("text"), covered(i).alias("matched")),
+            F.struct(F.get("before", k).alias("text"), bridged(i).alias("matched")),
+            F.struct(F.get("words", k).alias("text"), covered(i).alias("matched")),
         )
 
     dots = lambda test: F.struct(F.when(test, ELLIPSIS).otherwise("").alias("text"), F.lit(False).alias("matched"))
     raw = F.concat(
         F.array(dots(F.col("start") > 0)),
         F.flatten(F.transform(F.sequence("start", "last"), pieces)),
-        F.array(dots(F.col("last") < F.size("tokens") - 1)),
+        F.array(dots(F.col("last") < F.col("n") - 1)),
     )
     kind = "array<struct<text:string,matched:boolean>>"
 
@@ -347,37 +233,3 @@ def snippet_text(parts: Column, opening: str = "[", closing: str = "]") -> Colum
         ),
         "",
     )
-
-
-def search_results(
-    scope: DataFrame, documents: DataFrame, raw: str, limit: int = 20, offset: int = 0, *, stemmed: bool = False
-) -> DataFrame:
-    """One search string over a filtered scope: score, snippet and scope columns.
-
-    A string with nothing to match on means no text filter: id order, score 0.
-    ``scope`` and ``documents`` share the key ``id`` / ``doc_id``.
-    """
-    if not has_terms(raw):
-        page = scope.orderBy("id").offset(max(0, offset)).limit(max(0, limit))
-        page = page.withColumn("rank", F.row_number().over(Window.orderBy("id")) + max(0, offset))
-        return page.withColumn("score", F.lit(0.0)).withColumn(
-            "parts", F.lit(None).cast("array<struct<text:string,matched:boolean>>")
-        )
-    queries = documents.sparkSession.createDataFrame([(0, raw)], "query_id int, raw string")
-    index = postings(documents)
-    expanded = expand_tokens(query_tokens(parse_queries(queries)), vocabulary(index, stemmed), stemmed)
-    expanded = cut_lineage(expanded)
-    frequencies = cut_lineage(term_frequencies(index, expanded))
-    scored = bm25(frequencies, *size_columns(documents))
-    top = (
-        scored.join(scope, scored["doc_id"] == scope["id"])
-        .orderBy("score", "id")
-        .offset(max(0, offset))
-        .limit(max(0, limit))
-    )
-    # A page is bounded by its limit; its rank survives the join with the snippets.
-    page = cut_lineage(top.withColumn("rank", F.row_number().over(Window.orderBy("score", "id")) + max(0, offset)))
-    wanted = documents.join(page.select("doc_id"), "doc_id", "left_semi")
-    shown = occurrences(postings(wanted), expanded)
-    parts = snippets(best_windows(shown), wanted).select("doc_id", "parts")
-    return page.join(parts, "doc_id", "left").drop("query_id", "doc_id").orderBy("rank")

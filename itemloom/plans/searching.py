@@ -6,26 +6,14 @@ from pyspark.sql import functions as F
 
 from itemloom.operators import scope as S
 from itemloom.operators import search as X
+from itemloom.operators import search_index as I
 from itemloom.operators import state
 from itemloom.plans import bindings as B
 from itemloom.plans.registry import query
-from itemloom.session import cut_lineage
+from itemloom.session import stored, work_path
 
 
 def queries(bank):
-    w = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    g = lambda i: F.get("w", i)
-    q = F.lit('"')
-    raw = (
-        F.when(F.col("item_id") % 4 == 0, F.concat_ws(" ", g(0), g(1)))
-        .when(F.col("item_id") % 4 == 1, F.concat(q, g(0), F.lit(" "), g(1), q))
-        .when(F.col("item_id") % 4 == 2, F.concat(F.left(g(2), F.lit(3)), F.lit("* - "), g(0)))
-        .otherwise(F.concat(g(3), F.lit(' "'), g(4), F.lit(" "), g(5)))
-    )
-    return bank.table("benchmark").withColumn("w", w).select(F.col("item_id").alias("query_id"), raw.alias("raw"))
-
-
-def whole_queries(bank):
     """All words of every text: nine in turn make two words, a phrase of two, a prefix and a word, a word and a phrase."""
     w = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     numbered = bank.table("benchmark").select("item_id", w.alias("w")).where(F.size("w") > 0)
@@ -40,12 +28,27 @@ def whole_queries(bank):
         .when(F.col("i") % 9 == 4, F.concat(F.left(F.get("g", 0), F.lit(3)), F.lit("*"), more(F.concat(F.lit(" - "), rest))))
         .otherwise(F.concat(F.get("g", 0), more(F.concat(F.lit(' "'), rest, q))))
     )
-    return starts.select((F.col("item_id") * 1000000 + F.col("i")).alias("query_id"), raw.alias("raw"))
+    return starts.select(F.concat_ws(":", "item_id", "i").alias("query_id"), raw.alias("raw"))
 
 
-Q = """words AS (SELECT item_id, regexp_extract_all(text, '[\\p{L}\\p{N}]+') AS w FROM benchmark),
-  query AS (SELECT item_id AS query_id, CASE item_id % 4 WHEN 0 THEN w[1] || ' ' || w[2] WHEN 1 THEN '"' || w[1] || ' ' || w[2] || '"'
-    WHEN 2 THEN left(w[3], 3) || '* - ' || w[1] ELSE w[4] || ' "' || w[5] || ' ' || w[6] END AS raw FROM words),
+#: Index folders of this process, by application and table folder: the corpus is tokenised once a run.
+_FOLDERS: dict[tuple[str, str], str] = {}
+
+
+def index_of(bank) -> I.Index:
+    """The stored index of the bank's records."""
+    key = (bank.spark.sparkContext.applicationId, bank.sf_dir)
+    if key not in _FOLDERS:
+        folder = work_path(bank.spark, "search-index")
+        I.write(X.search_documents(bank.record), folder)
+        _FOLDERS[key] = folder
+    return I.read(bank.spark, _FOLDERS[key])
+
+
+Q = """every AS (SELECT item_id, regexp_extract_all(text, '[\\p{L}\\p{N}]+') AS w FROM benchmark),
+  placed AS (SELECT item_id, w, unnest(range(len(w)))::BIGINT AS i FROM every),
+  query AS (SELECT item_id || ':' || i AS query_id, CASE i % 9 WHEN 0 THEN concat_ws(' ', w[i + 1], w[i + 2]) WHEN 2 THEN '"' || concat_ws(' ', w[i + 1], w[i + 2]) || '"'
+    WHEN 4 THEN left(w[i + 1], 3) || '*' || coalesce(' - ' || w[i + 2], '') ELSE w[i + 1] || coalesce(' "' || w[i + 2] || coalesce(' ' || w[i + 3], '') || '"', '') END AS raw FROM placed WHERE i % 9 IN (0, 2, 4, 6)),
   piece AS (SELECT query_id, list_filter(list_transform(regexp_extract_all(raw, '"[^"]*"?|[^\\s"]+'), lambda p: {
       'kind': CASE WHEN starts_with(p, '"') THEN 'phrase' ELSE 'word' END,
       'term': CASE WHEN starts_with(p, '"') THEN trim(replace(p, '"', '')) ELSE rtrim(p, '*') END,
@@ -67,7 +70,8 @@ POSTED = f"""{DOCS}, toks AS (SELECT doc_id, {_TOK.format(x='prompt')} AS a, {_T
     UNION ALL SELECT doc_id, len(a) + len(b) + len(c), 'options', unnest(b), (generate_subscripts(b, 1) - 1)::INT FROM toks
     UNION ALL SELECT doc_id, len(a) + len(b) + len(c), 'explanation', unnest(c), (generate_subscripts(c, 1) - 1)::INT FROM toks)"""
 
-FOUND = f"""{Q}, {POSTED}, hit AS (SELECT * FROM posting p JOIN qt ON CASE WHEN is_prefix THEN starts_with(p.token, qt.token) ELSE p.token = qt.token END),
+FOUND = f"""{Q}, {POSTED}, hit AS (SELECT qt.* EXCLUDE token, p.* FROM posting p JOIN qt ON p.token = qt.token WHERE NOT is_prefix
+    UNION ALL SELECT x.* EXCLUDE (token, full_token), p.* FROM posting p JOIN (SELECT qt.*, v.token AS full_token FROM qt JOIN (SELECT DISTINCT token FROM posting) v ON starts_with(v.token, qt.token) WHERE is_prefix) x ON p.token = x.full_token),
   found AS (SELECT query_id, doc_id, term_no, field, pos - off AS start, max(n_tokens) AS n_tokens, max(n_terms) AS n_terms, max(doc_len) AS doc_len FROM hit GROUP BY 1, 2, 3, 4, 5 HAVING count(DISTINCT off) = max(n_tokens)),
   freq AS (SELECT query_id, doc_id, term_no, sum(CASE field WHEN 'prompt' THEN 10.0 WHEN 'options' THEN 3.0 ELSE 1.0 END)::DOUBLE AS f, max(n_terms) AS n_terms, max(doc_len) AS doc_len FROM found GROUP BY 1, 2, 3)"""
 
@@ -76,22 +80,6 @@ SCORED = f"""{FOUND}, size AS (SELECT count(*) AS nd, sum(len(a) + len(b) + len(
   scored AS (SELECT query_id, doc_id, round(-sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * doc_len / (nt / nd)))), 6) AS score FROM freq JOIN idf USING (query_id, term_no), size GROUP BY 1, 2 HAVING count(*) = max(n_terms))"""
 
 
-#: The same over all words; a prefix meets the distinct tokens.
-WHOLE_Q = """every AS (SELECT item_id, regexp_extract_all(text, '[\\p{L}\\p{N}]+') AS w FROM benchmark),
-  placed AS (SELECT item_id, w, unnest(range(len(w)))::BIGINT AS i FROM every),
-  query AS (SELECT item_id * 1000000 + i AS query_id, CASE i % 9 WHEN 0 THEN concat_ws(' ', w[i + 1], w[i + 2]) WHEN 2 THEN '"' || concat_ws(' ', w[i + 1], w[i + 2]) || '"'
-    WHEN 4 THEN left(w[i + 1], 3) || '*' || coalesce(' - ' || w[i + 2], '') ELSE w[i + 1] || coalesce(' "' || w[i + 2] || coalesce(' ' || w[i + 3], '') || '"', '') END AS raw FROM placed WHERE i % 9 IN (0, 2, 4, 6)),
-  """ + Q[Q.index("piece AS"):]
-
-WHOLE_FOUND = FOUND.replace(Q, WHOLE_Q).replace(
-    "SELECT * FROM posting p JOIN qt ON CASE WHEN is_prefix THEN starts_with(p.token, qt.token) ELSE p.token = qt.token END",
-    """SELECT qt.* EXCLUDE token, p.* FROM posting p JOIN qt ON p.token = qt.token WHERE NOT is_prefix
-    UNION ALL SELECT x.* EXCLUDE (token, full_token), p.* FROM posting p JOIN (SELECT qt.*, v.token AS full_token FROM qt JOIN (SELECT DISTINCT token FROM posting) v ON starts_with(v.token, qt.token) WHERE is_prefix) x ON p.token = x.full_token""",
-)
-
-WHOLE_SCORED = SCORED.replace(FOUND, WHOLE_FOUND)
-
-
 @query("search_terms", f"WITH {Q} SELECT * FROM term_row")
 def search_terms(bank):
     return X.parse_queries(queries(bank))
@@ -136,20 +124,19 @@ def search_reindex(bank):
     return X.reindex(X.postings(docs), left, touched).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("doc_len").alias("doc_len"))
 
 
-def _index(bank, stemmed=False, asked=queries):
-    posted = X.postings(X.search_documents(bank.record))
-    return posted, X.expand_tokens(X.query_tokens(X.parse_queries(asked(bank))), X.vocabulary(posted, stemmed), stemmed)
-
-
 @query("search_matches", f"WITH {FOUND} SELECT query_id, doc_id FROM freq GROUP BY 1, 2 HAVING count(*) = max(n_terms)")
 def search_matches(bank):
-    return X.matches(X.term_frequencies(*_index(bank)))
+    asked, _, scored = I.terms_and_parts(index_of(bank), queries(bank))
+    return I.ranked(asked, scored).select("query_id", "doc_id")
 
 
 @query("search_phrase_occurrences", f"WITH {FOUND} SELECT query_id, doc_id, term_no, field, start FROM found WHERE n_tokens > 1")
 def search_phrase_occurrences(bank):
-    posted, expanded = _index(bank)
-    return X.occurrences(posted, expanded.where(F.col("n_tokens") > 1)).select("query_id", "doc_id", "term_no", "field", "start")
+    index, asked = index_of(bank), I.asked_terms(queries(bank))
+    phrases = I.term_tokens(asked).where("n_tokens > 1")
+    found = I.occurrences(index, stored(I.resolved(index, phrases), "search-tokens"))
+    rows = asked.join(found, "term").select("query_id", "doc_id", "term_no", F.explode("starts").alias("place"))
+    return rows.select("query_id", "doc_id", "term_no", *I.field_and_start(F.col("place")))
 
 
 @query(
@@ -157,73 +144,38 @@ def search_phrase_occurrences(bank):
     f"""WITH {Q}, {POSTED}, v AS (SELECT DISTINCT token FROM posting) SELECT query_id, term_no, v.token FROM qt JOIN v ON starts_with(v.token, qt.token) WHERE is_prefix""",
 )
 def search_prefix_expansion(bank):
-    posted = X.postings(X.search_documents(bank.record))
-    asked = X.query_tokens(X.parse_queries(queries(bank))).where("is_prefix")
-    return X.expand_tokens(asked, X.vocabulary(posted)).select("query_id", "term_no", "token")
+    asked = I.asked_terms(queries(bank))
+    starts = I.resolved(index_of(bank), I.term_tokens(asked).where("is_prefix"))
+    return asked.join(starts, "term").select("query_id", "term_no", "token")
 
 
 @query("search_bm25", f"WITH {SCORED} SELECT query_id, doc_id, score FROM scored")
 def search_bm25(bank):
-    return X.search(queries(bank), X.search_documents(bank.record)).withColumn("score", F.round("score", 6))
+    return I.search(index_of(bank), queries(bank)).withColumn("score", F.round("score", 6))
 
 
-@query(
-    "search_top_hits",
-    f"""WITH {SCORED} SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id)::INT AS rank FROM scored QUALIFY rank <= 10""",
-)
-def search_top_hits(bank):
-    return X.top_hits(search_bm25(bank), 10)
-
-
-@query("search_bm25_stemmed")
-def search_bm25_stemmed(bank):
-    return X.search(queries(bank), X.search_documents(bank.record), stemmed=True)
-
-
-@query("search_whole_terms", f"WITH {WHOLE_Q} SELECT * FROM term_row")
-def search_whole_terms(bank):
-    return X.parse_queries(whole_queries(bank))
-
+TOP = f"""{SCORED}, top AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id)::INT AS rank FROM scored QUALIFY rank <= 10)"""
 
-@query("search_whole_query_tokens", f'WITH {WHOLE_Q} SELECT query_id, term_no, off AS "offset", token, is_prefix FROM qt')
-def search_whole_query_tokens(bank):
-    return X.query_tokens(X.parse_queries(whole_queries(bank))).select("query_id", "term_no", "offset", "token", "is_prefix")
 
+def _best(bank):
+    index = index_of(bank)
+    asked, met, scored = I.terms_and_parts(index, queries(bank))
+    return index, asked, met, I.best(asked, scored, 10)
 
-@query("search_whole_matches", f"WITH {WHOLE_FOUND} SELECT query_id, doc_id FROM freq GROUP BY 1, 2 HAVING count(*) = max(n_terms)")
-def search_whole_matches(bank):
-    return X.matches(X.term_frequencies(*_index(bank, asked=whole_queries)))
 
-
-@query("search_whole_phrase_occurrences", f"WITH {WHOLE_FOUND} SELECT query_id, doc_id, term_no, field, start FROM found WHERE n_tokens > 1")
-def search_whole_phrase_occurrences(bank):
-    posted, expanded = _index(bank, asked=whole_queries)
-    return X.occurrences(posted, expanded.where(F.col("n_tokens") > 1)).select("query_id", "doc_id", "term_no", "field", "start")
-
-
-@query(
-    "search_whole_prefix_expansion",
-    f"""WITH {WHOLE_Q}, {POSTED}, v AS (SELECT DISTINCT token FROM posting) SELECT query_id, term_no, v.token FROM qt JOIN v ON starts_with(v.token, qt.token) WHERE is_prefix""",
-)
-def search_whole_prefix_expansion(bank):
-    posted = X.postings(X.search_documents(bank.record))
-    asked = X.query_tokens(X.parse_queries(whole_queries(bank))).where("is_prefix")
-    return X.expand_tokens(asked, X.vocabulary(posted)).select("query_id", "term_no", "token")
-
-
-@query("search_whole_bm25", f"WITH {WHOLE_SCORED} SELECT query_id, doc_id, score FROM scored")
-def search_whole_bm25(bank):
-    return X.search(whole_queries(bank), X.search_documents(bank.record)).withColumn("score", F.round("score", 6))
+@query("search_top_hits", f"WITH {TOP} SELECT query_id, doc_id, score, rank FROM top")
+def search_top_hits(bank):
+    return _best(bank)[3].hits
 
 
-@query("search_whole_bm25_stemmed")
-def search_whole_bm25_stemmed(bank):
-    return X.search(whole_queries(bank), X.search_documents(bank.record), stemmed=True)
+@query("search_bm25_stemmed")
+def search_bm25_stemmed(bank):
+    return I.search(index_of(bank), queries(bank), stemmed=True)
 
 
 @query(
     "search_snippets",
-    f"""WITH {FOUND}, ok AS (SELECT query_id, doc_id FROM freq GROUP BY 1, 2 HAVING count(*) = max(n_terms)), f AS (SELECT found.* FROM found JOIN ok USING (query_id, doc_id)),
+    f"""WITH {TOP}, f AS (SELECT found.* FROM found JOIN top USING (query_id, doc_id)),
     win AS (SELECT a.query_id, a.doc_id, a.field, a.start, count(DISTINCT b.term_no) AS terms, count(*) AS hits, list_distinct(list(row(b.start, b.n_tokens))) AS spans
       FROM (SELECT DISTINCT query_id, doc_id, field, start FROM f) a JOIN f b ON b.query_id = a.query_id AND b.doc_id = a.doc_id AND b.field = a.field AND b.start BETWEEN a.start AND a.start + 13 GROUP BY 1, 2, 3, 4),
     best AS (SELECT *, CASE field WHEN 'prompt' THEN 0 WHEN 'options' THEN 1 ELSE 2 END AS fo FROM win QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY terms DESC, hits DESC, fo, start) = 1),
@@ -237,19 +189,15 @@ def search_whole_bm25_stemmed(bank):
     SELECT query_id, doc_id, field, (CASE WHEN start > 0 THEN '…' ELSE '' END) || replace(replace(replace(s, '\x02\x01', ''), '\x01', '['), '\x02', ']') || (CASE WHEN last < n - 1 THEN '…' ELSE '' END) AS snippet FROM marked""",
 )
 def search_snippets(bank):
-    posted, expanded = _index(bank)
-    expanded = cut_lineage(expanded)
-    hits = X.matches(X.term_frequencies(posted, expanded))
-    found = X.occurrences(posted, expanded)
-    shown = X.best_windows(found.join(hits, ["query_id", "doc_id"], "left_semi"))
-    cut = X.snippets(shown, X.search_documents(bank.record))
+    index, asked, met, found = _best(bank)
+    cut = I.snippets(index, I.hit_windows(index, asked, met, found.hits))
     return cut.select("query_id", "doc_id", "field", X.snippet_text(F.col("parts")).alias("snippet"))
 
 
 def _results(bank, raw, filters, limit=20, offset=0):
     scope = S.question_scope(bank.question, bank.exam, bank.certification, state.current_mark(bank.mark), filters, cleared=B.CLEARED)
     keyed = scope.withColumn("id", F.concat_ws("/", "certification_id", "exam_slug", F.concat(F.lit("q"), F.col("id").cast("string"))))
-    return X.search_results(keyed, X.search_documents(bank.record), raw, limit, offset)
+    return I.results(index_of(bank), keyed, raw, limit, offset)
 
 
 @query(

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from itemloom.operators import search as X
+from itemloom.operators import search_index as I
+from itemloom.session import work_path
 
 DOCS = [
     (1, "Prompt caching cuts cost", "Use the cache\nDrop tools", "Caching the prompt twice."),
@@ -22,8 +24,19 @@ def ask(spark, *raws):
     return spark.createDataFrame(list(enumerate(raws)), "query_id int, raw string")
 
 
-def hits(spark, docs, raw, **kw):
-    return {r["doc_id"] for r in X.search(ask(spark, raw), docs, **kw).collect()}
+def indexed(spark, docs):
+    folder = work_path(spark, "test-index")
+    I.write(docs, folder)
+    return I.read(spark, folder)
+
+
+@pytest.fixture(scope="module")
+def index(spark, docs):
+    return indexed(spark, docs)
+
+
+def hits(spark, index, raw, **kw):
+    return {r["doc_id"] for r in I.search(index, ask(spark, raw), **kw).collect()}
 
 
 @pytest.mark.parametrize(
@@ -52,26 +65,26 @@ def test_parsing(spark, raw, terms):
     assert X.has_terms(raw) == bool(terms)
 
 
-def test_all_terms_phrases_and_folding(spark, docs):
-    assert hits(spark, docs, "prompt caching") == {1}
-    assert hits(spark, docs, '"tool use"') == {2}
-    assert hits(spark, docs, '"use tool"') == {2}
-    assert hits(spark, docs, '"caching prompt"') == set()
-    assert hits(spark, docs, "cafe") == {3}
-    assert hits(spark, docs, "prompt missing") == set()
+def test_all_terms_phrases_and_folding(spark, index):
+    assert hits(spark, index, "prompt caching") == {1}
+    assert hits(spark, index, '"tool use"') == {2}
+    assert hits(spark, index, '"use tool"') == {2}
+    assert hits(spark, index, '"caching prompt"') == set()
+    assert hits(spark, index, "cafe") == {3}
+    assert hits(spark, index, "prompt missing") == set()
 
 
-def test_prefix_is_stemmed_first(spark, docs):
+def test_prefix_is_stemmed_first(spark, index):
     # caching and cache are both indexed as "cach".
-    assert hits(spark, docs, "caching", stemmed=True) == {1, 3}
-    assert hits(spark, docs, "cache*", stemmed=True) == {1, 3}
-    assert hits(spark, docs, "caching*", stemmed=True) == {1, 3}
-    assert hits(spark, docs, "cachi*", stemmed=True) == set()
-    assert hits(spark, docs, "cachi*") == {1}
+    assert hits(spark, index, "caching", stemmed=True) == {1, 3}
+    assert hits(spark, index, "cache*", stemmed=True) == {1, 3}
+    assert hits(spark, index, "caching*", stemmed=True) == {1, 3}
+    assert hits(spark, index, "cachi*", stemmed=True) == set()
+    assert hits(spark, index, "cachi*") == {1}
 
 
-def test_bm25_formula(spark, docs):
-    got = {r["doc_id"]: r["score"] for r in X.search(ask(spark, "cache"), docs).collect()}
+def test_bm25_formula(spark, index):
+    got = {r["doc_id"]: r["score"] for r in I.search(index, ask(spark, "cache")).collect()}
     toks = {d: [X.tx and t for t in " ".join(parts).lower().replace("\n", " ").replace(".", "").split()] for d, *parts in DOCS}
     avg = sum(map(len, toks.values())) / 4
     idf = math.log((4 - 2 + 0.5) / (2 + 0.5))
@@ -81,12 +94,8 @@ def test_bm25_formula(spark, docs):
         assert got[d] == pytest.approx(-idf * f * 2.2 / (f + norm))
 
 
-def test_stored_index_and_reindex(spark, docs, tmp_path):
-    path = str(tmp_path / "postings")
-    X.write_postings(X.postings(docs), path)
-    stored = spark.read.parquet(path)
-    a = X.search(ask(spark, "tool use"), docs, posted=stored).collect()
-    assert a == X.search(ask(spark, "tool use"), docs).collect()
+def test_reindex(spark, docs):
+    stored = X.postings(docs)
     edited = docs.where("doc_id <> 4").withColumn("prompt", F.when(F.col("doc_id") == 2, "Gone").otherwise(F.col("prompt")))
     touched = spark.createDataFrame([(2,), (4,)], "question_id int")
     fresh = X.reindex(stored, edited, touched)
@@ -95,23 +104,74 @@ def test_stored_index_and_reindex(spark, docs, tmp_path):
     assert sorted(fresh.select(*key).collect()) == sorted(full.select(*key).collect())
 
 
-def test_snippets_mark_the_hits(spark, docs):
+def test_index_tables_agree_with_the_text(spark, docs, index):
+    posted = X.postings(docs).groupBy("token").agg(F.count_distinct("doc_id").alias("docs"))
+    assert sorted(map(tuple, index.vocabulary.select("token", "docs").collect())) == sorted(map(tuple, posted.collect()))
+    places = index.postings.select("token", "doc_id", F.explode("places").alias("place")).collect()
+    want = X.postings(docs).select("token", "doc_id", "field", "pos").collect()
+    names = list(X.FIELD_WEIGHTS)
+    assert sorted((r["token"], r["doc_id"], names[r["place"] >> I.FIELD_BITS], r["place"] % (1 << I.FIELD_BITS)) for r in places) == sorted(map(tuple, want))
+    for r in index.documents.collect():
+        for body, tokens, starts, ends in zip(r["bodies"], r["tokens"], r["starts"], r["ends"]):
+            assert [body[a:b].lower().replace("é", "e") for a, b in zip(starts, ends)] == tokens
+
+
+def _opened(df):
+    """Files that the scan of an executed frame without a shuffle opened."""
+    df.collect()
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return int(leaf.metrics().apply("numFiles").value())
+
+
+def test_a_search_opens_the_files_of_its_tokens(spark):
+    docs = spark.createDataFrame([(i, f"w{i} w{i * 7 % 1000} common", "", "") for i in range(1000)], "doc_id int, prompt string, options string, explanation string")
+    index = indexed(spark, docs)
+    of = lambda raw: I.resolved(index, I.term_tokens(I.asked_terms(ask(spark, raw))))
+    every = _opened(index.postings.select("token"))
+    assert every >= I.SHELVES
+    few = I.postings_named(index, of("w5 common"))
+    assert {r["token"] for r in few.select("token").distinct().collect()} == {"w5", "common"}
+    assert _opened(few.select("token")) <= 2 * every / I.SHELVES + 1
+    assert I.postings_named(index, of("w*")) is not index.postings
+
+
+def test_frequent_tokens_are_met_in_slices(spark, docs, index, monkeypatch):
+    want = sorted(map(tuple, I.search(index, ask(spark, "tool use", "cach*", '"tool use"')).collect()))
+    monkeypatch.setattr(I, "SLICE", 1)
+    monkeypatch.setattr(I, "NAMED_TOKENS", 0)
+    assert sorted(map(tuple, I.search(index, ask(spark, "tool use", "cach*", '"tool use"')).collect())) == want
+
+
+def test_best_scores_fewer_rows_and_finds_the_same(spark):
+    docs = spark.createDataFrame(
+        [(i, " ".join(["alpha"] * (i % 4 // 2 * (1 + i % 5)) + ["beta"] * (i % 3) + [f"x{j}" for j in range(i % 97)]), "", "") for i in range(1500)],
+        "doc_id int, prompt string, options string, explanation string",
+    )
+    index = indexed(spark, docs)
+    asked, _, scored = I.terms_and_parts(index, ask(spark, "alpha", "alpha beta", '"alpha beta"', "alp* x90", "none such"))
+    every = I.ranked(asked, scored).withColumn("score", F.round("score", 6))
+    found = I.best(asked, scored, 5)
+    assert sorted(map(tuple, found.hits.collect())) == sorted(map(tuple, X.top_hits(every, 5).collect()))
+    assert found.scored.count() < every.count()
+
+
+def test_snippets_mark_the_hits(spark):
     long = spark.createDataFrame(
         [(9, " ".join(f"w{i}" for i in range(40)) + " alpha Beta, gamma " + " ".join(f"z{i}" for i in range(40)), "", "")],
         "doc_id int, prompt string, options string, explanation string",
     )
-    posted = X.postings(long)
-    expanded = X.expand_tokens(X.query_tokens(X.parse_queries(ask(spark, '"alpha beta" z3'))), X.vocabulary(posted))
-    row = X.snippets(X.best_windows(X.occurrences(posted, expanded)), long).first()
-    text = X.snippet_text(F.col("parts"))
+    index = indexed(spark, long)
+    asked, met, scored = I.terms_and_parts(index, ask(spark, '"alpha beta" z3'))
+    cut = I.snippets(index, I.hit_windows(index, asked, met, I.ranked(asked, scored)))
+    row = cut.first()
     assert [(p["text"], p["matched"]) for p in row["parts"]][:3] == [("…", False), ("alpha Beta", True), (", gamma z0 z1 z2 ", False)]
-    shown = X.snippets(X.best_windows(X.occurrences(posted, expanded)), long).select(text.alias("t")).first()["t"]
+    shown = cut.select(X.snippet_text(F.col("parts")).alias("t")).first()["t"]
     assert shown.startswith("…[alpha Beta], gamma z0 z1 z2 [z3] z4") and shown.endswith("…")
 
 
-def test_blank_search_lists_by_id(spark, docs):
+def test_blank_search_lists_by_id(spark, docs, index):
     scope = docs.select(F.col("doc_id").alias("id"))
-    rows = X.search_results(scope, docs, " * ", limit=2, offset=1).collect()
+    rows = I.results(index, scope, " * ", limit=2, offset=1).collect()
     assert [(r["id"], r["score"], r["parts"]) for r in rows] == [(2, 0.0, None), (3, 0.0, None)]
-    rows = X.search_results(scope, docs, "tool", limit=5).collect()
+    rows = I.results(index, scope, "tool", limit=5).collect()
     assert [r["id"] for r in rows] == [2, 1] or [r["id"] for r in rows] == [2]
