@@ -300,35 +300,19 @@ def _log(bank):
     return log, closed
 
 
-@query(
-    "answer_log_fold",
-    f"""WITH {_LOG}, answers AS (SELECT *, lag(selection) OVER (PARTITION BY attempt_id, position ORDER BY "at", id) AS prev FROM kept WHERE kind = 'answer'),
-    folded AS (SELECT attempt_id, position, arg_max(selection, row("at", id)) AS selection, max("at") AS answered_at, sum(greatest(0, time_ms))::BIGINT AS time_ms,
-      count(*) FILTER (prev IS NOT NULL AND prev <> selection) AS change_count FROM answers GROUP BY ALL),
-    shown AS (SELECT attempt_id, position, min("at") AS first_shown_at FROM kept GROUP BY ALL)
-    SELECT s.attempt_id, s.position, selection, answered_at, first_shown_at, coalesce(time_ms, 0) AS time_ms, coalesce(change_count, 0) AS change_count
-    FROM shown s LEFT JOIN folded f ON f.attempt_id = s.attempt_id AND f.position = s.position""",
-)
-def answer_log_fold(bank):
-    """The log as its SQL keeps it: without late shows; ``answer_log_state`` has all of them."""
-    log, closed = _log(bank)
-    open_ = closed.select(F.col("id").alias("attempt_id"), "closed_at")
-    kept = log.join(open_, "attempt_id").where(F.col("closed_at").isNull() | (F.col("at") <= F.col("closed_at")))
-    return state.fold_answers(kept.drop("closed_at"))
+_JUDGED = _LOG.replace("kept AS (", "judged AS (SELECT log.*, CASE WHEN closed.id IS NULL THEN 'unknown attempt' WHEN kind = 'answer' AND \"at\" > closed_at THEN 'closed' END AS reason FROM log LEFT JOIN closed ON closed.id = attempt_id),\n    before_close AS (") + ",\n    kept AS (SELECT * FROM judged WHERE reason IS NULL)"
 
 
-_JUDGED = _LOG.replace("kept AS (", "judged AS (SELECT log.*, CASE WHEN closed.id IS NULL THEN 'unknown attempt' WHEN kind = 'answer' AND \"at\" > closed_at THEN 'closed' END AS reason FROM log LEFT JOIN closed ON closed.id = attempt_id),\n    before_close AS (") + ",\n    kept AS (SELECT * FROM judged WHERE reason IS NULL)"
+_STATE = f"""WITH {_JUDGED}, answers AS (SELECT *, lag(selection) OVER (PARTITION BY attempt_id, position ORDER BY "at", id) AS prev FROM kept WHERE kind = 'answer'),
+  folded AS (SELECT attempt_id, position, arg_max(selection, row("at", id)) AS selection, max("at") AS answered_at, sum(greatest(0, time_ms))::BIGINT AS time_ms,
+    count(*) FILTER (prev IS NOT NULL AND prev <> selection) AS change_count FROM answers GROUP BY ALL),
+  shown AS (SELECT attempt_id, position, min("at") AS first_shown_at FROM kept GROUP BY ALL)
+  SELECT s.attempt_id, s.position, selection, answered_at, first_shown_at, coalesce(time_ms, 0) AS time_ms, coalesce(change_count, 0) AS change_count
+  FROM shown s LEFT JOIN folded f ON f.attempt_id = s.attempt_id AND f.position = s.position"""
 
 
-@query(
-    "answer_log_state",
-    f"""WITH {_JUDGED}, answers AS (SELECT *, lag(selection) OVER (PARTITION BY attempt_id, position ORDER BY "at", id) AS prev FROM kept WHERE kind = 'answer'),
-    folded AS (SELECT attempt_id, position, arg_max(selection, row("at", id)) AS selection, max("at") AS answered_at, sum(greatest(0, time_ms))::BIGINT AS time_ms,
-      count(*) FILTER (prev IS NOT NULL AND prev <> selection) AS change_count FROM answers GROUP BY ALL),
-    shown AS (SELECT attempt_id, position, min("at") AS first_shown_at FROM kept GROUP BY ALL)
-    SELECT s.attempt_id, s.position, selection, answered_at, first_shown_at, coalesce(time_ms, 0) AS time_ms, coalesce(change_count, 0) AS change_count
-    FROM shown s LEFT JOIN folded f ON f.attempt_id = s.attempt_id AND f.position = s.position""",
-)
+@query("answer_log_fold", _STATE)
+@query("answer_log_state", _STATE)
 def answer_log_state(bank):
     return state.fold_answers(*_log(bank))
 
