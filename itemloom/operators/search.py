@@ -9,7 +9,6 @@ and searches them.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,12 +107,6 @@ def postings(documents: DataFrame, fields: Sequence[str] = tuple(FIELD_WEIGHTS))
     return flat.select("doc_id", "doc_len", field.alias("field"), pos.alias("pos"), "token")
 
 
-def corpus_size(documents: DataFrame, fields: Sequence[str] = tuple(FIELD_WEIGHTS)) -> DataFrame:
-    """One row: number of documents and total tokens; nothing is exploded."""
-    length = reduce(lambda a, b: a + b, [F.size(F.regexp_extract_all(F.col(f), F.lit(tx.TOKEN), F.lit(0))) for f in fields])
-    return documents.agg(F.count(F.lit(1)).alias("n_docs"), F.sum(length.cast("bigint")).alias("n_tokens"))
-
-
 def reindex(posted: DataFrame, documents: DataFrame, affected: DataFrame) -> DataFrame:
     """Replace the postings of affected documents; vanished ones leave no orphan."""
     ids = affected.select(F.col("question_id").alias("doc_id"))
