@@ -333,7 +333,7 @@ def normalise_answer(offered: Column, chosen: Column) -> Column:
     )
 
 
-def _judged(events: DataFrame, attempt: DataFrame) -> DataFrame:
+def judge_answers(events: DataFrame, attempt: DataFrame) -> DataFrame:
     """All events with why they are refused; null where they are not."""
     closed = attempt.select(F.col("id").alias("__attempt"), F.col("closed_at").alias("__closed"))
     late = (F.col("kind") == "answer") & (F.col("at") > F.col("__closed"))
@@ -344,7 +344,7 @@ def _judged(events: DataFrame, attempt: DataFrame) -> DataFrame:
 
 def refused_answers(events: DataFrame, attempt: DataFrame) -> DataFrame:
     """The events that ``fold_answers`` leaves out, each with its reason: unknown attempt | closed."""
-    return _judged(events, attempt).where(F.col("reason").isNotNull())
+    return judge_answers(events, attempt).where(F.col("reason").isNotNull())
 
 
 def fold_answers(events: DataFrame, attempt: DataFrame | None = None) -> DataFrame:
@@ -355,7 +355,7 @@ def fold_answers(events: DataFrame, attempt: DataFrame | None = None) -> DataFra
     unknown attempts are left to ``refused_answers``; items may be shown after the close.
     """
     if attempt is not None:
-        events = _judged(events, attempt).where(F.col("reason").isNull()).drop("reason")
+        events = judge_answers(events, attempt).where(F.col("reason").isNull()).drop("reason")
     keys, answer = ["attempt_id", "position"], F.col("kind") == "answer"
     order = [F.col("at"), F.col("id")]
     answers = blocked.lag(

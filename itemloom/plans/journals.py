@@ -8,6 +8,7 @@ from itemloom.functions import grading
 from itemloom.operators import state
 from itemloom.plans import bindings as B
 from itemloom.plans.registry import query
+from itemloom.session import work_path
 
 
 @query("current_mark", f"WITH {B.CURRENT_MARK} SELECT question_id, value, marked_at FROM current_mark")
@@ -283,8 +284,8 @@ _LOG = """log AS (SELECT user_id AS attempt_id, (event_id % 5)::INT AS position,
     kept AS (SELECT log.* FROM log JOIN closed ON closed.id = attempt_id WHERE closed_at IS NULL OR "at" <= closed_at)"""
 
 
-def _log(bank):
-    log = bank.table("events").select(
+def _answer_events(events):
+    return events.select(
         F.col("user_id").alias("attempt_id"),
         (F.col("event_id") % 5).cast("int").alias("position"),
         F.col("ts").alias("at"),
@@ -293,11 +294,17 @@ def _log(bank):
         F.col("event_type").alias("selection"),
         (F.floor("value") - 20).cast("bigint").alias("time_ms"),
     )
-    closed = bank.table("customer").select(
+
+
+def _closings(bank):
+    return bank.table("customer").select(
         F.col("c_custkey").alias("id"),
         F.when(F.col("c_acctbal") > 5000, F.lit("2024-01-20").cast("timestamp_ntz")).alias("closed_at"),
     )
-    return log, closed
+
+
+def _log(bank):
+    return _answer_events(bank.table("events")), _closings(bank)
 
 
 _JUDGED = _LOG.replace("kept AS (", "judged AS (SELECT log.*, CASE WHEN closed.id IS NULL THEN 'unknown attempt' WHEN kind = 'answer' AND \"at\" > closed_at THEN 'closed' END AS reason FROM log LEFT JOIN closed ON closed.id = attempt_id),\n    before_close AS (") + ",\n    kept AS (SELECT * FROM judged WHERE reason IS NULL)"
@@ -317,7 +324,10 @@ def answer_log_state(bank):
     return state.fold_answers(*_log(bank))
 
 
-@query("answer_log_refused", f"WITH {_JUDGED} SELECT attempt_id, position, \"at\", id, kind, selection, time_ms, reason FROM judged WHERE reason IS NOT NULL")
+_REFUSED = f"WITH {_JUDGED} SELECT attempt_id, position, \"at\", id, kind, selection, time_ms, reason FROM judged WHERE reason IS NOT NULL"
+
+
+@query("answer_log_refused", _REFUSED)
 def answer_log_refused(bank):
     return state.refused_answers(*_log(bank))
 
@@ -341,20 +351,38 @@ def answer_normalisation(bank):
 )
 def stream_current_mark(bank):
     """The events table read as a stream of files and folded batch by batch."""
-    import uuid
-
-    from itemloom.session import work_folder
     from itemloom.streaming import journal
 
-    folder = work_folder(bank.spark)
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    base = f"{folder}/{uuid.uuid4().hex}"
-    schema = bank.table("events").schema
-    events = journal.read_events(bank.spark, f"{bank.sf_dir}/event[s].parquet", schema)
+    base = work_path(bank.spark, "stream")
+    events = journal.read_events(bank.spark, f"{bank.sf_dir}/event[s].parquet", bank.table("events").schema)
     marks = events.select(
         F.col("event_id").alias("id"), F.col("user_id").alias("question_id"), F.col("event_type").alias("value"), F.col("ts").alias("created_at")
     )
     running = journal.maintain_current_marks(marks, f"{base}/state", f"{base}/checkpoint")
     running.awaitTermination()
     return journal.read_state(bank.spark, f"{base}/state").select("question_id", "value", F.col("created_at").alias("marked_at"))
+
+
+def _streamed_log(bank) -> str:
+    """The events table through the stateful stream, as a backlog that may stand in any order."""
+    from itemloom.streaming import answers, journal
+
+    base = work_path(bank.spark, "answers")
+    events = journal.read_events(bank.spark, f"{bank.sf_dir}/event[s].parquet", bank.table("events").schema)
+    running = answers.maintain_answer_log(_answer_events(events), _closings(bank), f"{base}/log", f"{base}/checkpoint", delay="36500 days")
+    running.awaitTermination()
+    return f"{base}/log"
+
+
+@query("stream_answer_log", _STATE)
+def stream_answer_log(bank):
+    from itemloom.streaming import answers
+
+    return answers.item_state(bank.spark, _streamed_log(bank))
+
+
+@query("stream_answer_log_refused", _REFUSED)
+def stream_answer_log_refused(bank):
+    from itemloom.streaming import answers
+
+    return answers.refused_events(bank.spark, _streamed_log(bank))

@@ -1,9 +1,7 @@
 """Journals as streams: the batch folds, kept current.
 
-The folds are associative per key (latest by (time, id), earliest show, sums), so each
-micro-batch is combined on its own first and then merged with the stored state.  State
-lives in versioned tables: a batch writes ``version=<batch>`` and replays of the same
-batch overwrite the same folder, which makes the sink idempotent.
+The fold is associative per key (latest by (time, id)), so each micro-batch is combined
+on its own first and then merged with the stored state, a table of hash buckets.
 """
 
 from __future__ import annotations
@@ -11,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
+
+from itemloom.streaming import buckets
 
 MARK_STATE = "question_id BIGINT, value STRING, created_at TIMESTAMP_NTZ, id BIGINT"
 
@@ -32,38 +31,13 @@ def latest_marks(mark: DataFrame) -> DataFrame:
     )
 
 
-COMMITS = "batch BIGINT"
-
-
-def _version(path: str, batch: int) -> str:
-    return f"{path.rstrip('/')}/version={batch}"
-
-
-def _newest(spark: SparkSession, state_path: str, before: int | None = None) -> int | None:
-    """The newest version committed, or the newest one older than ``before``."""
-    commits = spark.read.schema(COMMITS).parquet(f"{state_path.rstrip('/')}/commits")
-    if before is not None:
-        commits = commits.where(F.col("batch") < before)
-    return commits.agg(F.max("batch")).first()[0]
-
-
 def maintain_current_marks(
     marks: DataFrame, state_path: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Keep the current-mark table up to date; start with ``availableNow`` to catch up and stop.
-
-    A version is committed by a row written after it is complete, so a batch that is run
-    again starts from the version before it and leaves the same one.
-    """
+    """Keep the current-mark table up to date; start with ``availableNow`` to catch up and stop."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark, fresh = batch.sparkSession, latest_marks(batch)
-        earlier = _newest(spark, state_path, batch_id) if batch_id else None
-        if earlier is not None:
-            stored = spark.read.schema(MARK_STATE).parquet(_version(state_path, earlier))
-            fresh = latest_marks(stored.unionByName(fresh))
-        fresh.write.mode("overwrite").parquet(_version(state_path, batch_id))
-        spark.createDataFrame([(batch_id,)], COMMITS).coalesce(1).write.mode("append").parquet(f"{state_path.rstrip('/')}/commits")
+        buckets.merge(batch, batch_id, state_path, MARK_STATE, ["question_id"], latest_marks)
 
     return (
         marks.writeStream.foreachBatch(merge)
@@ -74,13 +48,5 @@ def maintain_current_marks(
 
 
 def read_state(spark: SparkSession, state_path: str) -> DataFrame:
-    """The table as of the newest committed version, whichever run wrote it; empty before the first."""
-    try:
-        newest = _newest(spark, state_path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        newest = None
-    if newest is None:
-        return spark.createDataFrame([], MARK_STATE)
-    return spark.read.schema(MARK_STATE).parquet(_version(state_path, newest))
+    """The table as of the newest committed batch, whichever run wrote it; empty before the first."""
+    return buckets.read(spark, state_path, MARK_STATE)
