@@ -37,6 +37,31 @@ def combinations(n: Column, k: Column) -> Column:
     return F.when((k < 0) | (k > n), F.lit(0).cast("bigint")).otherwise(product)
 
 
+def unrank(labels: Column, k: Column, rank: Column) -> Column:
+    """The k-subset of ``labels`` at ``rank`` (from 0) in lexicographic order of positions.
+
+    Each label either takes the ranks of the subsets that hold it or passes on the rest, so
+    nothing is enumerated.  Holds while C(n, k) * k fits a bigint (n of 56 at any k).
+    """
+    div = lambda a, b: F.call_function("div", a, b)
+    places = F.transform(labels, lambda x, i: F.struct(x.alias("label"), (F.size(labels) - i).cast("bigint").alias("left")))
+    start = F.struct(
+        rank.cast("bigint").alias("rank"), k.cast("bigint").alias("k"), combinations(F.size(labels), k).alias("ways"), F.array().cast("array<string>").alias("taken")
+    )
+
+    def step(acc: Column, place: Column) -> Column:
+        holding = div(acc["ways"] * acc["k"], place["left"])  # subsets of what is left that hold this label
+        take = acc["rank"] < holding
+        return F.struct(
+            F.when(take, acc["rank"]).otherwise(acc["rank"] - holding).alias("rank"),
+            F.when(take, acc["k"] - 1).otherwise(acc["k"]).alias("k"),
+            F.when(take, holding).otherwise(acc["ways"] - holding).alias("ways"),
+            F.when(take, F.concat(acc["taken"], F.array(place["label"]))).otherwise(acc["taken"]).alias("taken"),
+        )
+
+    return F.aggregate(places, start, step, lambda acc: acc["taken"])
+
+
 def is_correct(key: Column, chosen: Column) -> Column:
     """Both arrays are in option order and free of repeats, so equality is enough."""
     return (F.size(chosen) > 0) & (chosen == key)

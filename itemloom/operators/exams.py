@@ -123,24 +123,31 @@ def domain_results(item: DataFrame) -> DataFrame:
     )
 
 
+SPAN = 65536
+
+
+def guessing_space(keys: DataFrame) -> DataFrame:
+    """Every response a guesser of each row may give, C(n, wanted) rows with ``selected_labels``.
+
+    Ranks are dealt to tasks in spans, and a rank is turned into its response by itself.
+    """
+    ways = g.combinations(F.size("option_labels"), F.col("wanted"))
+    last = ways - 1
+    spans = keys.where(ways > 0).withColumn("__first", F.explode(F.sequence(F.lit(0).cast("bigint"), last, F.lit(SPAN).cast("bigint"))))
+    dealt = spans.repartition(keys.sparkSession.sparkContext.defaultParallelism, *keys.columns, "__first")
+    ranks = F.sequence(F.col("__first"), F.least(F.col("__first") + (SPAN - 1), last))
+    ranked = dealt.withColumn("rank", F.explode(ranks)).drop("__first")
+    return ranked.withColumn("selected_labels", g.unrank(F.col("option_labels"), F.col("wanted"), F.col("rank")))
+
+
 def guessing_calibration(keys: DataFrame) -> DataFrame:
-    """Exact expected credit of a uniform guesser per distinct (options, wanted) shape.
+    """Expected credit of a uniform guesser per (options, wanted) shape: every response is graded.
 
-    Every subset of the right size is enumerated from its bit mask; the expectation is
-    kept as integers and is zero whenever there is something to be wrong about.
+    The key graded against is the shape's least; a uniform guesser meets them all alike.
     """
-    shapes = keys.select(F.size("option_labels").alias("options"), "wanted").distinct()
-    masks = shapes.withColumn("mask", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), F.col("options")).cast("int") - 1)))
-    fits = masks.where(F.bit_count("mask") == F.col("wanted"))
-    ways = g.wrong_ways(F.col("options"), F.col("wanted"))
-    return (
-        fits.groupBy("options", "wanted")
-        .agg(F.count(F.lit(1)).alias("responses"))
-        .withColumn("ways", ways)
-        .select(
-            "options",
-            "wanted",
-            "responses",
-            F.when(F.col("ways") > 0, F.lit(1) - (F.col("responses") - 1) / F.col("ways")).otherwise(F.lit(1.0)).alias("expected_credit"),
-        )
+    shapes = keys.groupBy(F.size("option_labels").alias("options"), "wanted").agg(F.min(F.struct("option_labels", "key")).alias("s"))
+    posed = shapes.select("options", "wanted", F.col("s.option_labels").alias("option_labels"), F.col("s.key").alias("correct_labels"))
+    graded = grade_items(guessing_space(posed).withColumn("select_count", F.col("wanted")))
+    return graded.groupBy("options", "wanted").agg(
+        F.count(F.lit(1)).alias("responses"), (F.round(F.avg("credit"), 9) + F.lit(0.0)).alias("expected_credit")
     )

@@ -1,14 +1,15 @@
-"""Outline flattening and its rules, on lines of files of any length.
+"""Outline flattening and its rules, on lines of files of any length and depth.
 
-Parents, ordinals and dotted paths come from running counts over blocks of lines, so a
-file is never gathered into one task.
+Parents, ordinals and dotted paths come from blocks of lines and the branch that is open
+before each, so a file is never gathered into one task.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemloom.functions import blocked
@@ -33,55 +34,100 @@ def bullets(classified: DataFrame) -> DataFrame:
     )
 
 
+_ENDS = "file STRING, __block BIGINT, low_depth ARRAY<INT>, low_n ARRAY<BIGINT>, depths ARRAY<INT>, ordinals ARRAY<BIGINT>, children ARRAY<BIGINT>"
+_OPEN = "file STRING, __block BIGINT, depths ARRAY<INT>, ordinals ARRAY<BIGINT>, children ARRAY<BIGINT>"
+_NODES = "file STRING, line_no BIGINT, depth INT, ordinal BIGINT, path STRING, parent_path STRING, label STRING, weight_text STRING"
+
+
+def _place(stack: list[list[int]], depth: int) -> None:
+    """Open a line below the nearest shallower one; entries are [depth, ordinal, children]."""
+    while stack[-1][0] >= depth:
+        stack.pop()
+    stack[-1][2] += 1
+    stack.append([depth, stack[-1][2], 0])
+
+
+def _columns(stack: list[list[int]]) -> dict[str, list]:
+    return {name: [[entry[i] for entry in stack]] for i, name in enumerate(("depths", "ordinals", "children"))}
+
+
+def _block_ends(key: tuple, lines: pd.DataFrame) -> pd.DataFrame:
+    """What a block does to any stack: lines by depth that find no parent in it, and what it leaves open."""
+    stack: list[list[int]] = [[0, 0, 0]]
+    lows: dict[int, int] = {}
+    for depth in lines.sort_values("line_no")["depth"].tolist():
+        _place(stack, depth)
+        if len(stack) == 2:
+            lows[depth] = lows.get(depth, 0) + 1
+    return pd.DataFrame({"file": [key[0]], "__block": [key[1]], "low_depth": [list(lows)], "low_n": [list(lows.values())], **_columns(stack[1:])})
+
+
+def _carry(ends: pd.DataFrame) -> pd.DataFrame:
+    """The stack that each block of a file starts with."""
+    stack, out = [[0, 0, 0]], []
+    for block in ends.sort_values("__block").to_dict("records"):
+        out.append(pd.DataFrame({"file": [block["file"]], "__block": [block["__block"]], **_columns(stack)}))
+        for depth, n in zip(block["low_depth"], block["low_n"]):
+            while stack[-1][0] >= depth:
+                stack.pop()
+            stack[-1][2] += int(n)
+        left = [list(map(int, entry)) for entry in zip(block["depths"], block["ordinals"], block["children"])]
+        left[0][1] = stack[-1][2]  # the last line without a parent in the block
+        stack += left
+    return pd.concat(out)
+
+
+def _number(lines: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+    start = before.iloc[0]
+    stack = [list(map(int, entry)) for entry in zip(start["depths"], start["ordinals"], start["children"])]
+    lines = lines.sort_values("line_no")
+    ordinals, paths, parents = [], [], []
+    for depth in lines["depth"].tolist():
+        _place(stack, depth)
+        chain = [str(entry[1]) for entry in stack[1:]]
+        ordinals.append(stack[-1][1])
+        paths.append(".".join(chain))
+        parents.append(".".join(chain[:-1]) or None)
+    return lines.assign(ordinal=ordinals, path=paths, parent_path=parents)[[c.split()[0] for c in _NODES.split(", ")]]
+
+
 def flatten(classified: DataFrame) -> DataFrame:
-    """Bullets with depth, ordinal among siblings, dotted path, parent path and weights."""
-    rows = bullets(classified).withColumn("__block", _block())
-    levels = range(1, MAX_DEPTH + 1)
+    """Bullets with depth, ordinal among siblings, dotted path, parent path and weights.
+
+    A bullet's parent is the nearest earlier line that is shallower, at any depth.  A block
+    of lines is reduced to the lines without a parent in it and its open branch; these few
+    rows are scanned in file order, and each block numbers its lines from the branch that is
+    open before it.  ``refused_lines`` names the bullets that break the outline's rules.
+    """
+    rows = bullets(classified).select("file", F.col("line_no").cast("bigint").alias("line_no"), "depth", "label", "weight_text")
+    rows = rows.withColumn("__block", _block())
     keys = ["file", "__block"]
-    upto = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    # In a block: lines of depth d so far, and how many when a shallower line last came.
-    for d in levels:
-        rows = rows.withColumn(f"n{d}", F.count_if(F.col("depth") == d).over(upto))
-    for d in levels[1:]:
-        seen = F.when(F.col("depth") < d, F.col(f"n{d}"))
-        rows = rows.withColumn(f"s{d}", F.last(seen, ignorenulls=True).over(upto))
-    totals = rows.groupBy(*keys).agg(
-        *[F.max(f"n{d}").alias(f"t{d}") for d in levels],
-        *[F.max_by(f"s{d}", "line_no").alias(f"e{d}") for d in levels[1:]],
-    )
-    earlier = Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("bigint")
-    for d in levels:
-        totals = totals.withColumn(f"p{d}", F.coalesce(F.sum(f"t{d}").over(earlier), zero))
-    carried = totals.select(
-        *keys,
-        *[f"p{d}" for d in levels],
-        *[F.last(F.col(f"p{d}") + F.col(f"e{d}"), ignorenulls=True).over(earlier).alias(f"q{d}") for d in levels[1:]],
-    )
-    based = rows.join(carried, keys, "left")
-    for d in levels:
-        based = based.withColumn(f"c{d}", F.col(f"p{d}") + F.col(f"n{d}"))
-    for d in levels[1:]:
-        based = based.withColumn(f"b{d}", F.coalesce(F.col(f"p{d}") + F.col(f"s{d}"), F.col(f"q{d}"), zero))
-
-    def ordinal(d: int) -> Column:
-        return F.col("c1") if d == 1 else F.col(f"c{d}") - F.col(f"b{d}")
-
-    chain = F.array(*[ordinal(d).cast("string") for d in levels])
-    path = F.array_join(F.slice(chain, F.lit(1), F.col("depth")), ".")
-    own = reduce(lambda acc, d: acc.when(F.col("depth") == d, ordinal(d)), levels[1:], F.when(F.col("depth") == 1, ordinal(1)))
-    return based.where(F.col("depth") <= MAX_DEPTH).select(
-        "file",
-        "line_no",
-        "depth",
-        own.alias("ordinal"),
-        path.alias("path"),
-        F.when(F.col("depth") > 1, F.regexp_replace(path, r"\.[^.]*$", "")).alias("parent_path"),
-        "label",
-        "w.*",
+    ends = rows.select(*keys, "line_no", "depth").groupBy(*keys).applyInPandas(_block_ends, _ENDS)
+    before = ends.groupBy("file").applyInPandas(_carry, _OPEN)
+    nodes = rows.groupBy(*keys).cogroup(before.groupBy(*keys)).applyInPandas(_number, _NODES)
+    return nodes.select("*", tx.weight_fields(F.col("weight_text")).alias("w")).select(
+        "file", "line_no", "depth", "ordinal", "path", "parent_path", "label", "w.*"
     )
 
 
+def _stepped(rows: DataFrame) -> DataFrame:
+    return blocked.lag(rows, ["file"], _block(), [F.col("line_no")], F.col("depth"), "before")
+
+
+def _misplaced() -> list[Column]:
+    return [
+        F.when(F.col("spaces") % INDENT != 0, f"indent is not a multiple of {INDENT}"),
+        F.when(F.col("depth") > MAX_DEPTH, f"deeper than {MAX_DEPTH}"),
+        F.when(F.col("depth") > F.coalesce("before", F.lit(0)) + 1, "no parent"),
+    ]
+
+
+def refused_lines(classified: DataFrame) -> DataFrame:
+    """Bullets whose place breaks a rule, a row for each rule: (file, line_no, depth, label, problem)."""
+    rules = F.array_compact(F.array(*_misplaced()))
+    return _stepped(bullets(classified)).select("file", "line_no", "depth", "label", F.explode(rules).alias("problem"))
+
+
 def with_kinds(nodes: DataFrame, classified: DataFrame) -> DataFrame:
     """Name each depth the way the file's ``levels`` header does."""
     levels = (
@@ -118,7 +164,7 @@ def outline_problems(classified: DataFrame) -> DataFrame:
     """(file, line_no, problem) for every broken outline rule."""
     rows = bullets(classified)
     firsts = rows.groupBy("file").agg(F.min("line_no").alias("first_bullet"))
-    stepped = blocked.lag(rows, ["file"], _block(), [F.col("line_no")], F.col("depth"), "before")
+    stepped = _stepped(rows)
     w, text = F.col("w"), F.col("weight_text")
     no_weight = w["weight_pct"].isNull() & w["weight_min"].isNull()
 
@@ -127,9 +173,7 @@ def outline_problems(classified: DataFrame) -> DataFrame:
 
     per_bullet = problems(
         stepped,
-        F.when(F.col("spaces") % INDENT != 0, "indent is not a multiple of 2"),
-        F.when(F.col("depth") > MAX_DEPTH, "deeper than 4"),
-        F.when(F.col("depth") > F.coalesce("before", F.lit(0)) + 1, "no parent"),
+        *_misplaced(),
         F.when(F.trim("label") == "", "no label"),
         F.when(text.isNotNull() & (F.col("depth") > 1), "weight below the top level"),
         F.when(text.isNotNull() & no_weight, "not a weight"),

@@ -22,7 +22,8 @@ _LINES = """line AS (
   UNION ALL SELECT 'n' || n_nationkey, 7, CASE WHEN n_nationkey % 6 = 0 THEN 'regime: exact' ELSE '' END FROM nation
   UNION ALL SELECT 'n' || c_nationkey, 10 * (c_custkey + 1), CASE WHEN c_custkey % 41 = 0 THEN ' ' ELSE '' END || '- [' || CASE WHEN c_custkey % 37 = 0 THEN 'many' WHEN c_custkey % 5 = 0 THEN (c_custkey % 30) || '-' || (c_custkey % 23 + 5) || '%' ELSE (c_custkey % 50) || '%' END || '] ' || c_name FROM customer
   UNION ALL SELECT 'n' || c_nationkey, 10 * (c_custkey + 1) + 1, CASE WHEN c_custkey % 29 = 0 THEN '  - [5%] ' ELSE '  - ' END || c_mktsegment FROM customer
-  UNION ALL SELECT 'n' || c_nationkey, 10 * (c_custkey + 1) + 2, CASE WHEN c_custkey % 31 = 0 THEN '      - ' ELSE '    - ' END || 'topic ' || c_custkey FROM customer WHERE c_acctbal > 5000),
+  UNION ALL SELECT 'n' || c_nationkey, 10 * (c_custkey + 1) + 2, CASE WHEN c_custkey % 31 = 0 THEN '      - ' ELSE '    - ' END || 'topic ' || c_custkey FROM customer WHERE c_acctbal > 5000
+  UNION ALL SELECT 'n' || c_nationkey, 10 * (c_custkey + 1) + d, repeat(' ', 2 * d + 2) || '- detail ' || d FROM customer, range(3, 5) r(d) WHERE c_custkey % 43 = 0),
   kept AS (SELECT * FROM line WHERE trim(raw) <> '' AND NOT starts_with(ltrim(raw), '#')),
   cls AS (SELECT file, line_no::BIGINT AS line_no, raw, CASE WHEN regexp_matches(raw, '^ *- ') THEN 'bullet' WHEN regexp_matches(raw, '^[a-z_]+:') THEN 'header' ELSE 'other' END AS kind,
     length(regexp_extract(raw, '^( *)- ', 1))::INT AS spaces, nullif(regexp_extract(raw, '^ *- \\[([^\\]]+)\\]', 1), '') AS weight_text, regexp_extract(raw, '^ *- (?:\\[[^\\]]+\\]\\s*)?(.*)$', 1) AS label,
@@ -55,6 +56,7 @@ def _lines(bank):
             F.struct(base.alias("line_no"), F.concat(F.when(k % 41 == 0, " ").otherwise(""), F.lit("- ["), weight, F.lit("] "), "c_name").alias("raw")),
             F.struct((base + 1).alias("line_no"), F.concat(F.when(k % 29 == 0, "  - [5%] ").otherwise("  - "), "c_mktsegment").alias("raw")),
             F.when(F.col("c_acctbal") > 5000, F.struct((base + 2).alias("line_no"), F.concat(F.when(k % 31 == 0, "      - ").otherwise("    - "), F.lit("topic "), s(k)).alias("raw"))),
+            *[F.when(k % 43 == 0, F.struct((base + d).alias("line_no"), F.lit(" " * (2 * d + 2) + f"- detail {d}").alias("raw"))) for d in (3, 4)],
         )
     )
     body = bank.table("customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("file"), F.explode(bullets).alias("l")).select("file", "l.*")
@@ -70,21 +72,21 @@ def outline_lines(bank):
     return _classified(bank).select("file", "line_no", "kind", "label", "key", "value")
 
 
-_FLAT = f"""{_LINES}, c AS (SELECT *, count(*) FILTER (depth = 1) OVER w AS c1, count(*) FILTER (depth = 2) OVER w AS c2, count(*) FILTER (depth = 3) OVER w AS c3, count(*) FILTER (depth = 4) OVER w AS c4 FROM bul WINDOW w AS (PARTITION BY file ORDER BY line_no)),
-  b AS (SELECT *, coalesce(last_value(CASE WHEN depth < 2 THEN c2 END IGNORE NULLS) OVER w, 0) AS b2, coalesce(last_value(CASE WHEN depth < 3 THEN c3 END IGNORE NULLS) OVER w, 0) AS b3, coalesce(last_value(CASE WHEN depth < 4 THEN c4 END IGNORE NULLS) OVER w, 0) AS b4
-    FROM c WINDOW w AS (PARTITION BY file ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
-  o AS (SELECT *, [c1, c2 - b2, c3 - b3, c4 - b4] AS ords FROM b WHERE depth <= 4),
-  flat AS (SELECT file, line_no, depth, ords[depth] AS ordinal, array_to_string(ords[1:depth], '.') AS path, CASE WHEN depth > 1 THEN array_to_string(ords[1:depth - 1], '.') END AS parent_path, label, weight_pct, weight_min, weight_max FROM o)"""
+_FLAT = f"""{_LINES}, par AS (SELECT *, (SELECT max(b.line_no) FROM bul b WHERE b.file = a.file AND b.line_no < a.line_no AND b.depth < a.depth) AS parent FROM bul a),
+  num AS (SELECT *, row_number() OVER (PARTITION BY file, parent ORDER BY line_no) AS ordinal FROM par),
+  tree AS (SELECT file, line_no, ordinal::VARCHAR AS path, NULL::VARCHAR AS parent_path FROM num WHERE parent IS NULL
+    UNION ALL SELECT n.file, n.line_no, t.path || '.' || n.ordinal, t.path FROM num n JOIN tree t ON t.file = n.file AND t.line_no = n.parent),
+  flat AS (SELECT n.file, n.line_no, depth, ordinal, path, parent_path, label, weight_pct, weight_min, weight_max FROM num n JOIN tree t ON t.file = n.file AND t.line_no = n.line_no)"""
 
 
-@query("outline_nodes", f"WITH {_FLAT} SELECT * FROM flat")
+@query("outline_nodes", f"WITH RECURSIVE {_FLAT} SELECT * FROM flat")
 def outline_nodes(bank):
     return O.flatten(_classified(bank))
 
 
 @query(
     "outline_node_kinds",
-    f"""WITH {_FLAT}, lv AS (SELECT file, list_transform(string_split(value, ','), lambda x: trim(x)) AS levels FROM cls WHERE kind = 'header' AND key = 'levels')
+    f"""WITH RECURSIVE {_FLAT}, lv AS (SELECT file, list_transform(string_split(value, ','), lambda x: trim(x)) AS levels FROM cls WHERE kind = 'header' AND key = 'levels')
     SELECT f.file, path, levels[depth] AS kind FROM flat f LEFT JOIN lv ON lv.file = f.file""",
 )
 def outline_node_kinds(bank):
@@ -94,7 +96,7 @@ def outline_node_kinds(bank):
 
 @query(
     "outline_weight_sums",
-    f"""WITH {_FLAT}, r AS (SELECT file, arg_min(value, line_no) AS regime FROM cls WHERE kind = 'header' AND key = 'regime' GROUP BY 1),
+    f"""WITH RECURSIVE {_FLAT}, r AS (SELECT file, arg_min(value, line_no) AS regime FROM cls WHERE kind = 'header' AND key = 'regime' GROUP BY 1),
     t AS (SELECT file, sum(coalesce(weight_pct, 0)) AS e, sum(coalesce(weight_min, 0)) AS lo, sum(coalesce(weight_max, 0)) AS hi FROM flat WHERE depth = 1 GROUP BY 1)
     SELECT r.file, regime, CASE regime WHEN 'exact' THEN e WHEN 'range' THEN lo END AS weights_sum, CASE regime WHEN 'range' THEN hi END AS weights_sum_max, CASE regime WHEN 'exact' THEN abs(e - 100) < 1e-6 END AS weights_sum_to_100 FROM r JOIN t ON t.file = r.file""",
 )
@@ -132,6 +134,16 @@ def outline_problems(bank):
     return O.outline_problems(_classified(bank))
 
 
+@query(
+    "outline_refused",
+    f"""WITH {_LINES}, st AS (SELECT *, lag(depth) OVER (PARTITION BY file ORDER BY line_no) AS before FROM bul)
+    SELECT file, line_no, depth, label, unnest(list_filter([CASE WHEN spaces % 2 <> 0 THEN 'indent is not a multiple of 2' END, CASE WHEN depth > 4 THEN 'deeper than 4' END,
+      CASE WHEN depth > coalesce(before, 0) + 1 THEN 'no parent' END], lambda x: x IS NOT NULL)) AS problem FROM st""",
+)
+def outline_refused(bank):
+    return O.refused_lines(_classified(bank))
+
+
 @query(
     "outline_source_drift",
     f"""WITH {_LINES}, s AS (SELECT file, regexp_extract(value, '^(\\S+)', 1) AS path, regexp_extract(value, 'sha256=(\\S*)', 1) AS sha256 FROM cls WHERE kind = 'header' AND key = 'source')

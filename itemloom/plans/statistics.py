@@ -366,8 +366,10 @@ def domain_results(bank):
 
 @query(
     "guessing_calibration",
-    f"""WITH {_GRADED}, shapes AS (SELECT DISTINCT len(option_labels) AS o, wanted FROM graded), masks AS (SELECT o, wanted, unnest(range(0, (1 << o)::BIGINT)) AS mask FROM shapes)
-    SELECT o::INT AS options, wanted::INT AS wanted, count(*) AS responses, CASE WHEN count(*) > 1 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS expected_credit FROM masks WHERE bit_count(mask) = wanted GROUP BY 1, 2""",
+    f"""WITH {_GRADED}, shapes AS (SELECT len(option_labels) AS o, wanted, arg_min(option_labels, array_to_string(key, '')) AS labels, min(array_to_string(key, '')) AS key FROM graded GROUP BY 1, 2),
+    masks AS (SELECT *, unnest(range(0, (1 << o)::BIGINT)) AS mask FROM shapes), guesses AS (SELECT o, wanted, key, array_to_string(list_filter(labels, lambda x, i: (mask >> (i - 1)::BIGINT) & 1 = 1), '') AS chosen FROM masks WHERE bit_count(mask) = wanted),
+    credited AS (SELECT *, CASE WHEN chosen = key THEN 1.0::DOUBLE ELSE -1.0::DOUBLE / (count(*) OVER (PARTITION BY o, wanted) - 1) END AS credit FROM guesses)
+    SELECT o::INT AS options, wanted::INT AS wanted, count(*) AS responses, round(avg(credit), 9) + 0.0::DOUBLE AS expected_credit FROM credited GROUP BY 1, 2""",
 )
 def guessing_calibration(bank):
     return exams.guessing_calibration(exams.grade_items(bank.graded_item))

@@ -70,3 +70,22 @@ def test_attempts_are_graded_once(spark):
     done = spark.createDataFrame([(3,)], "attempt_id int")
     rows = exams.grade_attempts(attempt, items, graded=done).collect()
     assert [(r["attempt_id"], r["scaled_score"], r["passed"]) for r in rows] == [(1, 1000, True)]
+
+
+def test_responses_by_rank(spark):
+    rows = [("ABCDE", 2), ("ABC", 3), ("ABCD", 1), ("AB", 3)]
+    keys = spark.createDataFrame([(list(o), k) for o, k in rows], "option_labels array<string>, wanted int")
+    got = {}
+    for r in exams.guessing_space(keys).collect():
+        got.setdefault(("".join(r["option_labels"]), r["wanted"]), {})[r["rank"]] = tuple(r["selected_labels"])
+    assert got == {(o, k): dict(enumerate(combinations(o, k))) for o, k in rows if k <= len(o)}
+
+
+def test_forty_options(spark, monkeypatch):
+    monkeypatch.setattr(exams, "SPAN", 100)
+    labels = [f"o{i:02d}" for i in range(40)]
+    keys = spark.createDataFrame([(labels, [labels[3], labels[39]], 2), (labels, labels[:3], 3)], "option_labels array<string>, key array<string>, wanted int")
+    rows = exams.guessing_calibration(keys).collect()
+    assert {(r["wanted"], r["responses"], r["expected_credit"]) for r in rows} == {(2, comb(40, 2), 0.0), (3, comb(40, 3), 0.0)}
+    last = keys.limit(1).select(g.unrank(F.col("option_labels"), F.lit(20), F.lit(comb(40, 20) - 1)).alias("v")).first()["v"]
+    assert last == labels[20:]

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,6 +115,30 @@ def test_flatten_across_blocks(spark, monkeypatch):
     assert whole[:4] == ["1", "1.1", "1.1.1", "2"] and whole[-1] == "20.1.1"
 
 
+def outline_by_hand(depths):
+    """Ordinal paths from the definition: the parent is the nearest earlier shallower line."""
+    parents = [max((j for j in range(i) if depths[j] < d), default=None) for i, d in enumerate(depths)]
+    ordinals = [sum(parents[j] == p for j in range(i + 1)) for i, p in enumerate(parents)]
+    path = lambda i: (path(parents[i]) + "." if parents[i] is not None else "") + str(ordinals[i])
+    return [(path(i), path(p) if p is not None else None) for i, p in enumerate(parents)]
+
+
+def test_outlines_of_any_depth(spark, monkeypatch):
+    deal = random.Random(5)
+    files = {"deep": [1, 2, 3, 4, 5, 6, 2, 6, 9, 1, 40, 7, 3], "up": [9, 8, 7, 7, 3, 2, 1, 1]}
+    files |= {f"r{n}": [deal.randint(1, 7) for _ in range(60)] for n in range(3)}
+    rows = [(f, i + 1, "  " * (d - 1) + f"- n{i}") for f, ds in files.items() for i, d in enumerate(ds)]
+    lines = outlines.classify_lines(spark.createDataFrame(rows, "file string, line_no bigint, raw string"))
+    for block in (65536, 5, 1):
+        monkeypatch.setattr(outline, "BLOCK_LINES", block)
+        got = {f: [] for f in files}
+        for r in outline.flatten(lines).orderBy("file", "line_no").collect():
+            got[r["file"]].append((r["path"], r["parent_path"]))
+        assert got == {f: outline_by_hand(ds) for f, ds in files.items()}
+    refused = {(r["line_no"], r["problem"]) for r in outline.refused_lines(lines).where("file = 'deep'").collect()}
+    assert refused == {(n, "deeper than 4") for n in (5, 6, 8, 9, 11, 12)} | {(n, "no parent") for n in (8, 9, 11)}
+
+
 
 def test_blueprint_json(spark, tmp_path):
     folder = tmp_path / "blueprints" / "v"
