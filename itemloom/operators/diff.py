@@ -41,6 +41,58 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 
+def refused_keys(desired: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that forbid a plan, as rows: the side they repeat on and how often they occur there."""
+
+    def side(name: str, df: DataFrame) -> DataFrame:
+        return duplicate_keys(df, keys).withColumn("side", F.lit(name))
+
+    return side("desired", desired).unionByName(side("existing", existing))
+
+
+# Ranges of keys by hash: the number bounds every table of digests, and so what is broadcast.
+RANGES = 65536
+
+
+def _range(keys: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(RANGES)).cast("int")
+
+
+def range_digests(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(range, rows, total, mix): what the rows of a range add up to, whatever their order.
+
+    Rows are digested and summed before anything moves, so a range costs a row a task.
+    """
+    text = F.to_json(F.struct(*keys, *[c for c in columns if c not in keys]), {"ignoreNullFields": "false"})
+    part = lambda at: F.conv(F.substring("__digest", at, 15), 16, 10).cast("bigint")
+    return (
+        df.select(_range(keys).alias("__range"), F.sha2(text, 256).alias("__digest"))
+        .groupBy("__range")
+        .agg(F.count(F.lit(1)).alias("rows"), F.sum(part(1).cast("decimal(38,0)")).alias("total"), F.bit_xor(part(16)).alias("mix"))
+    )
+
+
+def differing_ranges(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Ranges whose digests differ, at most ``RANGES`` rows."""
+    a, b = (range_digests(df, keys, columns).select("__range", F.struct("rows", "total", "mix").alias(name)) for df, name in ((left, "a"), (right, "b")))
+    return a.join(b, "__range", "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select("__range")
+
+
+def under(df: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows whose key is in one of the ranges; they stay where they are."""
+    return df.withColumn("__of", _range(keys)).join(F.broadcast(ranges), F.col("__of") == F.col("__range"), "left_semi").drop("__of")
+
+
+def changed_rows(
+    desired: DataFrame, existing: DataFrame, keys: Sequence[str], ignore: Sequence[str] = UNATTRIBUTED
+) -> DataFrame:
+    """``plan_table`` without its unchanged rows: only ranges that differ are shuffled and compared."""
+    compared = [c for c in desired.columns if c not in ignore]
+    ranges = differing_ranges(desired, existing, keys, compared)
+    plan = plan_table(under(desired, ranges, keys), under(existing, ranges, keys), keys, ignore)
+    return plan.where(F.col("change") != "unchanged")
+
+
 def apply_plan(plan: DataFrame, run_id: Column | str) -> DataFrame:
     """The next version: everything not deleted, re-attributed to the run."""
     stamp = F.lit(run_id) if isinstance(run_id, str) else run_id
@@ -79,7 +131,12 @@ def missing_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def verify_fields(source: DataFrame, stored: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """One row per key that is missing or unexpected, and per field that differs."""
+    """One row per key that is missing or unexpected, and per field that differs.
+
+    Digests of key ranges are compared first; rows move under those that differ.
+    """
+    ranges = differing_ranges(source, stored, [key], fields)
+    source, stored = under(source, ranges, [key]), under(stored, ranges, [key])
     s = source.select(key, F.lit(True).alias("__s"), *[F.col(f).alias(f"__s_{f}") for f in fields])
     t = stored.select(key, F.lit(True).alias("__t"), *[F.col(f).alias(f"__t_{f}") for f in fields])
     both = F.col("__s").isNotNull() & F.col("__t").isNotNull()

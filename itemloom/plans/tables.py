@@ -8,6 +8,7 @@ from itemloom import schemas
 from itemloom.operators import diff, projection as P, quality as Q, scope as S, state
 from itemloom.plans import bindings as B
 from itemloom.plans.registry import query
+from itemloom.session import work_path
 from itemloom.sources import marks_blob, shards, sinks
 
 R = f"WITH {B.RECORD}"
@@ -300,6 +301,42 @@ def table_plan_applied(bank):
     return diff.apply_plan(_plan(bank), "r2").select("id", F.sha2("text", 256).alias("text_hash"), "source", "ingest_run_id")
 
 
+@query("table_changes", f"{_PLAN} SELECT id, sha256(text) AS text_hash, change FROM plan WHERE change <> 'unchanged'")
+def table_changes(bank):
+    old, new = _versions(bank)
+    return diff.changed_rows(new, old, ["id"]).select("id", F.sha2("text", 256).alias("text_hash"), "change")
+
+
+@query(
+    "plan_duplicate_keys",
+    """WITH l AS (SELECT l_orderkey AS id, l_linenumber % 4 AS part, l_quantity FROM lineitem)
+    SELECT 'desired' AS side, id, part, count(*) AS n FROM l GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT 'existing', id, part, count(*) FROM l WHERE l_quantity > 10 GROUP BY ALL HAVING count(*) > 1""",
+)
+def plan_duplicate_keys(bank):
+    rows = bank.table("lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_linenumber") % 4).alias("part"), "l_quantity")
+    return diff.refused_keys(rows, rows.where(F.col("l_quantity") > 10), ["id", "part"])
+
+
+@query(
+    "apply_unchanged",
+    f"""WITH {_OLD}, {_NEW} SELECT 'r1' AS run_id, TRUE AS published, (SELECT count(*) FROM old) AS rows, FALSE AS current UNION ALL SELECT 'r2', FALSE, NULL, FALSE
+    UNION ALL SELECT 'r3', TRUE, (SELECT count(*) FROM new), TRUE UNION ALL SELECT 'r4', FALSE, NULL, FALSE""",
+)
+def apply_unchanged(bank):
+    """The documents published, published again, changed, and once more: what each run wrote."""
+    base = work_path(bank.spark, "published")
+    old, new = _versions(bank)
+    for run, table in (("r1", old), ("r2", old), ("r3", new), ("r4", new)):
+        sinks.publish_changes(table, base, run, ["id"])
+    runs = bank.spark.createDataFrame([(f"r{i}",) for i in range(1, 5)], "run_id string")
+    done = sinks.versions(bank.spark, base)
+    newest = done.agg(F.max("seq").alias("newest"))
+    marked = done.join(newest, F.col("seq") == F.col("newest"), "left")
+    return runs.join(marked, "run_id", "left").select(
+        "run_id", F.col("seq").isNotNull().alias("published"), "rows", F.col("newest").isNotNull().alias("current")
+    )
+
+
 @query(
     "change_summary",
     f"""{_PLAN} SELECT 'document' AS table_name, count(*) FILTER (change = 'insert') AS inserted, count(*) FILTER (change = 'update') AS updated, count(*) FILTER (change = 'delete') AS deleted, count(*) FILTER (change = 'unchanged') AS unchanged FROM plan""",

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from itemloom.functions import text as tx
+from itemloom.operators import diff
 
 TYPE_PROMPTS = {"single_select": "Select ONE", "multi_select": "Select TWO or more"}
 
@@ -147,19 +152,55 @@ def write_records(records: DataFrame, path: str, order: str = "id", fmt: str = "
     )
 
 
+VERSION = "run_id STRING, seq BIGINT, rows BIGINT, path STRING"
+
+
+def versions(spark, base: str) -> DataFrame:
+    """A row for each complete version of a table; none before the first."""
+    try:
+        return spark.read.schema(VERSION).parquet(f"{base.rstrip('/')}_versions")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], VERSION)
+
+
 def publish_version(table: DataFrame, base: str, run_id: str) -> str:
-    """Write a version beside the old ones, then move the pointer: readers never see half."""
-    target = f"{base.rstrip('/')}/run_id={run_id}"
-    table.write.mode("overwrite").parquet(target)
-    pointer = table.sparkSession.createDataFrame([(run_id,)], "run_id string")
-    pointer.coalesce(1).write.mode("overwrite").json(f"{base.rstrip('/')}_current")
+    """Write a version beside the old ones, then its completion record: readers never see half.
+
+    Nothing is overwritten: every attempt has a folder of its own, and what a failed one
+    left has no record.  A run that is already complete is refused.
+    """
+    spark, base = table.sparkSession, base.rstrip("/")
+    done = versions(spark, base)
+    if not done.where(F.col("run_id") == run_id).isEmpty():
+        raise ValueError(f"run {run_id} is published")
+    target = f"{base}/run_id={run_id}/{uuid.uuid4().hex}"
+    table.write.parquet(target)
+    seq = (done.agg(F.max("seq")).first()[0] or 0) + 1
+    record = spark.createDataFrame([(run_id, seq, spark.read.parquet(target).count(), target)], VERSION)
+    record.coalesce(1).write.mode("append").parquet(f"{base}_versions")
     return target
 
 
-def read_current(spark, base: str) -> DataFrame:
-    """The published version of a table."""
-    run = spark.read.schema("run_id string").json(f"{base.rstrip('/')}_current").first()["run_id"]
-    return spark.read.parquet(f"{base.rstrip('/')}/run_id={run}")
+def read_current(spark, base: str) -> DataFrame | None:
+    """The newest complete version of a table; None before the first."""
+    newest = versions(spark, base).agg(F.max_by("path", F.struct("seq", "run_id"))).first()[0]
+    return None if newest is None else spark.read.parquet(newest)
+
+
+def publish_changes(desired: DataFrame, base: str, run_id: str, keys: Sequence[str]) -> str | None:
+    """Make ``desired`` the current version, or write nothing where it already is; None then.
+
+    Repeated keys are refused (``diff.duplicate_keys`` lists them).
+    """
+    if not diff.duplicate_keys(desired, keys).isEmpty():
+        raise ValueError(f"keys {', '.join(keys)} repeat")
+    current = read_current(desired.sparkSession, base)
+    if current is not None and diff.changed_rows(desired, current, keys).isEmpty():
+        return None
+    stamp = F.lit(run_id)
+    return publish_version(desired.withColumn("ingest_run_id", stamp), base, run_id)
 
 
 def manifest_totals(records: DataFrame) -> DataFrame:

@@ -90,3 +90,21 @@ def test_stream_equals_batch_over_many_micro_batches(spark, tmp_path):
     again().awaitTermination()
     assert {r["question_id"]: r["value"] for r in journal.read_state(spark, str(tmp_path / "state")).collect()} == got | {0: "flagged"}
     assert journal.read_state(spark, str(tmp_path / "nothing")).isEmpty()
+
+
+def test_ranges_of_keys_leave_equal_rows_in_place(spark):
+    old = spark.range(20000).select("id", F.concat(F.lit("t"), "id").alias("t"), F.when(F.col("id") % 3 == 0, 1.5).alias("w"))
+    new = old.where("id <> 5").withColumn("w", F.when(F.col("id") == 9, 2.5).otherwise(F.col("w"))).unionByName(
+        spark.createDataFrame([(-1, None, None)], "id bigint, t string, w double")
+    )
+    ranges = diff.differing_ranges(new, old, ["id"], ["t", "w"])
+    assert ranges.count() <= 3 and diff.under(old, ranges, ["id"]).count() <= 12
+    changed = diff.changed_rows(new, old, ["id"])
+    assert {(r["id"], r["change"]) for r in changed.collect()} == {(5, "delete"), (9, "update"), (-1, "insert")}
+    found = diff.verify_fields(old, new, "id", ["t", "w"])
+    assert {(r["id"], r["problem"]) for r in found.collect()} == {(5, "missing"), (9, "w"), (-1, "unexpected")}
+    # A repeated row is a difference, equal tables in another order are none.
+    assert diff.differing_ranges(old, old.repartition(5, "t"), ["id"], ["t", "w"]).isEmpty()
+    twice = old.unionByName(old.where("id = 4"))
+    assert diff.differing_ranges(old, twice, ["id"], ["t", "w"]).count() == 1
+    assert [tuple(r) for r in diff.refused_keys(twice, old, ["id"]).collect()] == [(4, 2, "desired")]

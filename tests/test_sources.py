@@ -70,6 +70,33 @@ def test_sinks(spark, kb, tmp_path):
     sinks.publish_version(rows, base, "r1")
     sinks.publish_version(rows.limit(1), base, "r2")
     assert sinks.read_current(spark, base).count() == 1
+    with pytest.raises(ValueError, match="r2 is published"):
+        sinks.publish_version(rows, base, "r2")
+
+
+def test_publishing_writes_only_changes(spark, tmp_path):
+    base = str(tmp_path / "docs")
+    assert sinks.read_current(spark, base) is None
+    first = spark.createDataFrame([(i, f"t{i}", None) for i in range(50)], "id bigint, text string, note string")
+    assert sinks.publish_changes(first, base, "r1", ["id"])
+    reader = sinks.read_current(spark, base)  # opened before the next publish
+    assert sinks.publish_changes(first.repartition(3), base, "r2", ["id"]) is None
+    second = first.where("id > 0").withColumn("note", F.when(F.col("id") == 7, "new"))
+    # What an attempt that broke off has left is no version.
+    second.limit(2).write.parquet(f"{base}/run_id=r3/broken")
+    assert reader.count() == 50 and sinks.read_current(spark, base).count() == 50
+    assert sinks.publish_changes(second, base, "r3", ["id"])
+    assert reader.count() == 50 and reader.where("note is not null").isEmpty()
+    now = sinks.read_current(spark, base)
+    assert now.count() == 49 and {r["ingest_run_id"] for r in now.collect()} == {"r3"}
+    assert [(r["run_id"], r["rows"]) for r in sinks.versions(spark, base).orderBy("seq").collect()] == [("r1", 50), ("r3", 49)]
+    with pytest.raises(ValueError, match="repeat"):
+        sinks.publish_changes(second.union(second), base, "r4", ["id"])
+
+
+def test_tidy():
+    assert pages.tidy(" a \t\xa0b  \n \n\t\n\n c\n d \n\n") == "a b\n\nc\nd"
+    assert pages.tidy("\n \n") == "" and pages.tidy("x") == "x"
 
 
 OUTLINE = """# comment
