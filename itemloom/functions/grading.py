@@ -102,6 +102,11 @@ def scaled_score(
     return F.bround(low + clamped * (high - low), 0).cast("int")
 
 
+def cut_proportion(scale_min: Column, scale_max: Column, cut_score: Column) -> Column:
+    """The share of items the cut stands for on the linear scale; 0 on a scale of no width."""
+    return F.coalesce(F.try_divide((cut_score - scale_min).cast("double"), scale_max - scale_min), F.lit(0.0))
+
+
 def remaining_seconds(limit: Column, started: Column, now: Column) -> Column:
     elapsed = (F.unix_micros(now) - F.unix_micros(started)) / F.lit(1e6)
     return F.greatest(F.lit(0).cast("bigint"), F.ceil(limit - elapsed).cast("bigint"))

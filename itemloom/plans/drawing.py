@@ -253,18 +253,27 @@ def draw_uniform(bank):
     "draw_report",
     f"""{_DRAW}, u AS (SELECT request_id, count(*) AS drawn, count(*) FILTER (fresh) AS fresh_used, count(*) FILTER (NOT fresh) AS stale_used, count(*) FILTER (flagged) AS flagged FROM drawn GROUP BY 1),
     z AS (SELECT certification_id, count(*) AS pool_size, count(*) FILTER (verification = 'known_bad') AS known_bad FROM pool GROUP BY 1), o AS (SELECT certification_id, count(*) AS eligible FROM eligible GROUP BY 1)
-    SELECT r.request_id, seats_wanted AS requested, coalesce(pool_size, 0) AS pool_size, coalesce(eligible, 0) AS eligible, coalesce(known_bad, 0) AS known_bad, coalesce(drawn, 0) AS drawn, coalesce(fresh_used, 0) AS fresh_used,
+    SELECT r.request_id, r.seed, seats_wanted AS requested, CASE WHEN EXISTS (SELECT 1 FROM weights w WHERE w.certification_id = r.certification_id) THEN 'weights' ELSE 'uniform' END AS weight_source, 30::INT AS recent_window_days, coalesce(pool_size, 0) AS pool_size, coalesce(eligible, 0) AS eligible, coalesce(known_bad, 0) AS known_bad, coalesce(drawn, 0) AS drawn, coalesce(fresh_used, 0) AS fresh_used,
       coalesce(stale_used, 0) AS stale_used, coalesce(flagged, 0) AS flagged, greatest(0, seats_wanted - coalesce(drawn, 0)) AS shortfall
     FROM request r LEFT JOIN z ON z.certification_id = r.certification_id LEFT JOIN o ON o.certification_id = r.certification_id LEFT JOIN u ON u.request_id = r.request_id""",
 )
 def draw_report(bank):
-    return D.draw_report(requests(bank), _draw(bank)[0], pool(bank), excluded(bank))
+    return D.draw_report(requests(bank), _draw(bank)[0], pool(bank), excluded(bank), _weights(bank))
+
+
+@query(
+    "draw_ids",
+    f"""{_DRAW} SELECT 'flagged' AS list, r.certification_id, d.request_id, d.id FROM drawn d JOIN request r ON r.request_id = d.request_id WHERE flagged
+    UNION ALL SELECT 'known_bad', certification_id, NULL, id FROM pool WHERE verification = 'known_bad'""",
+)
+def draw_ids(bank):
+    return D.draw_ids(_draw(bank)[0], pool(bank))
 
 
 @query(
     "draw_share_report",
     f"""{_DRAW}, got AS (SELECT request_id, slice, count(*) AS drawn FROM drawn GROUP BY 1, 2)
-    SELECT t.request_id, t.slice AS domain_id, t.weight, t.target, coalesce(drawn, 0) AS drawn, t.available, greatest(0, t.target - coalesce(drawn, 0)) AS short FROM targets t LEFT JOIN got ON got.request_id = t.request_id AND got.slice = t.slice""",
+    SELECT t.request_id, t.slice AS domain_id, t.weight, t.target, coalesce(drawn, 0) AS drawn, t.available, greatest(0, t.target - coalesce(drawn, 0)) AS short, coalesce(drawn, 0) < t.target AS under_covered FROM targets t LEFT JOIN got ON got.request_id = t.request_id AND got.slice = t.slice""",
 )
 def draw_share_report(bank):
     drawn, share = _draw(bank)

@@ -353,6 +353,19 @@ def graded_attempts_with_profiles(bank):
     return exams.grade_attempts(bank.attempt, bank.graded_item, scale, done).withColumn("credit_total", F.round("credit_total", 6))
 
 
+@query(
+    "cut_proportions",
+    """WITH s AS (SELECT o_custkey AS id, 100 AS lo, (100 + 150 * (count(*) % 4))::INT AS hi, (max(o_orderkey) % 100)::INT + 100 AS cut FROM orders GROUP BY 1)
+    SELECT id, CASE WHEN hi = lo THEN 0.0::DOUBLE ELSE round((cut - lo)::DOUBLE / (hi - lo), 9) END AS cut_proportion FROM s""",
+)
+def cut_proportions(bank):
+    n = F.count(F.lit(1))
+    scales = bank.table("orders").groupBy(F.col("o_custkey").alias("id")).agg(
+        F.lit(100).alias("lo"), (n % 4 * 150 + 100).cast("int").alias("hi"), (F.max("o_orderkey") % 100 + 100).cast("int").alias("cut")
+    )
+    return scales.select("id", F.round(g.cut_proportion(F.col("lo"), F.col("hi"), F.col("cut")), 9).alias("cut_proportion"))
+
+
 @query(
     "domain_results",
     f"""WITH {B.GRADED_ITEM}, d AS (SELECT attempt_id, coalesce(CASE WHEN qty > 45 THEN NULL ELSE p_brand END, 'unspecified') AS label, count(*) AS asked, count(*) FILTER (is_correct) AS correct FROM graded_item GROUP BY 1, 2)

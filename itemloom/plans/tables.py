@@ -469,6 +469,78 @@ def shard_index_rows(bank):
     return shards.index_rows(bank.table("documents"), "source", F.col("lang"))
 
 
+SINK_GLOB = "questions/cert=*/*.json"
+
+
+def _shards(bank) -> str:
+    """The records as canonical shards, a folder a certification."""
+    kb = work_path(bank.spark, "shards")
+    sinks.write_records(bank.record.drop("order_key"), f"{kb}/questions")
+    return kb
+
+
+@query("shard_discovery", "SELECT DISTINCT lang AS certification_id, 1::INT AS rank, TRUE AS filled, 0::BIGINT AS unread FROM documents")
+def shard_discovery(bank):
+    """Per certification: its shard files are found, hold bytes, and the scan reads each of them."""
+    kb = _shards(bank)
+    found = shards.discover_shards(bank.spark, kb, SINK_GLOB)
+    read = shards.scan_questions(bank.spark, kb, glob=SINK_GLOB).select(F.col("shard_path").alias("path")).distinct()
+    marked = found.join(read.withColumn("read", F.lit(True)), "path", "left")
+    return marked.groupBy(F.regexp_extract("path", "cert=([^/]*)", 1).alias("certification_id"), "rank").agg(
+        (F.min("length") > 0).alias("filled"), F.count_if(F.col("read").isNull()).alias("unread")
+    )
+
+
+@query(
+    "shard_scan",
+    f"""{R} SELECT r.id, cert AS certification_id, exam_slug, domain, sha256(prompt_md) AS prompt_hash, sha256(overall_explanation_md) AS explanation_hash, len(texts)::INT AS options,
+      coalesce(array_to_string(correct_labels, ','), '') AS key, array_to_string(refs, '|') AS refs FROM record r LEFT JOIN key_of k ON k.oid = r.id""",
+)
+def shard_scan(bank):
+    """The records written as shards and scanned again."""
+    rows = shards.scan_questions(bank.spark, _shards(bank), glob=SINK_GLOB)
+    return rows.select(
+        "id",
+        F.col("certification.slug").alias("certification_id"),
+        F.col("exam.slug").alias("exam_slug"),
+        "domain",
+        F.sha2("prompt_md", 256).alias("prompt_hash"),
+        F.sha2("overall_explanation_md", 256).alias("explanation_hash"),
+        F.size("options").alias("options"),
+        F.array_join("correct_labels", ",").alias("key"),
+        F.array_join("references", "|").alias("refs"),
+    )
+
+
+@query(
+    "blueprint_scan",
+    """SELECT 'v/' || s_name || '/1#' || p AS id, 'v/' || s_name || '/1' AS blueprint_id, CASE WHEN p <> '1' THEN 'v/' || s_name || '/1#1' END AS parent_id, p AS path, len(string_split(p, '.'))::INT AS depth,
+      CASE p WHEN '1' THEN 'nation ' || s_nationkey ELSE 'part ' || p END AS label, CASE p WHEN '1' THEN 100.0::DOUBLE END AS weight_pct FROM supplier, (VALUES ('1'), ('1.1'), ('1.2')) n(p)""",
+)
+def blueprint_scan(bank):
+    """A blueprint file a supplier, written, scanned and flattened to its nodes."""
+    kb = work_path(bank.spark, "blueprints")
+
+    def node(path, label, weight=None):
+        depth = path.count(".") + 1
+        return F.struct(
+            F.lit(path).alias("path"), F.lit(depth).alias("depth"), F.lit(int(path[-1])).alias("ordinal"), label.alias("label"), F.lit(weight).cast("double").alias("weight_pct")
+        )
+
+    nodes = F.array(node("1", F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")), 100.0), *[node(p, F.lit(f"part {p}")) for p in ("1.1", "1.2")])
+    files = bank.table("supplier").select(
+        F.concat(F.lit("v/"), "s_name", F.lit("/1")).alias("id"), F.col("s_name").alias("certification"), F.lit("v").alias("vendor"), F.lit("exact").alias("weight_regime"), nodes.alias("nodes")
+    )
+    files.write.option("maxRecordsPerFile", 1).json(f"{kb}/blueprints")
+    return P.blueprint_node_rows(shards.scan_blueprints(bank.spark, kb)).select("id", "blueprint_id", "parent_id", "path", "depth", "label", "weight_pct")
+
+
+@query("current_ingest_run", "SELECT 'r' || r_regionkey AS id, r_name FROM region WHERE r_regionkey = 2 AND EXISTS (SELECT 1 FROM documents WHERE doc_id % 10 <> 0)")
+def current_ingest_run(bank):
+    runs = bank.table("region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), "r_name")
+    return diff.current_run(diff.apply_plan(_plan(bank), "r2"), runs)
+
+
 @query("shard_index_refusals", "SELECT source AS path, 'mixed' AS provider, count(*) AS line_count FROM documents GROUP BY source HAVING min(lang) <> max(lang)")
 def shard_index_refusals(bank):
     return shards.mixed_shards(shard_index_rows(bank))

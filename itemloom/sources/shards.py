@@ -25,20 +25,20 @@ def _relative(path: Column, kb: str) -> Column:
     return F.substring_index(plain, root, -1)
 
 
-def discover_shards(spark: SparkSession, kb: str) -> DataFrame:
+def discover_shards(spark: SparkSession, kb: str, glob: str = SHARD_GLOB) -> DataFrame:
     """Shard files on disk: ``questions.jsonl`` first, then ``questions/*.jsonl`` by name.
 
     File listing only; the content column is pruned, so no bytes are read.
     """
-    files = spark.read.format("binaryFile").load(f"{kb}/{SHARD_GLOB}")
+    files = spark.read.format("binaryFile").load(f"{kb}/{glob}")
     rel = _relative(F.col("_metadata.file_path"), kb)
     return files.select(rel.alias("path"), F.col("length"), (rel != "questions.jsonl").cast("int").alias("rank"))
 
 
-def scan_questions(spark: SparkSession, kb: str, provider: str | None = None) -> DataFrame:
+def scan_questions(spark: SparkSession, kb: str, provider: str | None = None, glob: str = SHARD_GLOB) -> DataFrame:
     """One explicit-schema scan over every shard, with a corpus order key."""
     raw = (
-        spark.read.schema(schemas.QUESTION).option("mode", "FAILFAST").json(f"{kb}/{SHARD_GLOB}")
+        spark.read.schema(schemas.QUESTION).option("mode", "FAILFAST").json(f"{kb}/{glob}")
     )
     path = _relative(F.col("_metadata.file_path"), kb)
     rows = raw.select(

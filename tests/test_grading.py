@@ -89,3 +89,8 @@ def test_forty_options(spark, monkeypatch):
     assert {(r["wanted"], r["responses"], r["expected_credit"]) for r in rows} == {(2, comb(40, 2), 0.0), (3, comb(40, 3), 0.0)}
     last = keys.limit(1).select(g.unrank(F.col("option_labels"), F.lit(20), F.lit(comb(40, 20) - 1)).alias("v")).first()["v"]
     assert last == labels[20:]
+
+
+def test_cut_proportion(one):
+    cut = lambda lo, hi, at: one(g.cut_proportion(F.lit(lo), F.lit(hi), F.lit(at)))
+    assert cut(100, 1000, 720) == pytest.approx(31 / 45) and cut(0, 0, 5) == 0.0
