@@ -265,10 +265,11 @@ def domain_tokens(
     return kept.groupBy("domain", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
-def distinctive_terms(counts: DataFrame, limit: int = 12, min_count: int = 3) -> DataFrame:
+def distinctive_terms(counts: DataFrame, limit: int = 12, min_count: int = 3, domains: DataFrame | None = None) -> DataFrame:
     """tf-idf fingerprint per domain: n * ln(D / df), plurals folded when the singular occurs.
 
-    The fold is a single step: ``xss`` becomes ``xs`` at most.
+    D counts ``domains`` (a column ``domain``), those without a term included; where none are
+    given, the domains of the counts.  The fold is a single step: ``xss`` becomes ``xs`` at most.
     """
     counts = cut_lineage(counts)  # read by the vocabulary, the fold and the domain count
     vocabulary = counts.select(F.col("term").alias("singular")).distinct()
@@ -279,7 +280,7 @@ def distinctive_terms(counts: DataFrame, limit: int = 12, min_count: int = 3) ->
         .groupBy("domain", F.coalesce("singular", "term").alias("term"))
         .agg(F.sum("n").alias("n"))
     )
-    total = counts.agg(F.countDistinct("domain")).scalar()
+    total = (counts if domains is None else domains).agg(F.countDistinct("domain")).scalar()
     spread = folded.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("term")))
     scored = spread.where((F.col("n") >= min_count) & (F.col("df") < total)).withColumn(
         "score", F.col("n") * F.log(total / F.col("df"))

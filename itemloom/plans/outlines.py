@@ -203,15 +203,16 @@ def normalised_text(bank):
     return bank.table("documents").select("doc_id", F.sha2(tx.norm(F.col("text")), 256).alias("digest"))
 
 
+# Whole texts, but for the characters that are markup themselves.
 @query(
     "stripped_markdown",
-    """WITH t AS (SELECT doc_id, trim(regexp_replace(text, '[^a-zA-Z]+', ' ', 'g')) AS x FROM documents)
-    SELECT doc_id, trim(regexp_replace(x || ' ' || x || ' a*b', '\\s+', ' ', 'g')) AS plain FROM t""",
+    """WITH t AS (SELECT doc_id, translate(text, '*[]()`\\', '') AS x FROM documents)
+    SELECT doc_id, sha256(trim(regexp_replace(replace(x || ' ' || x || ' ' || x || ' a*b[' || doc_id || '](https://n) c_d *e', chr(160), ' '), '\\s+', ' ', 'g'))) AS digest FROM t""",
 )
 def stripped_markdown(bank):
-    x = F.trim(F.regexp_replace("text", "[^a-zA-Z]+", " "))
-    md = F.concat(F.lit("**"), x, F.lit("** ["), x, F.lit("](https://e.org/"), F.col("doc_id").cast("string"), F.lit(") a\\*b"))
-    return bank.table("documents").select("doc_id", tx.strip_markdown(md).alias("plain"))
+    x, n = F.translate("text", "*[]()`\\", ""), F.col("doc_id").cast("string")
+    md = F.concat(F.lit("**"), x, F.lit("** ["), x, F.lit("](https://e.org/"), n, F.lit(") *"), x, F.lit("* `a*b["), n, F.lit("](https://n)` c\\_d \\*e"))
+    return bank.table("documents").select("doc_id", F.sha2(tx.strip_markdown(md), 256).alias("digest"))
 
 
 _MARKED = "replace(text, '. ', CASE doc_id % 7 " + " ".join(

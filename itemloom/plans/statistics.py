@@ -215,12 +215,13 @@ def domain_term_counts(bank):
     "distinctive_terms",
     f"""WITH {_TOKENS}, v AS (SELECT DISTINCT term FROM counts),
     folded AS (SELECT domain, coalesce(v.term, c.term) AS term, sum(n)::BIGINT AS n FROM counts c LEFT JOIN v ON c.term LIKE '%s' AND v.term = left(c.term, length(c.term) - 1) GROUP BY 1, 2),
-    spread AS (SELECT *, count(*) OVER (PARTITION BY term) AS df, (SELECT count(DISTINCT domain) FROM counts) AS d FROM folded),
+    spread AS (SELECT *, count(*) OVER (PARTITION BY term) AS df, (SELECT count(DISTINCT lang || ' / ' || source) FROM documents) AS d FROM folded),
     scored AS (SELECT *, n * ln(d / df) AS s FROM spread WHERE n >= 3 AND df < d)
     SELECT domain, row_number() OVER (PARTITION BY domain ORDER BY s DESC, term)::INT AS rank, term, round(s, 3) AS score, n AS "count" FROM scored QUALIFY rank <= 12""",
 )
 def distinctive_terms(bank):
-    return stats.distinctive_terms(_term_counts(bank))
+    domains = bank.table("documents").select(F.concat(F.col("lang"), F.lit(" / "), F.col("source")).alias("domain"))
+    return stats.distinctive_terms(_term_counts(bank), domains=domains)
 
 
 @query(

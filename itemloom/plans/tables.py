@@ -598,11 +598,17 @@ def corpus_fingerprint(bank):
     return _fingerprint(bank)
 
 
-@query("projection_state", f"WITH {_FINGERPRINT} SELECT v.stored, CASE WHEN v.stored IS NULL THEN 'not-ingested' WHEN v.stored <> fingerprint THEN 'stale' ELSE 'ready' END AS state FROM fp, (SELECT DISTINCT CASE WHEN r_name = 'ASIA' THEN NULL ELSE r_name END AS stored FROM region) v")
+@query(
+    "projection_state",
+    f"""WITH {_FINGERPRINT}, v AS (SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN fingerprint WHEN 1 THEN s_name END AS stored, CASE WHEN s_suppkey % 5 <> 3 THEN fingerprint END AS found FROM supplier, fp)
+    SELECT id, CASE WHEN found IS NULL THEN 'no-corpus' WHEN stored IS NULL THEN 'not-ingested' WHEN stored <> found THEN 'stale' ELSE 'ready' END AS state FROM v""",
+)
 def projection_state(bank):
-    now = _fingerprint(bank).scalar()
-    stored = bank.table("region").select(F.when(F.col("r_name") != "ASIA", F.col("r_name")).alias("stored"))
-    return stored.select("stored", diff.projection_state(F.col("stored"), now).alias("state"))
+    """A projection a supplier: a quarter hold the corpus's digest, some see no corpus."""
+    now, key = _fingerprint(bank).scalar(), F.col("s_suppkey")
+    stored = F.when(key % 4 == 0, now).when(key % 4 == 1, F.col("s_name"))
+    found = F.when(key % 5 != 3, now)
+    return bank.table("supplier").select(key.alias("id"), diff.projection_state(stored, found).alias("state"))
 
 
 @query(
