@@ -52,10 +52,18 @@ def read(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def merge(
-    fresh: DataFrame, batch: int, path: str, schema, keys: Sequence[str], fold: Callable[[DataFrame], DataFrame], buckets: int = BUCKETS
+    fresh: DataFrame,
+    batch: int,
+    path: str,
+    schema,
+    keys: Sequence[str],
+    fold: Callable[[DataFrame], DataFrame],
+    buckets: int = BUCKETS,
+    first: Callable[[DataFrame], DataFrame] | None = None,
 ) -> None:
-    """Fold a batch's rows into the stored ones; ``fold`` maps rows of ``schema`` to one a key.
+    """Fold a batch's rows into the stored ones; ``fold`` maps rows of ``schema`` to a key's new ones.
 
+    ``first`` combines the batch's rows on their own, where that is not ``fold`` too.
     Only the buckets of the batch's keys are read and written.  A batch without rows
     commits the buckets as they are.
     """
@@ -63,16 +71,19 @@ def merge(
     bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
     # Written once: a batch of a stateful stream is not computed a second time.
     given = f"{path}/fresh/batch={batch}"
-    fold(fresh).withColumn("bucket", bucket).write.mode("overwrite").parquet(given)
+    (first or fold)(fresh).withColumn("bucket", bucket).write.mode("overwrite").parquet(given)
     rows = spark.read.parquet(given)
     touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]
     earlier = {n: held for n, held in _commits(spark, path).items() if n < batch}
     held = earlier[max(earlier)] if earlier else {}
+    written = []
     if touched:
         stored = _read(spark, path, schema, {b: held[b] for b in touched if b in held})
         merged = fold(stored.unionByName(rows.drop("bucket"))).withColumn("bucket", bucket)
         merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch}")
-    now = {**held, **dict.fromkeys(touched, batch)}
+        # A bucket that is left without rows has no folder.
+        written = [r["bucket"] for r in spark.read.schema("bucket INT").parquet(f"{path}/batch={batch}").distinct().collect()]
+    now = {b: v for b, v in held.items() if b not in touched} | dict.fromkeys(written, batch)
     commit = spark.createDataFrame(list(now.items()), "bucket INT, version BIGINT")
     commit.coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/batch={batch}")
     _prune(spark, path, {**earlier, batch: now})

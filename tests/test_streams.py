@@ -96,3 +96,21 @@ def test_a_batch_writes_the_buckets_it_touches(spark, tmp_path):
     assert {p.name for p in Path(path, "commits").glob("batch=*")} == {"batch=3", "batch=4"}
     buckets.merge(rows(), 5, path, schema, ["k"], latest, buckets=8)
     assert buckets.read(spark, path, schema).count() == 200
+
+
+def test_a_bucket_left_without_rows_is_read_as_empty(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "k bigint, v bigint"
+    rows = lambda *pairs: spark.createDataFrame(list(pairs), schema)
+    kept = lambda given: latest(given).where("v >= 0")
+    for n, pairs in enumerate([[(1, 5), (2, -1)], [(1, -3), (3, 4)], [(2, -2)], [(2, 6)]]):
+        buckets.merge(rows(*pairs), n, path, schema, ["k"], kept, buckets=64, first=latest)
+    assert dict(map(tuple, buckets.read(spark, path, schema).collect())) == {1: 5, 2: 6, 3: 4}
+
+
+def test_the_answer_log_runs_no_python_per_key(spark, tmp_path, attempts):
+    put(spark, log_rows(50), tmp_path / "in")
+    events = journal.read_events(spark, str(tmp_path / "in"), spark.createDataFrame([], EVENT).schema)
+    query = answers.maintain_answer_log(events, attempts, str(tmp_path / "log"), str(tmp_path / "ckpt"), "30 days")
+    query.awaitTermination()
+    assert not query.lastProgress["stateOperators"]
+    assert answers.item_state(spark, str(tmp_path / "log")).count() > 0
