@@ -531,7 +531,9 @@ def blueprint_scan(bank):
     files = bank.table("supplier").select(
         F.concat(F.lit("v/"), "s_name", F.lit("/1")).alias("id"), F.col("s_name").alias("certification"), F.lit("v").alias("vendor"), F.lit("exact").alias("weight_regime"), nodes.alias("nodes")
     )
-    files.write.option("maxRecordsPerFile", 1).json(f"{kb}/blueprints")
+    # Dealt out: the suppliers of one file would be written by one task.  Each task puts its own files in place.
+    dealt = files.repartition(4 * bank.spark.sparkContext.defaultParallelism, "id")
+    dealt.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).json(f"{kb}/blueprints")
     return P.blueprint_node_rows(shards.scan_blueprints(bank.spark, kb)).select("id", "blueprint_id", "parent_id", "path", "depth", "label", "weight_pct")
 
 
