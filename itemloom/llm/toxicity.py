@@ -31,6 +31,8 @@ THRESHOLD = 0.3
 #: Fewest sample texts that hold a feature of the fit, additive smoothing of their counts,
 #: weight of the squared norm, step size and number of steps.
 LEAST_TEXTS, SMOOTHING, RIDGE, RATE, STEPS = 5, 0.1, 1e-3, 0.02, 60
+#: Texts whose features are worked on at once.
+BLOCK = 128
 
 SCORED = "doc_id bigint, held_out boolean, score double, predicted int"
 
@@ -59,38 +61,51 @@ def buckets(text: str) -> np.ndarray:
 
 def fit(texts: Iterable[str], labels: Iterable[int]) -> tuple[np.ndarray, float]:
     """Weights of the buckets, with the ratios multiplied in, and the intercept."""
-    rows = [buckets(t) for t in texts]
-    y = np.asarray(list(labels), np.float64)
+    return fit_rows([buckets(t) for t in texts], np.asarray(list(labels), np.float64))
+
+
+def fit_rows(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float]:
+    """``fit`` over the texts' buckets, which it takes out of the list: beside them it holds a block's arrays."""
     prior = (y.sum() + 0.5) / (len(y) + 1)
     intercept = float(np.log(prior / (1 - prior)))
     weights = np.zeros(BUCKETS, np.float32)
     if not len(y) or y.min() == y.max():
         return weights, intercept
-    held = np.bincount(np.concatenate(rows), minlength=BUCKETS)
+    held, of_toxic = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.float64)
+    for row, label in zip(rows, y):  # a row's buckets are distinct
+        held[row] += 1
+        of_toxic[row] += label
     kept = np.flatnonzero(held >= LEAST_TEXTS)
     place = np.full(BUCKETS, -1, np.int32)
     place[kept] = np.arange(len(kept), dtype=np.int32)
-    rows = [p[p >= 0] for p in (place[r] for r in rows)]
-    sizes = np.array([len(r) for r in rows])
-    features = np.concatenate(rows)
-    rows.clear()
-    if not len(features):
+    blocks, sizes = [], []
+    while rows:
+        some = [p[p >= 0] for p in (place[r] for r in rows[:BLOCK])]
+        del rows[:BLOCK]
+        blocks.append(np.concatenate(some))
+        sizes.append(np.array([len(p) for p in some]))
+    if not sum(map(len, blocks)):
         return weights, intercept
-    begins = np.minimum(np.cumsum(sizes) - sizes, len(features) - 1)
-    labels_of = np.repeat(y.astype(np.float32), sizes)
-    toxic = np.bincount(features, labels_of, len(kept))
+    toxic = of_toxic[kept]
     other = held[kept] - toxic
     # Smoothing in proportion to the classes leaves a feature that tells nothing at a ratio of nought.
     ratio = np.log((toxic / y.mean() + SMOOTHING) / (other / (1 - y.mean()) + SMOOTHING))
-    scaled = ratio[features].astype(np.float32)
-    del labels_of
+    scale = ratio.astype(np.float32)
     # Adam on the mean log loss with a ridge; the whole sample in each step.
     w = np.zeros(len(kept), np.float32)
     first, second, b, b_first, b_second = np.zeros_like(w), np.zeros_like(w), intercept, 0.0, 0.0
     for step in range(1, STEPS + 1):
-        margins = np.where(sizes > 0, np.add.reduceat(w[features] * scaled, begins), 0.0) + b
-        error = (1 / (1 + np.exp(-np.clip(margins, -40, 40))) - y).astype(np.float32)
-        grad = np.bincount(features, np.repeat(error, sizes) * scaled, len(kept)) / len(y) + RIDGE * w
+        scaled, grad, errors = w * scale, np.zeros(len(kept)), []
+        for features, size, block in zip(blocks, sizes, np.split(y, range(BLOCK, len(y), BLOCK))):
+            margins = np.full(len(size), b)
+            if len(features):
+                begins = np.minimum(np.cumsum(size) - size, len(features) - 1)
+                margins += np.where(size > 0, np.add.reduceat(scaled[features], begins), 0.0)
+            error = (1 / (1 + np.exp(-np.clip(margins, -40, 40))) - block).astype(np.float32)
+            grad += np.bincount(features, np.repeat(error, size) * scale[features], len(kept))
+            errors.append(error)
+        error = np.concatenate(errors)
+        grad = grad / len(y) + RIDGE * w
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad * grad
         b_first, b_second = 0.9 * b_first + 0.1 * error.mean(), 0.999 * b_second + 0.001 * error.mean() ** 2
         rate = RATE * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
@@ -126,9 +141,12 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tupl
     """Fit in one task over the bounded sample; the driver gets the non-zero weights."""
 
     def task(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = list(batches)
-        rows = pd.concat(frames).sort_values("doc_id") if frames else pd.DataFrame({"text": [], "toxic": []})
-        weights, intercept = fit(rows["text"], rows["toxic"])
+        # Texts are left behind batch by batch.
+        found = [(i, toxic, buckets(text)) for batch in batches for i, text, toxic in zip(batch["doc_id"], batch["text"], batch["toxic"])]
+        found.sort(key=lambda row: row[0])
+        y, rows = np.array([row[1] for row in found], np.float64), [row[2] for row in found]
+        found.clear()
+        weights, intercept = fit_rows(rows, y)
         at = np.flatnonzero(weights).astype(np.int32)
         yield pd.DataFrame({"at": [at.tobytes()], "weights": [weights[at].tobytes()], "intercept": [intercept]})
 
