@@ -210,9 +210,11 @@ def normalised_text(bank):
     SELECT doc_id, sha256(trim(regexp_replace(replace(x || ' ' || x || ' ' || x || ' a*b[' || doc_id || '](https://n) c_d *e', chr(160), ' '), '\\s+', ' ', 'g'))) AS digest FROM t""",
 )
 def stripped_markdown(bank):
-    x, n = F.translate("text", "*[]()`\\", ""), F.col("doc_id").cast("string")
+    x, n = F.col("x"), F.col("doc_id").cast("string")
     md = F.concat(F.lit("**"), x, F.lit("** ["), x, F.lit("](https://e.org/"), n, F.lit(") *"), x, F.lit("* `a*b["), n, F.lit("](https://n)` c\\_d \\*e"))
-    return bank.table("documents").select("doc_id", F.sha2(tx.strip_markdown(md), 256).alias("digest"))
+    # Step by step: what a step reads more than once is computed once.
+    bare = bank.table("documents").select("doc_id", tx.replaced(F.col("text"), "*[]()`\\").alias("x"))
+    return bare.select("doc_id", md.alias("md")).select("doc_id", F.sha2(tx.strip_markdown(F.col("md")), 256).alias("digest"))
 
 
 _MARKED = "replace(text, '. ', CASE doc_id % 7 " + " ".join(
