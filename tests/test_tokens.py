@@ -4,10 +4,12 @@ import tracemalloc
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from itemloom.functions import text as tx
+from itemloom.operators import search as X
 from itemloom.operators import search_index as I
 
 FOLDING = str.maketrans(*tx.folding())
@@ -41,3 +43,23 @@ def test_a_piece_makes_no_object_a_token(spark):
     tracemalloc.stop()
     assert out.column("doc_len").to_pylist() == [2_000_000]
     assert peak < 150_000_000
+
+
+def test_a_reindex_moves_documents_not_tokens(spark):
+    from __spark_entry__ import queries
+
+    plan = queries()["search_reindex"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "posexplode" not in plan
+
+
+def test_a_reindexed_table_is_that_of_the_edited_documents(spark):
+    fields = tuple(X.FIELD_WEIGHTS)
+    table = lambda rows: spark.createDataFrame(rows, "doc_id int, prompt string, options string, explanation string")
+    docs = table([(1, "one two", "b", ""), (2, "three", "", "c"), (3, "gone", "gone", "gone"), (4, "", "", "")])
+    edited = table([(1, "one two", "b", ""), (2, "four four", "x", None), (4, "", "", "")])
+    touched = spark.createDataFrame([(2,), (3,)], "question_id int")
+    keep = ["doc_id", "doc_len", "tokens"]
+    got = I.reindexed(I.indexed_documents(docs, fields).select(*keep), edited, touched, fields)
+    assert sorted(got.collect()) == sorted(I.indexed_documents(edited, fields).select(*keep).collect())
+    posted = I.document_postings(got, len(fields)).groupBy("doc_id").agg(F.sum(F.size("places")).alias("n"))
+    assert {r["doc_id"]: r["n"] for r in posted.collect()} == {1: 3, 2: 3}
