@@ -27,6 +27,17 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialised_alone(df: DataFrame, name: str) -> DataFrame:
+    """``materialised``, after which the files of this write's shuffles are removed; nothing else reads them."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        return materialised(df, name)
+    finally:
+        spark.conf.set(key, before)
+
+
 def discard(df: DataFrame) -> None:
     """Remove a table that ``materialised`` wrote and nothing will read again."""
     context = df.sparkSession.sparkContext

@@ -11,14 +11,17 @@ of a corpus would move many times its size, so suffixes meet by content first:
    nowhere else are not repeated.  Runs of windows with one anchor are a row: its hash, and
    the hash of all bytes the run covers.
 3. Runs that cover the same bytes around the same anchor settle one another: repeated.
-   Where an anchor has differing surroundings, one run of each has the suffixes that start
-   at its windows sorted, in batches of texts: a mergesort whose comparisons find the common extension of two
+   Where an anchor has differing surroundings, one run of each is cut into packs of a few
+   windows, which settle one another in the same way by what all of a pack's windows hold.
+   Where packs agree in part, the suffixes that start at their windows are sorted, in
+   batches of texts: a mergesort whose comparisons find the common extension of two
    suffixes by binary search over prefix polynomial hashes; equal neighbours are verified
    byte for byte.  Each batch's distinct windows are then counted over all batches.
 4. The repeated windows go back to their texts.
 
 No step collects a group: anchors and windows are counted with partial sums before they
-move, and joins back to a hot anchor split.
+move, and joins back to a hot anchor split.  Each step is written down and the files of its
+shuffles go when it ends, so the disk holds one step's.
 """
 
 from __future__ import annotations
@@ -31,16 +34,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemloom.llm.shared import bounded_batches, materialised, whole_text
+from itemloom.llm.shared import bounded_batches, discard, materialised_alone, whole_text
 
 WIDTH, GRAM = 200, 48
-#: Windows sorted at once, and windows of a pack.
+#: Windows sorted at once, and windows of a pack at most.
 SORTED, PACK = 60_000, 8
 BASE = 0x9E3779B97F4A7C15 | 1
 LOW = (1 << 16) - 1
 
 ANCHORS = "text_key binary, place bigint, gram bigint, context bigint"
-PACKS = "text_key binary, at bigint, core bigint, windows array<bigint>"
+PACKS = "text_key binary, place bigint, core bigint, whole bigint"
+WINDOWS = "text_key binary, at bigint, window bigint, mixed bigint"
 REMOVED = "text_key binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
 
 
@@ -186,60 +190,85 @@ def _anchor_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"text_key": keys, "place": first << 32 | (last - first) << 16 | (anchor - first), "gram": gram.view(np.int64), "context": context.view(np.int64)})
 
 
-def _packed_windows(held: list[tuple[bytes, np.ndarray, int, np.ndarray, np.ndarray]]) -> pd.DataFrame:
-    """Sort the suffixes at some windows; a row for each pack, up to PACK windows in a row at one distance from their anchor.
+def _windows_of(first: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Each start from ``first`` on, ``more`` further ones."""
+    return np.repeat(first - np.cumsum(more + 1) + more + 1, more + 1) + np.arange(int((more + 1).sum()))
 
-    ``held`` has stretches of texts: the text's key, the bytes, where they begin, and the
-    windows' places and their anchors' in the text.  A pack has its windows' digests, equal
-    for equal strings, and the hash of the bytes that any window of the pack would hold.
+
+def _pack_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each pack of the open runs, up to PACK windows in a row at one distance from their anchor.
+
+    ``place`` has its first window, its length less one and the first's distance from the
+    end of a full pack; ``core`` is the hash of the bytes that any window of the pack would
+    hold, ``whole`` that of all bytes the pack covers.
+    """
+    for batch in batches:
+        out = []
+        for key, text, places in zip(batch["text_key"], batch["text"], batch["places"]):
+            data = np.frombuffer(text.encode(), np.uint8)
+            hashes = Prefixes(data)
+            places = np.sort(places)
+            first, more, away = places >> 32, (places >> 16) & LOW, places & LOW
+            at, anchor = _windows_of(first, more), np.repeat(first + away, more + 1)
+            number = (anchor - at + WIDTH) // PACK
+            # Windows of a run stand in order, so a pack's are neighbours.
+            change = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (anchor[1:] != anchor[:-1])]))
+            count = np.diff(change, append=len(at))
+            at, number = at[change], number[change]
+            end = anchor[change] - (number * PACK - WIDTH)
+            core = scattered(hashes.of(end, WIDTH - PACK + 1) ^ (number.astype(np.uint64) << np.uint64(48)))
+            whole = scattered(scattered(hashes.of(at, WIDTH - 1 + count)) ^ ((end - at) << 8 | count).astype(np.uint64))
+            out.append(pd.DataFrame({"text_key": [key] * len(at), "place": at << 32 | (count - 1) << 16 | (end - at), "core": core.view(np.int64), "whole": whole.view(np.int64)}))
+        if out:
+            yield pd.concat(out)
+
+
+def _sorted_windows(held: list[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    """Sort the suffixes at some windows; a row for each, with two numbers that are equal for equal strings.
+
+    ``held`` has a text's key, bytes that its windows cover, the windows' places in the text
+    and in those bytes.
     """
-    keys = [key for key, *_ in held]
-    begins = np.array([low for _, _, low, _, _ in held])
-    bases = np.cumsum([0, *(len(d) for _, d, *_ in held)])
-    data = np.concatenate([d for _, d, *_ in held])
-    owner = np.repeat(np.arange(len(held)), [len(h[3]) for h in held])
-    shift = bases[owner] - begins[owner]
-    at, anchor = np.concatenate([h[3] for h in held]), np.concatenate([h[4] for h in held])
-    starts = at + shift
+    bases = np.cumsum([0, *(len(data) for _, data, _, _ in held)])
+    data = np.concatenate([data for _, data, _, _ in held])
+    starts = np.concatenate([inside + base for (_, _, _, inside), base in zip(held, bases)])
     order, new = suffix_ranks(data, starts, WIDTH)
     heads = order[new]
     digests = np.array([int.from_bytes(hashlib.blake2b(data[s : s + WIDTH].tobytes(), digest_size=8).digest(), "little") for s in heads.tolist()], np.uint64)
     by_start = np.empty(len(data), np.int64)
     by_start[order] = np.cumsum(new) - 1
-    window = digests[by_start[starts]].view(np.int64)
-    number = (anchor - at + WIDTH) // PACK
-    # Windows of a run stand in order, so a pack's are neighbours.
-    change = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])]))
-    end = (anchor + shift)[change] - (number[change] * PACK - WIDTH)
-    core = scattered(Prefixes(data).of(end, WIDTH - PACK + 1) ^ (number[change].astype(np.uint64) << np.uint64(48)))
     return pd.DataFrame(
-        {"text_key": [keys[k] for k in owner[change].tolist()], "at": at[change], "core": core.view(np.int64), "windows": np.split(window, change[1:])}
+        {
+            "text_key": [key for key, _, at, _ in held for _ in range(len(at))],
+            "at": np.concatenate([at for _, _, at, _ in held]),
+            "window": digests[by_start[starts]].view(np.int64),
+            "mixed": Prefixes(data).of(starts, WIDTH).view(np.int64),
+        }
     )
 
 
-def _window_packs(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The open windows of all texts, sorted a bounded number at a time; a long text's in several parts."""
+def _window_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The windows of all texts' open packs, sorted a bounded number at a time; a long text's in several parts."""
     for batch in batches:
         held, size = [], 0
         for key, text, places in zip(batch["text_key"], batch["text"], batch["places"]):
             data = np.frombuffer(text.encode(), np.uint8)
             places = np.sort(places)
-            first, more, away = places >> 32, (places >> 16) & LOW, places & LOW
-            ends = np.cumsum(more + 1)
-            begin = 0
-            while begin < len(places):
-                stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + SORTED, "right")))
-                at = np.concatenate([np.arange(f, f + m + 1) for f, m in zip(first[begin:stop], more[begin:stop])])
-                anchor = np.repeat((first + away)[begin:stop], more[begin:stop] + 1)
+            windows = _windows_of(places >> 32, (places >> 16) & LOW)
+            for at in np.array_split(windows, -(-len(windows) // SORTED)):
                 low = int(at[0])
-                held.append((key, data[low : int(at[-1]) + WIDTH], low, at, anchor))
+                # Bytes between windows are left out, so what is held grows with the windows alone.
+                step = np.zeros(int(at[-1]) - low + WIDTH + 1, np.int8)
+                step[at - low] += 1
+                step[at - low + WIDTH] -= 1
+                covered = np.cumsum(step[:-1], dtype=np.int64) > 0
+                held.append((key, data[low : int(at[-1]) + WIDTH][covered], at, (np.cumsum(covered) - 1)[at - low]))
                 size += len(at)
-                begin = stop
                 if size >= SORTED:
-                    yield _packed_windows(held)
+                    yield _sorted_windows(held)
                     held, size = [], 0
         if size:
-            yield _packed_windows(held)
+            yield _sorted_windows(held)
 
 
 def _removed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -270,29 +299,35 @@ def without_repeats(documents: DataFrame, with_bytes: bool = False) -> DataFrame
     bounded_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
     rows = rows.withColumn("text_key", F.substring(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), 1, 16))
-    # Anchors are made twice, once to count and once to look up, rather than written down.
     anchors = rows.filter(F.octet_length("text") >= WIDTH).select("text_key", "text").mapInPandas(_anchor_rows, ANCHORS)
+    anchors = materialised_alone(anchors, "anchors")
     grams = anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
     met = anchors.join(grams, "gram").groupBy("text_key", "place", "gram", "context").agg(F.count("*").alias("runs"))
-    met = materialised(met, "met")
+    met = materialised_alone(met, "met")
+    discard(anchors)
     contexts = met.groupBy("gram", "context").agg(F.sum("runs").alias("runs"), F.min(F.struct("text_key", "place")).alias("one"))
+    contexts = materialised_alone(contexts, "contexts")
     kinds = contexts.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("gram")
-    settled = met.join(contexts.filter("runs > 1").select("gram", "context"), ["gram", "context"]).select("text_key", "place")
     # One run of each context stands for all that cover the same bytes.
     open_runs = contexts.join(kinds, "gram", "left_semi").groupBy("one.text_key").agg(F.collect_list("one.place").alias("places"))
     texts = rows.groupBy("text_key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    packs = texts.select("text_key", "text").join(open_runs, "text_key").mapInPandas(_window_packs, PACKS)
-    packs = materialised(packs.withColumn("all", F.xxhash64("windows")), "packs")
+    packs = texts.select("text_key", "text").join(open_runs, "text_key").mapInPandas(_pack_rows, PACKS)
+    packs = materialised_alone(packs, "packs")
     # As with runs: packs alike settle one another, and windows are compared where packs agree in part.
-    cores = packs.groupBy("core").agg(F.count("*").alias("n"), F.min("all").alias("low"), F.max("all").alias("high")).filter("n > 1")
-    near = packs.join(cores.select("core", (F.col("low") == F.col("high")).alias("alike")), "core")
-    whole = F.shiftleft("at", 32).bitwiseOR(F.shiftleft(F.size("windows").cast("bigint") - 1, 16))
-    alike = near.filter("alike").select("text_key", whole.alias("place"))
-    parts = near.filter("NOT alike").select("text_key", "at", "core", F.posexplode("windows").alias("k", "window"))
-    counted = parts.groupBy("core", "window").agg(F.count("*").alias("n")).filter("n > 1").select("core", "window")
-    single = parts.join(counted, ["core", "window"]).select("text_key", F.shiftleft(F.col("at") + F.col("k"), 32).alias("place"))
-    repeated = alike.unionByName(single)
-    marked = settled.unionByName(repeated).groupBy("text_key").agg(F.collect_list("place").alias("places"))
+    cores = packs.groupBy("core").agg(F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high")).filter("n > 1")
+    near = packs.join(cores.select("core", (F.col("low") == F.col("high")).alias("alike")), "core").select("text_key", "place", "alike")
+    near = materialised_alone(near, "near")
+    discard(packs)
+    open_packs = near.filter("NOT alike").groupBy("text_key").agg(F.collect_list("place").alias("places"))
+    windows = texts.select("text_key", "text").join(open_packs, "text_key").mapInPandas(_window_rows, WINDOWS)
+    windows = materialised_alone(windows, "windows")
+    counted = windows.groupBy("window", "mixed").agg(F.count("*").alias("n")).filter("n > 1").select("window", "mixed")
+    single = windows.join(counted, ["window", "mixed"]).select("text_key", F.shiftleft("at", 32).alias("place"))
+    settled = met.join(contexts.filter("runs > 1").select("gram", "context"), ["gram", "context"]).select("text_key", "place")
+    repeated = settled.unionByName(near.filter("alike").select("text_key", "place")).unionByName(single)
+    marked = materialised_alone(repeated.groupBy("text_key").agg(F.collect_list("place").alias("places")), "marked")
+    for done in (met, contexts, near, windows):
+        discard(done)
     removed = texts.join(marked, "text_key", "left").select("text_key", "text", "copies", "places").mapInPandas(_removed, REMOVED)
     kept = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_bytes else [])]
     return rows.select("doc_id", "text_key").join(removed.select("text_key", *kept), "text_key").select("doc_id", *kept)
