@@ -142,6 +142,43 @@ def test_frequent_tokens_are_met_in_slices(spark, docs, index, monkeypatch):
     assert sorted(map(tuple, I.search(index, ask(spark, "tool use", "cach*", '"tool use"')).collect())) == want
 
 
+PHRASES = [
+    (1, "a b a b c", "b c\na b c d", "running cats"),
+    (2, "b a b", "c a", "runs cat"),
+    (3, "a b x c", "a", "ran a cat run cats"),
+    (4, "", "b-c a_b", "a b\nc"),
+]
+ASKED = ('"a b"', '"a b c"', '"b a b c"', "x_b-c", "a_b*", "ca* \"a b\"", '"runs cats"', '"b c" a d', "a b c x", '"none such"', '"a a"', "c")
+
+
+@pytest.mark.parametrize("stemmed", [False, True])
+def test_many_phrases_are_met_in_the_documents(spark, monkeypatch, stemmed):
+    index = indexed(spark, spark.createDataFrame(PHRASES, "doc_id int, prompt string, options string, explanation string"))
+    found = lambda: sorted((q, d, round(s, 9)) for q, d, s in I.search(index, ask(spark, *ASKED), stemmed=stemmed).collect())
+    met = I.resolved(index, I.term_tokens(I.asked_terms(ask(spark, *ASKED))), stemmed)
+    places = lambda: sorted((t, d, n, sorted(s)) for t, d, _, n, s in I.occurrences(index, met).collect())
+    monkeypatch.setattr(I, "SENT_ROWS", 0)
+    joined, at = found(), places()
+    monkeypatch.setattr(I, "SENT_ROWS", 1000)
+    monkeypatch.setattr(I, "SCANNED_SHARE", -1)
+    assert found() == joined and places() == at
+    assert {(0, 1), (1, 1), (1, 4), (2, 1), (8, 3)} <= {(q, d) for q, d, _ in joined}
+    assert ((6, 1) in {(q, d) for q, d, _ in joined}) == stemmed
+
+
+def test_ranking_moves_no_candidates(spark, docs, index):
+    asked, _, scored = I.terms_and_parts(index, ask(spark, "tool use", "cach*", '"tool use" api'))
+    hits = I.ranked(asked, scored)
+    assert {tuple(r) for r in hits.select("query_id", "doc_id").collect()} == {(0, 2), (1, 1), (1, 3), (2, 2)}
+    assert "Exchange hashpartitioning" not in hits._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_is_found_is_stored_by_document(spark, docs, index):
+    _, _, scored = I.terms_and_parts(index, ask(spark, "tool use", "cach*", "too* prompts"))
+    rows = scored.documents.collect()
+    assert len({r["doc_id"] for r in rows}) == len(rows) and all(len(set(r["terms"])) == len(r["fs"]) for r in rows)
+
+
 def test_best_scores_fewer_rows_and_finds_the_same(spark):
     docs = spark.createDataFrame(
         [(i, " ".join(["alpha"] * (i % 4 // 2 * (1 + i % 5)) + ["beta"] * (i % 3) + [f"x{j}" for j in range(i % 97)]), "", "") for i in range(1500)],
