@@ -5,13 +5,11 @@ from __future__ import annotations
 import sys
 import types
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemloom.session import bounded_batches, work_folder  # noqa: F401 - the operators take it from here
+from itemloom.session import bounded_batches, shuffles_removed, work_folder  # noqa: F401 - the operators take it from here
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -29,18 +27,6 @@ def materialised(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Jobs run in here leave no shuffle files behind; nothing else may read them."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def materialised_alone(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """``materialised``, after which the files of this write's shuffles are removed; nothing else reads them."""
     with shuffles_removed(df.sparkSession):
