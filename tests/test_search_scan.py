@@ -89,3 +89,21 @@ def test_queries_build_no_index_and_move_no_rows_by_document(spark, monkeypatch)
         assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
     for name in ("search_snippets", "search_prefix_expansion", "search_top_hits", "search_results_page"):
         assert queries()[name](spark, SF).count() > 0
+
+
+def test_searches_run_where_the_package_is_not_installed(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {repo!r})
+import __spark_entry__ as entry
+from itemloom.session import local_session
+print("rows", entry.queries()["search_top_hits"](local_session(4, 4), {SF!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 1778" in run.stdout, run.stderr[-2000:]
